@@ -41,7 +41,7 @@ def identities(texts: DataFrame, scratch: Scratch, block: int = 4096) -> DataFra
     )
     blocks = scratch.save(texts.select(*KEY, last.alias("last"), F.explode(cut).alias("x")).select(*KEY, "last", "x.i", "x.block"), "blocks")
     names = _named(scratch, blocks, ["block"])
-    rows = scratch.save(blocks.join(names, "block").select(*KEY, "last", "i", "name"), "level")
+    rows = scratch.save(blocks.join(names.hint("merge"), "block").select(*KEY, "last", "i", "name"), "level")
     scratch.free(blocks)
     done, level = [], 0
     while True:
@@ -54,7 +54,7 @@ def identities(texts: DataFrame, scratch: Scratch, block: int = 4096) -> DataFra
             rest.groupBy(*KEY, F.shiftright("last", 1).alias("last"), F.shiftright("i", 1).alias("j")).agg(side(0).alias("l"), F.coalesce(side(1), F.lit(-1)).alias("r")), "pairs"
         )
         names = _named(scratch, pairs, ["l", "r"])
-        rows = scratch.save(pairs.join(names, ["l", "r"]).select(*KEY, "last", F.col("j").alias("i"), "name"), "level")
+        rows = scratch.save(pairs.join(names.hint("merge"), ["l", "r"]).select(*KEY, "last", F.col("j").alias("i"), "name"), "level")
         level += 1
 
 
@@ -74,15 +74,15 @@ def exact_groups(docs: DataFrame, block: int = 4096) -> DataFrame:
     )
     facts = scratch.save(base.select("doc_id", *KEY, F.length("text").alias("n"), F.sha2("norm", 256).alias("text_sha256")), "facts")
     shared = scratch.save(facts.groupBy("m", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("m", "h"), "shared")
-    hits = scratch.save(facts.join(shared, ["m", "h"], "left_semi"), "hits")
-    ids = identities(base.select(*KEY, "norm").join(hits.select(*KEY), KEY, "left_semi"), scratch, block)
-    members = scratch.save(hits.join(ids, KEY), "members")
+    hits = scratch.save(facts.join(shared.hint("merge"), ["m", "h"], "left_semi"), "hits")
+    ids = identities(base.select(*KEY, "norm").join(hits.select(*KEY).hint("merge"), KEY, "left_semi"), scratch, block)
+    members = scratch.save(hits.join(ids.hint("merge"), KEY), "members")
     best = scratch.save(
         members.groupBy("level", "name")
         .agg(F.max(F.struct("n", F.bitwise_not("doc_id").alias("back"))).alias("top"), F.count(F.lit(1)).alias("group_size"))
         .select("level", "name", F.bitwise_not("top.back").alias("keep_id"), "group_size"),
         "best",
     )
-    grouped = members.join(best, ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    alone = facts.join(shared, ["m", "h"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    grouped = members.join(best.hint("merge"), ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    alone = facts.join(shared.hint("merge"), ["m", "h"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return alone.union(grouped)
