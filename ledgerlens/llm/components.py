@@ -22,13 +22,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
         near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
+            both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("root").alias("near"))
         )
-        hooked = scratch.save(labels.join(near, "node").select("node", "root", F.least("root", "near").alias("to")), "hooked")
+        hooked = scratch.save(labels.join(near.hint("merge"), "node").select("node", "root", F.least("root", "near").alias("to")), "hooked")
         up = hooked.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        nxt = scratch.save(hooked.join(up, "to").select("node", F.least("to", "top").alias("root"), (F.least("to", "top") < F.col("root")).alias("moved")), "labels")
+        nxt = scratch.save(hooked.join(up.hint("merge"), "to").select("node", F.least("to", "top").alias("root"), (F.least("to", "top") < F.col("root")).alias("moved")), "labels")
         done = nxt.filter("moved").isEmpty()
         scratch.free(labels)
         scratch.free(hooked)

@@ -75,7 +75,7 @@ def links(fps: DataFrame, scratch: Scratch, cap: int = 64) -> DataFrame:
     any_hot = not hot.isEmpty()
     cold = homes.join(hot, ["seg", "key"], "left_anti") if any_hot else homes
     pairs = (
-        probes.join(cold.select("seg", "key", F.col("fp").alias("other")), ["seg", "key"])
+        probes.join(cold.select("seg", "key", F.col("fp").alias("other")).hint("merge"), ["seg", "key"])
         .filter((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2))
         .select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
     )
@@ -101,10 +101,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, cap: int = 64) -> DataFrame:
     reps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     edges = scratch.save(links(reps.select("fp"), scratch, cap), "edges")
     if edges.isEmpty():
-        return rows.join(reps, "fp").select("doc_id", "fp", F.col("rep").alias("component_id"))
+        return rows.join(reps.hint("merge"), "fp").select("doc_id", "fp", F.col("rep").alias("component_id"))
     roots = components(edges, scratch)
-    linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    linked = reps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     linked = scratch.save(linked, "linked")
     least = scratch.save(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = scratch.save(linked.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch.save(linked.join(least.hint("merge"), "root").select("fp", "component_id"), "named")
+    return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
