@@ -103,10 +103,9 @@ def fit(labelled: DataFrame, per_lang: int = 300) -> Model:
     """labelled(doc_id, text, lang). Learns from at most ``per_lang`` rows of each language, those
     with the least hash of doc_id; the bound keeps the trees small, whatever the corpus size."""
     langs = [r[0] for r in labelled.select("lang").distinct().collect()]
-    texts = {}
-    for lang in langs:
-        rows = labelled.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_lang).select("text").collect()
-        texts[lang] = [r[0] for r in rows]
+    ids = [r[0] for lang in langs for r in labelled.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang).collect()]
+    rows = labelled.filter(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    texts = {lang: [r["text"] for r in rows if r["lang"] == lang] for lang in langs}
     return Model(texts)
 
 
@@ -120,7 +119,6 @@ def identify(docs: DataFrame, per_lang: int = 300) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
-    # one narrow scan finds the sample, so that the many rows' texts are not sorted
     ready = rows.filter("not held_out and text is not null and lang is not null and doc_id is not null")
     model = docs.sparkSession.sparkContext.broadcast(fit(ready, per_lang))
 
