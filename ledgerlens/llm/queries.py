@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .block_dedup import exact_groups
-from .common import table
+from .common import shared_folder, table
 from .fingerprint import fingerprints_with_edit
 from .langid import identify
+from .sentencepieces import piece_digests
 from .simhash import near_groups
+from .substring_dedup import remove_repeats
+from .token_files import read_ids, write_ids
+
+
+def tokenizer_file(name: str) -> str:
+    return importlib.import_module("public_tokenizers").path(name)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +31,20 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex[:12]}"
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return read_ids(spark, path)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_edit(table(spark, sf_dir, "documents"))
 
@@ -33,6 +56,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_token_files": op7_token_files,
+    "op10_sentencepiece": op10_sentencepiece,
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
 }
