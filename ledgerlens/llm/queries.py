@@ -12,10 +12,12 @@ from .block_dedup import exact_groups
 from .common import shared_folder, table
 from .fingerprint import fingerprints_with_edit
 from .langid import identify
+from .mixing import mix
 from .sentencepieces import piece_digests
 from .simhash import near_groups
 from .substring_dedup import remove_repeats
 from .token_files import read_ids, write_ids
+from .weak_quality import score_quality
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,6 +33,27 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+#: Shares of all tokens that the mix should have.
+TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
+
+
+def labelled_domains(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text, domain) of the annotated documents, those that the labels table covers."""
+    marked = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return docs.join(marked.hint("merge"), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mix(docs, labelled_domains(docs, spark, sf_dir), TARGETS)
+    shares = [F.element_at("membership", j + 1).alias(f"p_{d}") for j, d in enumerate(TARGETS)]
+    return out.select("doc_id", "n_tokens", *shares, "rate")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -56,6 +79,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
+    "op3_mixing": op3_mixing,
+    "op6_quality": op6_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_token_files": op7_token_files,
     "op10_sentencepiece": op10_sentencepiece,
