@@ -23,7 +23,7 @@ SAMPLE = 3000
 #: Votes bad, abstain, good that a labeller is taken to give to bad and to good documents before any are seen.
 PRIOR = np.array([[0.3, 0.6, 0.1], [0.005, 0.6, 0.395]])
 #: A labeller's vote of bad comes at least this often on bad documents and at most that often on good ones.
-FIRES = (0.1, 0.002)
+FIRES = (0.1, 0.0003)
 KINDS = np.full(256, 9, np.uint8)
 for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\x0b\x0c", ".", ",;:'\"-()?", "!", "|")):
     KINDS[list(_chars.encode())] = _k
