@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .block_dedup import exact_groups
 from .common import shared_folder, table
 from .fingerprint import fingerprints_with_edit
+from .html_text import extract
 from .langid import identify
 from .mixing import mix
 from .sentencepieces import piece_digests
@@ -50,6 +51,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *shares, "rate")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).drop("n_blocks")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents")).drop("text")
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op4_html_text": op4_html_text,
     "op6_quality": op6_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_token_files": op7_token_files,

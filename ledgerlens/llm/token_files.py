@@ -12,6 +12,7 @@ lengths give any document's place without expanding what lies before it.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -21,8 +22,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .common import Recent
+
 SHARD = 1 << 20
-ROUNDS, PER_ROUND, LEAST = 8, 2048, 8
+ROUNDS, PER_ROUND, LEAST = 4, 4096, 8
 CACHE = 300_000
 SHARD_SCHEMA = "part int, shard int, n_ids long, first long, doc_ids binary, doc_lens binary, rules binary, lens binary, wide boolean, seq binary"
 
@@ -34,8 +37,8 @@ def repair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.nda
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST or len(rules) >= room:
             break
-        pair = (seq[:-1] << 32) | seq[1:]
-        cell = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:].astype(np.uint32) if room <= 1 << 16 else (seq[:-1] << 32) | seq[1:]
+        cell = (pair.astype(np.uint32) * np.uint32(0x9E3779B1) ^ (pair >> 16).astype(np.uint32)) >> np.uint32(12)
         cell[seq[:-1] == end_id] = 1 << 20
         counts = np.bincount(cell, minlength=(1 << 20) + 1)
         counts[1 << 20] = 0
@@ -43,16 +46,17 @@ def repair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.nda
         top = np.zeros((1 << 20) + 1, bool)
         top[busy[counts[busy] >= LEAST]] = True
         at = np.flatnonzero(top[cell])
-        kinds, back, times = np.unique(pair[at], return_inverse=True, return_counts=True)
-        good = times >= LEAST
+        some = pair[at]
+        kinds, times = np.unique(some, return_counts=True)
+        kinds, times = kinds[times >= LEAST], times[times >= LEAST]
         left = room - len(rules)
-        if good.sum() > left:
-            good[np.argsort(-times, kind="stable")[left:]] = False
-        if not good.any():
+        if len(kinds) > left:
+            kinds = np.sort(kinds[np.argsort(-times, kind="stable")[:left]])
+        if not len(kinds):
             break
-        number = np.where(good, np.cumsum(good) - 1, -1)
-        which = number[back]
-        at, which = at[which >= 0], which[which >= 0]
+        which = np.minimum(np.searchsorted(kinds, some), len(kinds) - 1)
+        hit = kinds[which] == some
+        at, which = at[hit], which[hit]
         fresh = np.concatenate([[True], np.diff(at) > 1])  # of places that touch, every other one from the left
         run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         take = (np.arange(len(at)) - run) % 2 == 0
@@ -61,7 +65,8 @@ def repair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.nda
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([kinds[good] >> 32, kinds[good] & 0xFFFFFFFF], 1)])
+        low = 16 if room <= 1 << 16 else 32
+        rules = np.concatenate([rules, np.stack([kinds >> low, kinds & ((1 << low) - 1)], 1).astype(np.int64)])
     return seq, rules
 
 
@@ -99,23 +104,35 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHE)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({w for words in split if words for w in words if w not in self.known})
+        known: dict[str, bytes] = {}
+        new = []
+        for w in {w for words in split if words for w in words}:
+            got = self.known.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                known[w] = got
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            self.known.update(zip(part, self._raw(part), strict=True))
-        known = self.known
+            for w, got in zip(part, self._raw(part), strict=True):
+                known[w] = got
+                self.known.put(w, got)
         return [np.frombuffer(self._raw([t])[0] if words is None else b"".join([known[w] for w in words]), "<u4") for t, words in zip(texts, split, strict=True)]
 
 
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """One for each Python worker, so that what it remembers outlives a task."""
+    return WordEncoder(path)
+
+
 def vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -134,7 +151,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, shard = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         lens: list[int] = []
@@ -155,8 +172,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
                 for name, got in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
                     ids.append(np.concatenate([got, end])), names.append(name), lens.append(len(got) + 1)
                 if sum(lens) >= SHARD:
