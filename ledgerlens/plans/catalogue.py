@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import report_queries
+
+QUERIES: dict = dict(report_queries.QUERIES)
+ORACLE: dict[str, str] = dict(report_queries.ORACLE)
