@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values that results depend on.
@@ -15,6 +17,11 @@ TOLERANCE = 0.005
 WS = r"(?U)[\s﻿]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
@@ -79,14 +86,20 @@ def month_number(token: Column) -> Column:
 
 def iso_date(y: Column, m: Column, d: Column) -> Column:
     """yyyy-MM-dd if it is a date of the calendar from year 100 on, else null."""
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when((y >= 100) & m.between(1, 12) & d.between(1, 31), F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
+
+    def build(p: Column) -> Column:
+        text = F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"])
+        return F.when((p["y"] >= 100) & p["m"].between(1, 12) & p["d"].between(1, 31), F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
+
+    return let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), build)
 
 
 def parse_date(c: Column) -> Column:
     """Calendar date in five written forms, as yyyy-MM-dd; the first form that fits decides."""
-    text = trim_ws(F.regexp_replace(F.regexp_replace(norm_text(c), ",", " "), rf"{WS}+", " "))
+    return let(trim_ws(F.regexp_replace(F.regexp_replace(norm_text(c), ",", " "), rf"{WS}+", " ")), _date_of)
+
 
+def _date_of(text: Column) -> Column:
     def parts(pattern: str) -> tuple[Column, list[Column]]:
         return text.rlike(pattern), [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
 
@@ -117,14 +130,18 @@ def field_class(key: Column) -> Column:
 
 def field_equal(kind: Column, answer: Column, actual: Column) -> Column:
     """Whether two values of a field of that class count as equal; two empty ones do."""
-    a, b = norm_text(answer), norm_text(actual)
-    units = (measure_unit(a) == "") | (measure_unit(b) == "") | (measure_unit(a) == measure_unit(b))
-    measures = F.coalesce(amounts_match(measure_number(a), measure_number(b)) & units, F.lit(False))
+    return let(F.struct(norm_text(answer).alias("a"), norm_text(actual).alias("b")), lambda v: _equal(kind, v["a"], v["b"]))
+
+
+def _equal(kind: Column, a: Column, b: Column) -> Column:
+    part = lambda c: F.struct(measure_number(c).alias("n"), measure_unit(c).alias("u"))
+    units = lambda v: (v["a"]["u"] == "") | (v["b"]["u"] == "") | (v["a"]["u"] == v["b"]["u"])
+    measures = let(F.struct(part(a).alias("a"), part(b).alias("b")), lambda v: amounts_match(v["a"]["n"], v["b"]["n"]) & units(v))
     return (
         F.when(F.lower(a) == F.lower(b), True)
         .when((a == "") | (b == ""), False)
         .when(kind == "amount", amounts_match(parse_amount(a), parse_amount(b)))
-        .when(kind == "measure", measures)
+        .when(kind == "measure", F.coalesce(measures, F.lit(False)))
         .when(kind == "date", F.coalesce(parse_date(a) == parse_date(b), F.lit(False)))
         .otherwise(False)
     )

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.functions.values import field_equal, norm_invoice_no, norm_text
 
-from .align import rank_join
+from .align import rank_align
 from .templates import TEMPLATES, invoice_no_key, row_key
 
 DOC = ["match_key", "a_doc"]
+COUNTS = ("answer_rows", "matched_rows", "missing_rows", "extra_rows")
 
 
 @dataclass
@@ -58,106 +59,89 @@ class Report:
     def __init__(self, pairs: DataFrame, answers: Side, results: Side, fields: DataFrame):
         self.pairs, self.fields = pairs, F.broadcast(fields)
         keys = pairs.select(*DOC, "r_doc", "template_id", "fields_from")
-        a_inv = answers.invoices.withColumnRenamed("doc_pos", "a_doc").join(keys, DOC)
-        r_inv = results.invoices.withColumnRenamed("doc_pos", "r_doc").join(keys, ["match_key", "r_doc"])
+        carry = ("template_id", "fields_from")
         no = by_template(F.col("fields_from"), lambda t: F.coalesce(F.try_element_at("header", F.lit(invoice_no_key(t))), F.lit("")))
-        nkey = norm_invoice_no(no)
-        aligned = rank_join(
-            a_inv.select(*DOC, nkey.alias("nkey"), F.col("inv_pos").alias("pos")), r_inv.select(*DOC, nkey.alias("nkey"), F.col("inv_pos").alias("pos")), DOC, "full"
-        ).withColumnsRenamed({"a_pos": "a_inv", "r_pos": "r_inv"})
+        pick = [*DOC, *carry, norm_invoice_no(no).alias("nkey"), F.col("inv_pos").alias("pos"), F.col("header").alias("body")]
+        a_inv = answers.invoices.withColumnRenamed("doc_pos", "a_doc").join(keys, DOC).select(*pick)
+        r_inv = results.invoices.withColumnRenamed("doc_pos", "r_doc").join(keys, ["match_key", "r_doc"]).select(*pick)
+        named = {"a_pos": "a_inv", "r_pos": "r_inv", "a_body": "a_header", "r_body": "r_header"}
         order = Window.partitionBy(*DOC).orderBy(F.col("a_inv").isNull(), "a_inv", "r_inv")
-        aligned = aligned.withColumn("inv_idx", F.row_number().over(order))
-        self.invoices = (
-            aligned.join(a_inv.select(*DOC, F.col("inv_pos").alias("a_inv"), F.col("header").alias("a_header")), [*DOC, "a_inv"], "left")
-            .join(r_inv.select(*DOC, F.col("inv_pos").alias("r_inv"), F.col("header").alias("r_header")), [*DOC, "r_inv"], "left")
-            .join(keys.select(*DOC, "template_id", "fields_from"), DOC)
-        )
-        both = self.invoices.select(*DOC, "inv_idx", "a_inv", "r_inv", "template_id", "fields_from")
-        rkey = norm_text(by_template(F.col("fields_from"), lambda t: F.coalesce(F.try_element_at("cells", F.lit(row_key(t))), F.lit(""))))
-        key = F.lower(rkey)
-        a_rows = answers.rows.select("match_key", F.col("doc_pos").alias("a_doc"), F.col("inv_pos").alias("a_inv"), "row_pos", "cells").join(both, [*DOC, "a_inv"])
-        r_rows = (
-            results.rows.withColumnRenamed("doc_pos", "r_doc")
-            .join(keys.select(*DOC, "r_doc"), ["match_key", "r_doc"])
-            .select(*DOC, F.col("inv_pos").alias("r_inv"), "row_pos", "cells")
-            .join(both, [*DOC, "r_inv"])
-        )
-        self.a_rows, self.r_rows = a_rows, r_rows
+        self.invoices = rank_align(a_inv, r_inv, DOC, carry).withColumnsRenamed(named).withColumn("inv_idx", F.row_number().over(order))
         inv = [*DOC, "inv_idx"]
-        met = "a_inv is not null and r_inv is not null"
-        pick = lambda df: df.filter(met).select(*inv, key.alias("nkey"), F.col("row_pos").alias("pos"))
-        pairs_of_rows = rank_join(pick(a_rows), pick(r_rows), inv, "left").withColumnsRenamed({"a_pos": "a_row", "r_pos": "r_row"})
-        self.rows = (
-            pairs_of_rows.withColumn("row_idx", F.row_number().over(Window.partitionBy(*inv).orderBy("a_row")))
-            .join(a_rows.filter(met).select(*inv, F.col("row_pos").alias("a_row"), F.col("cells").alias("a_cells"), "template_id", "fields_from"), [*inv, "a_row"])
-            .join(r_rows.filter(met).select(*inv, F.col("row_pos").alias("r_row"), F.col("cells").alias("r_cells")), [*inv, "r_row"], "left")
-        )
-
-    def _cells(self, df: DataFrame, scope: str, a: Column, r: Column | None) -> DataFrame:
+        carry = ("template_id", "fields_from", "a_inv", "r_inv")
+        both = self.invoices.select(*inv, *carry)
+        key = F.lower(norm_text(by_template(F.col("fields_from"), lambda t: F.coalesce(F.try_element_at("cells", F.lit(row_key(t))), F.lit("")))))
+        pick = [*inv, *carry, key.alias("nkey"), F.col("row_pos").alias("pos"), F.col("cells").alias("body")]
+        a_rows = answers.rows.select("match_key", F.col("doc_pos").alias("a_doc"), F.col("inv_pos").alias("a_inv"), "row_pos", "cells").join(both, [*DOC, "a_inv"]).select(*pick)
+        r_rows = results.rows.withColumnRenamed("doc_pos", "r_doc").join(keys.select(*DOC, "r_doc"), ["match_key", "r_doc"]).select(*DOC, F.col("inv_pos").alias("r_inv"), "row_pos", "cells")
+        r_rows = r_rows.join(both, [*DOC, "r_inv"]).select(*pick)
+        named = {"a_pos": "a_row", "r_pos": "r_row", "a_body": "a_cells", "r_body": "r_cells"}
+        order = Window.partitionBy(*inv).orderBy(F.col("a_row").isNull(), "a_row", "r_row")
+        #: Of every invoice, also of those that one side lacks.
+        self.all_rows = rank_align(a_rows, r_rows, inv, carry).withColumnsRenamed(named).withColumn("row_idx", F.row_number().over(order))
+        self.rows = self.all_rows.filter("a_inv is not null and r_inv is not null and a_row is not null")
+
+    def _cells(self, df: DataFrame, scope: str, gone: str, a: Column, r: Column) -> DataFrame:
         f = self.fields.filter(F.col("scope") == scope).select(F.col("template_id").alias("fields_from"), "scope", F.col("pos").alias("field_pos"), "field_key", "label", "field_class")
         value = lambda m: F.coalesce(F.try_element_at(m, F.col("field_key")), F.lit(""))
-        out = df.join(f, "fields_from").withColumn("expected", value(a))
-        if r is None:
-            return out.withColumn("actual", F.lit("")).withColumn("equal", F.lit(False))
-        return out.withColumn("actual", value(r)).withColumn("equal", field_equal(F.col("field_class"), F.col("expected"), F.col("actual")))
+        out = df.join(f, "fields_from").withColumns({"gone": F.expr(gone), "expected": value(a), "actual": value(r)})
+        return out.withColumn("equal", ~F.col("gone") & field_equal(F.col("field_class"), F.col("expected"), F.col("actual")))
 
     def header_cells(self) -> DataFrame:
         """Each header field of each answer invoice; of a missing invoice all are wrong."""
-        met = self.invoices.filter("a_inv is not null and r_inv is not null")
-        gone = self.invoices.filter("r_inv is null")
         cols = ["template_id", *DOC, "inv_idx", "scope", "field_pos", "field_key", "label", "expected", "actual", "equal"]
-        return self._cells(met, "header", F.col("a_header"), F.col("r_header")).select(*cols).union(self._cells(gone, "header", F.col("a_header"), None).select(*cols))
+        return self._cells(self.invoices.filter("a_inv is not null"), "header", "r_inv is null", F.col("a_header"), F.col("r_header")).select(*cols)
 
     def sublist_cells(self) -> DataFrame:
         """Each column of each answer row; of a missing row or invoice all are wrong."""
-        found, lost = self.rows.filter("r_row is not null"), self.rows.filter("r_row is null")
-        gone = self.a_rows.filter("r_inv is null").withColumn("row_idx", F.col("row_pos")).withColumn("a_cells", F.col("cells"))
         cols = ["template_id", *DOC, "inv_idx", "row_idx", "scope", "field_pos", "field_key", "label", "expected", "actual", "equal"]
-        some = self._cells(found, "sublist", F.col("a_cells"), F.col("r_cells")).select(*cols)
-        return some.union(self._cells(lost, "sublist", F.col("a_cells"), None).select(*cols)).union(self._cells(gone, "sublist", F.col("a_cells"), None).select(*cols))
+        return self._cells(self.all_rows.filter("a_row is not null"), "sublist", "r_row is null", F.col("a_cells"), F.col("r_cells")).select(*cols)
 
     def field_stats(self, cells: DataFrame) -> DataFrame:
         return cells.groupBy("template_id", "scope", "field_pos", "field_key").agg(F.count(F.lit(1)).alias("total"), F.count_if("equal").alias("correct")).filter("total > 0")
 
+    def _row_counts(self, by: list[str]) -> DataFrame:
+        n = lambda cond: F.count_if(F.expr(cond))
+        return self.all_rows.groupBy(*by).agg(
+            n("a_row is not null").alias("answer_rows"), n("a_row is not null and r_row is not null").alias("matched_rows"), n("r_row is null").alias("missing_rows"), n("a_row is null").alias("extra_rows")
+        )
+
     def invoice_rows(self) -> DataFrame:
         """Per aligned invoice: answer, matched, missing and extra rows."""
         inv = [*DOC, "inv_idx"]
-        a = self.a_rows.groupBy(*inv).agg(F.count(F.lit(1)).alias("answer_rows"))
-        m = self.rows.groupBy(*inv).agg(F.count("r_row").alias("matched_rows"))
-        r = self.r_rows.groupBy(*inv).agg(F.count(F.lit(1)).alias("result_rows"))
-        zero = {c: F.coalesce(c, F.lit(0)) for c in ("answer_rows", "matched_rows", "result_rows")}
-        out = self.invoices.select(*inv, "template_id", "a_inv", "r_inv").join(a, inv, "left").join(m, inv, "left").join(r, inv, "left").withColumns(zero)
-        return out.withColumns({"missing_rows": F.col("answer_rows") - F.col("matched_rows"), "extra_rows": F.col("result_rows") - F.col("matched_rows")})
+        out = self.invoices.select(*inv, "template_id", "a_inv", "r_inv").join(self._row_counts(inv), inv, "left")
+        return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS})
+
+    def _expected(self, df: DataFrame, scope: str, lone: Column, a: Column, r: Column) -> DataFrame:
+        """Rows of df once for each field, or, where lone names an error of the whole row, once with
+        that as kind; of the others those stay whose values differ."""
+        listed = F.array_sort(F.collect_list(F.struct("pos", "field_key", "field_class")))
+        fields = F.broadcast(self.fields.filter(F.col("scope") == scope).groupBy(F.col("template_id").alias("fields_from")).agg(listed.alias("fields")))
+        none = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("field_key"), F.lit("").alias("field_class")))
+        value = lambda m: F.coalesce(F.try_element_at(m, F.col("field.field_key")), F.lit(""))
+        out = df.join(fields, "fields_from").withColumn("lone", lone).withColumn("field", F.explode(F.when(F.col("lone").isNull(), F.col("fields")).otherwise(none)))
+        out = out.withColumns({"expected": value(a), "actual": value(r)})
+        return out.filter(F.col("lone").isNotNull() | ~field_equal(F.col("field.field_class"), F.col("expected"), F.col("actual")))
 
     def errors(self) -> DataFrame:
         """(template_id, match_key, a_doc, inv_idx, row_idx, kind, field_key, expected, actual)."""
         cols = ["template_id", *DOC, "inv_idx", "row_idx", "kind", "field_key", "expected", "actual"]
+        kind = F.coalesce("lone", F.lit("field_mismatch")).alias("kind")
+        text = lambda c: F.when(F.col("lone").isNull(), F.col(c)).otherwise(F.lit("")).alias(c)
+        invoice = F.when(F.col("r_inv").isNull(), "missing_invoice").when(F.col("a_inv").isNull(), "extra_invoice")
+        head = self._expected(self.invoices, "header", invoice, F.col("a_header"), F.col("r_header"))
+        line = self._expected(self.rows, "sublist", F.when(F.col("r_row").isNull(), "missing_row"), F.col("a_cells"), F.col("r_cells"))
+        extra = self._row_counts([*DOC, "inv_idx", "template_id", "a_inv", "r_inv"]).filter("a_inv is not null and r_inv is not null and extra_rows > 0")
         none = F.lit("")
-
-        def of(df: DataFrame, kind: str, row: Column, key: Column = none, expected: Column = none, actual: Column = none) -> DataFrame:
-            made = {"row_idx": row.cast("int"), "kind": F.lit(kind), "field_key": key, "expected": expected, "actual": actual}
-            return df.select("template_id", *DOC, "inv_idx", *[c.alias(n) for n, c in made.items()]).select(*cols)
-
-        met = self.invoices.filter("a_inv is not null and r_inv is not null")
-        head = self._cells(met, "header", F.col("a_header"), F.col("r_header")).filter("not equal")
-        line = self._cells(self.rows.filter("r_row is not null"), "sublist", F.col("a_cells"), F.col("r_cells")).filter("not equal")
-        extra = self.invoice_rows().filter("a_inv is not null and r_inv is not null and extra_rows > 0")
         parts = [
-            of(head, "field_mismatch", F.lit(None), F.col("field_key"), F.col("expected"), F.col("actual")),
-            of(line, "field_mismatch", F.col("row_idx"), F.col("field_key"), F.col("expected"), F.col("actual")),
-            of(self.rows.filter("r_row is null"), "missing_row", F.col("row_idx")),
-            of(extra, "extra_row", F.lit(None), none, none, F.col("extra_rows").cast("string")),
-            of(self.invoices.filter("r_inv is null"), "missing_invoice", F.lit(None)),
-            of(self.invoices.filter("a_inv is null"), "extra_invoice", F.lit(None)),
+            head.select("template_id", *DOC, "inv_idx", F.lit(None).cast("int").alias("row_idx"), kind, "field.field_key", text("expected"), text("actual")),
+            line.select("template_id", *DOC, "inv_idx", "row_idx", kind, "field.field_key", text("expected"), text("actual")),
+            extra.select("template_id", *DOC, "inv_idx", F.lit(None).cast("int").alias("row_idx"), F.lit("extra_row").alias("kind"), none.alias("field_key"), none.alias("expected"), F.col("extra_rows").cast("string").alias("actual")),
         ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
+        return parts[0].union(parts[1]).union(parts[2]).select(*cols)
 
     def template_stats(self) -> DataFrame:
-        rows = self.invoice_rows().groupBy(*DOC).agg(*[F.sum(c).alias(c) for c in ("answer_rows", "matched_rows", "missing_rows", "extra_rows")])
         wrong = self.errors().select(*DOC).distinct().withColumn("wrong", F.lit(1))
-        docs = self.pairs.select("template_id", *DOC).join(rows, DOC, "left").join(wrong, DOC, "left")
-        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("answer_rows", "matched_rows", "missing_rows", "extra_rows")]
+        docs = self.pairs.select("template_id", *DOC).join(self._row_counts(DOC), DOC, "left").join(wrong, DOC, "left")
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
         return docs.groupBy("template_id").agg(F.count(F.lit(1)).alias("doc_total"), F.count_if(F.col("wrong").isNull()).alias("all_correct"), *sums)

@@ -1,29 +1,30 @@
-"""Greedy alignment of two ordered lists as a rank join.
+"""Greedy alignment of two ordered lists as a rank alignment.
 
 The k-th answer with a key pairs with the k-th result with that key; what is left pairs by
-position. Keys and parents are join keys throughout, so the work is equi-joins and windows
-partitioned by the parent.
+position. Both sides travel in one union with their contents, so each input is read once and
+the work is two windows and two aggregations by the parent, without a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-
-def rank_join(answers: DataFrame, results: DataFrame, parent: list[str], how: str = "full") -> DataFrame:
-    """Both sides (parent..., nkey, pos) -> (parent..., a_pos, r_pos); how: full keeps extra results
-    with a_pos null, left drops them. An empty nkey never matches by key."""
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        k = F.when(F.col("nkey") != "", F.row_number().over(Window.partitionBy(*parent, "nkey").orderBy("pos")))
-        return df.select(*parent, "nkey", F.col("pos").alias(f"{p}_pos"), k.alias("k"))
-
-    a, r = side(answers, "a"), side(results, "r")
-    keyed = a.filter("nkey <> ''").join(r.filter("nkey <> ''"), [*parent, "nkey", "k"]).select(*parent, "a_pos", "r_pos")
-
-    def rest(df: DataFrame, p: str) -> DataFrame:
-        left = df.join(keyed.select(*parent, f"{p}_pos"), [*parent, f"{p}_pos"], "left_anti")
-        return left.select(*parent, f"{p}_pos", F.row_number().over(Window.partitionBy(*parent).orderBy(f"{p}_pos")).alias("j"))
-
-    placed = rest(a, "a").join(rest(r, "r"), [*parent, "j"], how).select(*parent, "a_pos", "r_pos")
-    return keyed.unionByName(placed)
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def rank_align(answers: DataFrame, results: DataFrame, parent: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Both sides (parent..., nkey, pos, body) -> (parent..., carry..., a_pos, r_pos, a_body, r_body).
+
+    What has no partner has nulls on the other side. An empty or null nkey never matches by key.
+    carry: columns that depend on the parent alone."""
+    cols = [*parent, *carry, "nkey", "pos", "body"]
+    both = answers.select(*cols, F.lit(True).alias("is_a")).unionByName(results.select(*cols, F.lit(False).alias("is_a")))
+    keyed = F.coalesce(F.col("nkey") != "", F.lit(False))
+    k = F.row_number().over(Window.partitionBy(*parent, "nkey", "is_a").orderBy("pos"))
+    both = both.withColumn("k", k).withColumn("lone", F.when(~keyed, F.struct("is_a", "pos")))
+    of = lambda is_a, c: F.first(F.when(F.col("is_a") == is_a, F.col(c)), ignorenulls=True)
+    sides = [of(is_a, c).alias(f"{p}_{c}") for p, is_a in (("a", True), ("r", False)) for c in ("pos", "body")]
+    once = both.groupBy(*parent, *carry, "nkey", "k", "lone").agg(*sides)
+    alone: Column = F.col("a_pos").isNull() | F.col("r_pos").isNull()
+    j = F.row_number().over(Window.partitionBy(*parent, F.col("a_pos").isNull(), F.col("r_pos").isNull()).orderBy(F.coalesce("a_pos", "r_pos")))
+    once = once.withColumn("alone", alone).withColumn("j", j)
+    names = ("a_pos", "r_pos", "a_body", "r_body")
+    return once.groupBy(*parent, *carry, "alone", "j").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names]).select(*parent, *carry, *names)
