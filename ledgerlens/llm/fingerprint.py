@@ -73,7 +73,7 @@ def clashes(base: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
     several = scratch.save(prints.groupBy("h").count().filter("count > 1").select("h"), "several")
     salts = 32  # a bucket with very many members is dealt to as many tasks
     texts = base.select("doc_id", canonical(F.col("text")).alias("c")).select("c", wide_hash(F.col("c")).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    several = several.select("h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
+    several = several.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     checked = texts.join(several.hint("merge"), ["h", "salt"], "left_semi").groupBy("h", "salt").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     checked = checked.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return scratch.save(checked.filter("lo <> hi").select("h"), "clash")
