@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch
 
+LAST_ID = (1 << 63) - 1
 BUCKETS = 4096
 SHARPNESS = 20.0
 
@@ -83,10 +84,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: fl
     labels the memberships are even.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("domain").cast("string").alias("domain"))
     out = fit_rates(memberships(rows, marks, list(targets), scratch), list(targets.values()), scratch, low, high, budget)
-    return out.select("doc_id", F.col("n").alias("n_tokens"), F.col("p").alias("membership"), "rate")
+    return out.select(F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_tokens"), F.col("p").alias("membership"), "rate")
 
 
 def copies(rate: Column, key: Column, seed: int = 42) -> Column:
