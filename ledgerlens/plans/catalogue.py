@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import report_queries
+from . import extraction_queries, report_queries  # the first adds to the second's tables
 
+assert extraction_queries.query is report_queries.query
 QUERIES: dict = dict(report_queries.QUERIES)
 ORACLE: dict[str, str] = dict(report_queries.ORACLE)
