@@ -104,13 +104,14 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
 def train(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on soft labels, classes weighted alike."""
     w, b = np.zeros(x.shape[1]), 0.0
+    x, turned = np.ascontiguousarray(x, np.float32), np.ascontiguousarray(x.T, np.float32)
     share = np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98)
     weight = y * 0.5 / share + (1 - y) * 0.5 / (1 - share)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1 if len(y) else 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30)))
         d = weight * (p - y) / len(y)
-        g = np.append(x.T @ d + 1e-4 * w, d.sum())
+        g = np.append(turned @ d.astype(np.float32) + 1e-4 * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
