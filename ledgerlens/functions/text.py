@@ -56,3 +56,10 @@ def duration(ms: Column) -> Column:
         .when(ms < 60_000, F.format_string("%.2fs", ms / 1000))
         .otherwise(F.format_string("%dm%ds", F.floor(ms / 60_000), F.floor(F.pmod(ms, F.lit(60_000)) / 1000)))
     )
+
+
+def box_rect(box: Column) -> Column:
+    """Bounds (x, y, w, h) of a polygon given as an array of points."""
+    axis = lambda i: F.transform(box, lambda q: q[i])
+    low, high = [F.array_min(axis(i)) for i in (0, 1)], [F.array_max(axis(i)) for i in (0, 1)]
+    return F.struct(low[0].alias("x"), low[1].alias("y"), (high[0] - low[0]).alias("w"), (high[1] - low[1]).alias("h"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.functions.values import amounts_match, norm_invoice_no
+from ledgerlens.functions.values import amounts_match, freight_no, norm_invoice_no, trim_ws
 
 
 def fold_pages(entries: DataFrame, doc: str) -> DataFrame:
@@ -55,3 +55,24 @@ def batch_summary(docs: DataFrame, by: str) -> DataFrame:
     n = lambda c: F.count_if(F.col("category") == c)
     made = [F.count(F.lit(1)).alias("total"), n("target").alias("target"), n("non_target").alias("non_target"), F.count_if(F.col("category").isNull()).alias("unclassified"), F.count_if("annotated").alias("annotated")]
     return docs.groupBy(by).agg(*made)
+
+
+def estimated_votes(entries: DataFrame, doc: str) -> DataFrame:
+    """entries(doc, no, weight) -> (doc, no, votes): each number's votes, 1 at least for each entry."""
+    numbered = entries.withColumn("no", norm_invoice_no(F.coalesce("no", F.lit("")))).filter("no <> ''")
+    return numbered.groupBy(doc, "no").agg(F.sum(F.greatest(F.lit(1), F.coalesce("weight", F.lit(1)))).alias("votes"))
+
+
+def valid_row(cells: Column, required: Column) -> Column:
+    """A line counts if some cell is filled and no required one is blank."""
+    filled = lambda x: F.coalesce(trim_ws(x) != "", F.lit(False))
+    return F.exists(F.map_values(cells), filled) & F.forall(required, lambda k: filled(F.try_element_at(cells, k)))
+
+
+def page_outcome(failed: Column, target: Column, has_content: Column, valid: Column) -> Column:
+    return F.when(failed, "error").when(~target | ~has_content | ~valid, "skipped").otherwise("used")
+
+
+def freight_valid(has_header: Column, filled: Column, number: Column, has_lines: Column) -> Column:
+    """Without a header lines are needed; with one, 5 filled fields and a number of 11 characters."""
+    return F.when(~has_header, has_lines).otherwise((filled >= 5) & (F.length(freight_no(number)) == 11))
