@@ -222,6 +222,33 @@ def test_wide_simhash_finds_near_copies(docs, rows):
                     assert a not in got or b not in got or got[a] != got[b]
 
 
+def band_pairs(lengths, count, seed=11):
+    """Pairs of texts of which the second has some words replaced, at similarities from 0.7 to 1."""
+    rng, made = random.Random(seed), []
+    while len(made) < count:
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice(lengths))]
+        v = list(w)
+        for k in rng.sample(range(len(w)), rng.randint(1, max(1, round(0.035 * len(w))))):
+            v[k] = f"x{rng.randrange(10**9)}"
+        x, y = ({tuple(u[k : k + 5]) for k in range(max(1, len(u) - 4))} for u in (w, v))
+        made.append((len(x & y) / len(x | y), " ".join(w), " ".join(v)))
+    return made
+
+
+@pytest.mark.parametrize("lengths", [[120, 300, 600], [24, 40, 70, 90]])
+def test_wide_simhash_recall_by_band(spark, lengths):
+    """Pairs from 0.8 up are found, also near 0.8, and none below is."""
+    pairs = band_pairs(lengths, 900)
+    made = [(2 * k + j, p[1 + j]) for k, p in enumerate(pairs) for j in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_wide.similar_groups(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    found = [2 * k in got and got[2 * k] == got.get(2 * k + 1) for k in range(len(pairs))]
+    assert not any(f for f, p in zip(found, pairs, strict=True) if p[0] < 0.8)
+    for low, high, least in ((0.8, 0.83, 0.9), (0.83, 0.87, 0.95), (0.87, 0.91, 0.98), (0.91, 1.01, 0.99)):
+        band = [f for f, p in zip(found, pairs, strict=True) if low <= p[0] < high]
+        print(lengths, low, high, len(band), np.mean(band))
+        assert band and np.mean(band) >= least
+
+
 def test_quality_keeps_the_labelled_good(spark):
     d = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
