@@ -3,11 +3,12 @@
 Pieces and scores come from a BPE model with byte fallback. A text is cut into units, over which no
 piece reaches: runs of spaces with the letters after them, and runs of other characters (runs of
 spaces with all that follows them if the model has pieces that mix letters and others). In each unit candidate merges wait
-in an agenda ordered by score, then place; a candidate that comes up is skipped, for good, if a
-hash keyed by seed, variant, unit and place falls under the dropout rate. The variant, one of
-VARIANTS, is drawn by hash from the document and the unit's place in it, so a word is segmented
-in several ways within and across documents while every way stays reproducible and can be kept
-for the next time the word comes. With dropout 0 the ids are those of the library.
+in an agenda ordered by score, then place; a candidate that comes up is skipped, for good, by a draw
+of its own at the dropout rate. The draws of a unit are the bits of one number, a bit for each
+candidate in the order in which they come up; the numbers come from a generator keyed by seed, document and
+the copy's turn, at the unit's place in the text. So every occurrence is varied by itself and stays
+reproducible. What is remembered is free of seeds: the ids of a unit without skips, and its ids by
+the bits that its agenda can use. With dropout 0 the ids are those of the library.
 
 Short units that are new in a batch go through their agendas side by side, one candidate of each
 unit a step, in arrays with a row for each unit; long or unusual ones take the agenda alone.
@@ -24,21 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .common import Recent
 
 SPACE = "▁"
-VARIANTS = 4
-CACHE = 200_000
+CACHE = 100_000
 LETTER, OTHER = "[^\\W\\d_²³¹]", f"(?:[\\W\\d_²³¹](?<!{SPACE}))"
 #: Runs of letters and of others apart, and whole words for models whose pieces mix them.
 APART = re.compile(f"{SPACE}*{LETTER}+|{SPACE}*{OTHER}+|{SPACE}+")
 WHOLE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MIXED = re.compile(f"{LETTER}{OTHER}|{OTHER}{LETTER}")
-SHORT = 32
+SHORT = 22  # an agenda of n characters draws at most 3 (n - 1) bits, so 64 do
 MASK = (1 << 64) - 1
 
 
@@ -54,13 +53,13 @@ class Pieces:
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.units = WHOLE if any(map(MIXED.search, self.ids)) else APART
-        self.limit, self.seed = int(dropout * (1 << 64)), seed
+        self.limit, self.seed = round(dropout * (1 << 32)), seed
         self.pairs, self.pair_scores, self.pair_ids = self._pairs()
         self.chars = np.full(0x110000, -1, np.int64)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.chars[ord(piece)] = i
-        self.known = [Recent(CACHE // VARIANTS) for _ in range(VARIANTS)]
+        self.plain, self.varied = Recent(CACHE), Recent(CACHE)
 
     def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted codes of all pairs of pieces that merge, with the score and id of what they give."""
@@ -75,24 +74,22 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
         return np.where(self.pairs[at] == code, self.pair_scores[at], np.inf), self.pair_ids[at]
 
-    def _side_by_side(self, sym: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """sym: ids of single characters, a row for each unit. (final ids, how many in each row)."""
+    def _side_by_side(self, sym: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """sym: ids of single characters, a row for each unit, skips: its draws. (final ids, how many in each row, draws used)."""
         count, n = sym.shape
         ends, before = np.tile(np.arange(1, n + 1), (count, 1)), np.tile(np.arange(-1, n - 1), (count, 1))
         score, made = np.full((count, n), np.inf), np.zeros((count, n), np.int64)
         score[:, :-1], made[:, :-1] = self._look(sym[:, :-1], sym[:, 1:])
-        rows = np.arange(count)
+        rows, drawn = np.arange(count), np.zeros(count, np.int64)
         while len(rows):
             a = score[rows].argmin(1)
             live = score[rows, a] < np.inf
             rows, a = rows[live], a[live]
             r, b = rows, ends[rows, a]
-            if self.limit and len(r):
-                c = ends[r, b]
-                with np.errstate(over="ignore"):
-                    h = keys[r] ^ ((a << 40) + (b << 20) + c + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                skip = h ^ (h >> np.uint64(29)) < np.uint64(self.limit)
+            skip = (skips[r] & np.uint64(1)).astype(bool)
+            skips[r] >>= np.uint64(1)
+            drawn[r] += 1
+            if skip.any():
                 score[r[skip], a[skip]] = np.inf
                 r, a, b = r[~skip], a[~skip], b[~skip]
             c = ends[r, b]
@@ -107,44 +104,40 @@ class Pieces:
             x, y, z = r[more], left[more], a[more]
             score[x, y], made[x, y] = self._look(sym[x, y], sym[x, z])
         kept = ends > 0
-        return sym[kept].astype("<u4"), kept.sum(1)
+        return sym[kept].astype("<u4"), kept.sum(1), drawn
 
-    def _new(self, units: dict[str, bytes | None], variant: int) -> None:
-        """Fills in the ids of all units."""
-        by_length: dict[int, list[str]] = {}
-        for unit in units:
-            by_length.setdefault(len(unit), []).append(unit)
+    def _new(self, units: dict[tuple[str, int], tuple[bytes, int] | None]) -> None:
+        """Fills in (ids, how many draws were used) of all (unit, draws)."""
+        by_length: dict[int, list[tuple[str, int]]] = {}
+        for key in units:
+            by_length.setdefault(len(key[0]), []).append(key)
         for n, same in by_length.items():
             if n > SHORT or len(same) < 8:
-                units.update((u, self._unit(u, variant)) for u in same)
+                units.update((key, self._alone(*key)) for key in same)
                 continue
-            sym = self.chars[np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)]
+            sym = self.chars[np.frombuffer("".join([u for u, _ in same]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)]
             plain = (sym >= 0).all(1)
-            units.update((same[k], self._unit(same[k], variant)) for k in np.flatnonzero(~plain).tolist())
+            units.update((same[k], self._alone(*same[k])) for k in np.flatnonzero(~plain).tolist())
             same = [same[k] for k in np.flatnonzero(plain).tolist()]
-            seed = (self.seed * VARIANTS + variant) & MASK
-            keys = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in same] if self.limit else [], np.uint64)
-            flat, sizes = self._side_by_side(sym[plain], keys)
+            flat, sizes, drawn = self._side_by_side(sym[plain], np.array([v for _, v in same], np.uint64))
             raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
-            units.update((u, raw[s:e]) for u, s, e in zip(same, [0, *ends[:-1]], ends, strict=False))
+            units.update((key, (raw[s:e], d)) for key, s, e, d in zip(same, [0, *ends[:-1]], ends, drawn.tolist(), strict=False))
 
-    def segment(self, unit: str, variant: int) -> list[str]:
-        """Symbols of one unit after the agenda is empty."""
-        n, scores, limit = len(unit), self.scores, self.limit
+    def segment(self, unit: str, skips: int) -> tuple[list[str], int]:
+        """Symbols of one unit after the agenda is empty, and how many draws were used."""
+        n, scores = len(unit), self.scores
         ends = list(range(1, n + 1))  # by the start of a symbol: where it ends; 0 once merged into its left
         before = list(range(-1, n - 1))
-        key = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (self.seed * VARIANTS + variant) & MASK) if limit else 0
         agenda = [(scores[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in scores]
         heapq.heapify(agenda)
+        drawn = 0
         while agenda:
             _, a, b, c = heapq.heappop(agenda)
             if ends[a] != b or ends[b] != c:
                 continue
-            if limit:
-                h = (key ^ ((a << 40) + (b << 20) + c + 1) * 0x9E3779B97F4A7C15) & MASK
-                h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & MASK
-                if h ^ (h >> 29) < limit:
-                    continue
+            skip, skips, drawn = skips & 1, skips >> 1, drawn + 1
+            if skip:
+                continue
             ends[a], ends[b] = c, 0
             if c < n:
                 before[c] = a
@@ -160,55 +153,92 @@ class Pieces:
         while i < n:
             out.append(unit[i : ends[i]])
             i = ends[i]
-        return out
+        return out, drawn
 
-    def _unit(self, unit: str, variant: int, literal: str | None = None) -> bytes:
+    def _alone(self, unit: str, skips: int, literal: str | None = None) -> tuple[bytes, int]:
         ids: list[int] = []
-        for s in self.segment(unit, variant):
+        symbols, drawn = self.segment(unit, skips)
+        for s in symbols:
             i = self.ids.get(s)
             if i is None:
                 ids += [self.bytes[b] for b in (SPACE if s == literal else s).encode("utf-8", "surrogatepass")]
             else:
                 ids.append(i)
-        return np.array(ids, "<u4").tobytes()
+        return np.array(ids, "<u4").tobytes(), drawn
+
+    def _unit(self, unit: str, skips: int, literal: str | None = None) -> bytes:
+        return self._alone(unit, skips, literal)[0]
 
-    def _cut(self, text: str, doc: int) -> tuple[list[str], list[int]]:
-        """Units with the variant of each."""
+    def _draws(self, key: int, place: int, count: int) -> np.ndarray:
+        """count draws at the dropout rate; places have streams of their own."""
+        raw = np.random.Philox(key=key, counter=place << 128).random_raw(-(-count // 2))
+        return np.ascontiguousarray(raw, "<u8").view("<u4")[:count] < self.limit
+
+    def _cut(self, text: str, doc: int, turn: int = 0) -> tuple[list[str], list[int]]:
+        """Units with the draws of each."""
         units = self.units.findall(SPACE + text.replace(" ", SPACE))
         if not self.limit:
             return units, [0] * len(units)
-        keyed = np.random.Philox(key=(doc & MASK) ^ self.seed).random_raw(-(-len(units) // 32))
-        bits = (np.asarray(keyed, np.uint64)[:, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(VARIANTS - 1)
-        return units, bits.ravel().tolist()
-
-    def _marked(self, text: str, doc: int) -> bytes:
+        key = (doc & MASK) ^ (self.seed & MASK) | (turn & MASK) << 64
+        skips = np.packbits(self._draws(key, 0, 64 * len(units)), bitorder="little").view("<u8").tolist()
+        for k, unit in enumerate(units):
+            if len(unit) > SHORT:
+                skips[k] = int.from_bytes(np.packbits(self._draws(key, k + 1, 3 * len(unit)), bitorder="little").tobytes(), "little")
+        return units, skips
+
+    def _marked(self, text: str, doc: int, turn: int) -> bytes:
         """A literal mark is kept apart from spaces, as bytes."""
         literal = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and c not in self.ids)
-        return b"".join([self._unit(u, v, literal) for u, v in zip(*self._cut(text.replace(SPACE, literal), doc), strict=False)])
-
-    def encode_batch(self, texts: list[str], docs: list[int]) -> list[np.ndarray]:
-        known, out, holes = self.known, [], []
-        new: list[dict[str, bytes | None]] = [{} for _ in range(VARIANTS)]
-        for text, doc in zip(texts, docs, strict=True):
+        return b"".join([self._unit(u, v, literal) for u, v in zip(*self._cut(text.replace(SPACE, literal), doc, turn), strict=True)])
+
+    def _plain(self, units: set[str]) -> dict[str, tuple[bytes, int, int]]:
+        """By unit: ids without skips, the draws that these need to be 0, and one draw more."""
+        have = {u: self.plain.get(u) for u in units}
+        new: dict[tuple[str, int], tuple[bytes, int] | None] = {(u, 0): None for u, got in have.items() if got is None}
+        self._new(new)
+        for (u, _), (ids, drawn) in new.items():
+            have[u] = ids, (1 << drawn) - 1, (2 << drawn) - 1
+            self.plain.put(u, have[u])
+        return have
+
+    def encode_batch(self, texts: list[str], docs: list[int], turns: list[int] | None = None) -> list[np.ndarray]:
+        """Ids of each text; turns tell copies of a document apart.
+
+        An agenda that ends within the first draws is remembered by these alone; that it goes on is
+        remembered as a number, and its ids by all draws that it can use.
+        """
+        turns = turns or [0] * len(texts)
+        cut = [None if SPACE in text else self._cut(text, doc, turn) if text else ([], []) for text, doc, turn in zip(texts, docs, turns, strict=True)]
+        have = self._plain({u for c in cut if c for u in c[0]})
+        varied, out, holes = self.varied, [], []
+        new: dict[tuple[str, int], tuple[bytes, int] | None] = {}
+        for text, doc, turn, c in zip(texts, docs, turns, cut, strict=True):
             parts: list[bytes | None] = []
             out.append(parts)
-            if SPACE in text:
-                parts.append(self._marked(text, doc))
-            elif text:
-                for unit, v in zip(*self._cut(text, doc), strict=False):
-                    got = known[v].young.get(unit)
+            if c is None:
+                parts.append(self._marked(text, doc, turn))
+                continue
+            for unit, v in zip(*c, strict=True):
+                got, needed, first = have[unit]
+                if v & needed:
+                    got = varied.get((unit, v & first))
+                    if got.__class__ is int:
+                        got = varied.get((unit, v & got, True))
                     if got is None:
-                        got = known[v].get(unit)
-                        if got is None:
-                            new[v][unit] = None
-                            holes.append((parts, len(parts), unit, v))
-                    parts.append(got)
-        for v, units in enumerate(new):
-            self._new(units, v)
-            for unit, got in units.items():
-                known[v].put(unit, got)
-        for parts, k, unit, v in holes:
-            parts[k] = new[v][unit]
+                        key = unit, v & (1 << 3 * (len(unit) - 1)) - 1
+                        new[key] = None
+                        holes.append((parts, len(parts), key))
+                parts.append(got)
+        self._new(new)
+        for (unit, v), (ids, drawn) in new.items():
+            first = have[unit][2]
+            if drawn <= first.bit_length():
+                varied.put((unit, v & first), ids)
+            else:
+                varied.put((unit, v & first), (1 << 3 * (len(unit) - 1)) - 1)
+                varied.put((unit, v, True), ids)
+        for parts, k, key in holes:
+            parts[k] = new[key][0]
         return [np.frombuffer(b"".join(parts), "<u4") for parts in out]
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
@@ -225,26 +255,30 @@ def pieces_of(path: str, dropout: float, seed: int) -> Pieces:
     return Pieces(path, dropout, seed)
 
 
-def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, columns: tuple[str, ...] = ()) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, columns: tuple[str, ...] = (), turns: bool = False) -> DataFrame:
     """Per row: the given columns of docs, doc_id, text, ids (array<int>), decoded.
 
-    Null text counts as empty and gives no ids. Rows that repeat a doc_id are segmented alike; a
-    null doc_id is keyed as 0. Columns named text, ids or decoded of docs are not passed on.
+    Null text counts as empty and gives no ids. With turns, rows equal in doc_id and text are numbered
+    and each is segmented by draws of its own; else they are segmented alike. A null doc_id is keyed as 0. Columns named text, ids or decoded of docs are not passed on.
     """
     extra = [c for c in columns if c not in ("doc_id", "text", "ids", "decoded")]
     rows = docs.select(*extra, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    width = len(rows.columns)
     schema = StructType(list(rows.schema.fields)).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
     at, names = len(extra), [f.name for f in schema]
+    if turns:
+        copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+        rows = rows.withColumn("turn", F.row_number().over(copies) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, dropout, seed)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                ids = pieces.encode_batch(b.column(at + 1).to_pylist(), [d or 0 for d in b.column(at).to_pylist()])
+                ids = pieces.encode_batch(b.column(at + 1).to_pylist(), [d or 0 for d in b.column(at).to_pylist()], b.column(width).to_pylist() if turns else None)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([pieces.decode(x) for x in ids], pa.string())], names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([pieces.decode(x) for x in ids], pa.string())], names)
 
     return rows.mapInArrow(run, schema)
 

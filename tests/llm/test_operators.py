@@ -179,6 +179,24 @@ def test_pieces(docs, rows):
     assert all(r["lossless"] for r in sentencepieces.piece_digests(docs, model).collect())
 
 
+def test_dropout_is_drawn_for_each_occurrence(spark):
+    """One word many times has far more than four segmentations, at the rate of independent draws."""
+    model = queries.tokenizer_file("piece_bpe_32k.model")
+    pieces = sentencepieces.Pieces(model, 0.1, 42)
+    plain = sentencepieces.Pieces(model, 0.0, 42).encode("harbour").tobytes()
+    seen = [pieces.encode(" ".join(["harbour"] * 50), doc) for doc in range(40)]
+    words = [w for ids in seen for w in pieces.decode(ids).split()]
+    units = [pieces._unit(u, v) for doc in range(40) for u, v in zip(*pieces._cut(" ".join(["harbour"] * 50), doc), strict=True)]
+    assert words == ["harbour"] * 2000 and len(set(units)) > 8
+    rng = random.Random(1)
+    free = [pieces._unit("\u2581harbour", sum((rng.random() < 0.1) << k for k in range(24))) for _ in range(2000)]
+    assert abs(np.mean([u == plain for u in units]) - np.mean([u == plain for u in free])) < 0.05
+    df = spark.createDataFrame([(7, " ".join(["harbour garden"] * 40))] * 3, "doc_id long, text string")
+    copies = [tuple(r["ids"]) for r in sentencepieces.encode_pieces(df, model, turns=True).collect()]
+    again = [tuple(r["ids"]) for r in sentencepieces.encode_pieces(df.repartition(2), model, turns=True).collect()]
+    assert len(set(copies)) == 3 and sorted(copies) == sorted(again)
+
+
 def test_langid_held_out(spark):
     d = "/root/testdata/sf0.01"
     truth = {r[0]: r[1] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
