@@ -19,6 +19,8 @@ from .common import Scratch
 LAST_ID = (1 << 63) - 1
 BUCKETS = 4096
 SHARPNESS = 20.0
+#: A derived budget over the least one; by how much it grows, how often, and the miss that is let pass.
+SLACK, MORE, TRIES, NEAR = 1.1, 1.25, 4, 0.01
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -47,9 +49,11 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], scratc
     return soft.union(empty.select("doc_id", F.lit(0).cast("long"), F.array(*map(F.lit, prior))))
 
 
-def fit_rates(members: DataFrame, weights: list[float], scratch: Scratch, low: float = 0.0, high: float = 1e6, budget: float = 1.0, rounds: int = 60, tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(members: DataFrame, weights: list[float], scratch: Scratch, low: float = 0.0, high: float = 1e6, budget: float | None = 1.0, rounds: int = 60, tolerance: float = 1e-4) -> DataFrame:
     """members(doc_id, n, p) -> with rate. The target of domain d is budget x all tokens x
-    weights[d] / sum(weights); rates stay within low and high."""
+    weights[d] / sum(weights); rates stay within low and high. Budget None takes the least with which
+    no rate need fall under 1, and some more for what documents hold of domains they are not of;
+    where targets are still missed, it grows. A domain that is no document's likeliest has no target then."""
     base = scratch.save(members, "members")
     k = len(weights)
     at = lambda j: F.element_at("p", j + 1)
@@ -58,24 +62,42 @@ def fit_rates(members: DataFrame, weights: list[float], scratch: Scratch, low: f
         row = df.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("n") * at(j)), F.lit(0.0)).alias(f"t{j}") for j in range(k)]).first()
         return [row[j] for j in range(k)]
 
-    df = base.withColumn("rate", F.lit(min(max(1.0, low), high)).cast("double"))
     ones = totals(base.withColumn("rate", F.lit(1.0)))
-    goal = [budget * sum(ones) * w / sum(weights) for w in weights]
-    for i in range(rounds):
-        now = totals(df)
-        if all(abs(a - g) <= tolerance * max(g, 1.0) for a, g in zip(now, goal, strict=True)):
+    start = base.withColumn("rate", F.lit(min(max(1.0, low), high)).cast("double"))
+
+    def fitted(budget: float, goal: list[float | None]) -> tuple[DataFrame, float]:
+        """Rates, and by which part of its goal the worst domain misses it."""
+        df = start
+        for i in range(rounds + 1):
+            now = totals(df)
+            missed = [(abs(a - g), max(g, 1.0)) for a, g in zip(now, goal, strict=True) if g is not None]
+            if i == rounds or all(m <= tolerance * g for m, g in missed):
+                break
+            step: Column = F.lit(0.0)
+            for j in range(k):
+                if ones[j] > 0 and goal[j] is not None:
+                    step = step + at(j) * F.lit((now[j] - goal[j]) / ones[j])
+            df = df.withColumn("rate", F.least(F.lit(float(high)), F.greatest(F.lit(low), F.col("rate") - step)))
+            if i % 6 == 5:
+                df = scratch.save(df, "rates")
+        return df, max([m / g for m, g in missed], default=0.0)
+
+    if budget is not None:
+        return fitted(budget, [budget * sum(ones) * w / sum(weights) for w in weights])[0]
+    likely = base.filter("n > 0").select(F.array_position("p", F.array_max("p")).alias("d")).distinct().collect()  # at most k rows
+    there = {r["d"] - 1 for r in likely}
+    whole = sum(w for j, w in enumerate(weights) if j in there)
+    shares = [(ones[j] / sum(ones)) / (weights[j] / whole) for j in there if weights[j] > 0]
+    budget = SLACK * max([1.0, *shares])
+    for _ in range(TRIES):
+        df, missed = fitted(budget, [budget * sum(ones) * w / whole if j in there else None for j, w in enumerate(weights)])
+        if missed <= NEAR:
             break
-        step: Column = F.lit(0.0)
-        for j in range(k):
-            if ones[j] > 0:
-                step = step + at(j) * F.lit((now[j] - goal[j]) / ones[j])
-        df = df.withColumn("rate", F.least(F.lit(high), F.greatest(F.lit(low), F.col("rate") - step)))
-        if i % 6 == 5:
-            df = scratch.save(df, "rates")
+        budget *= MORE
     return df
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: float = 0.0, high: float = 1e6, budget: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: float = 0.0, high: float = 1e6, budget: float | None = 1.0) -> DataFrame:
     """One row for each doc_id: doc_id, n_tokens, membership (by the order of targets), rate.
 
     docs needs doc_id and text, labelled needs text and domain; others are ignored, as are labels

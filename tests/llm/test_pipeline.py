@@ -2,6 +2,9 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.mixing import mix
+from ledgerlens.llm.queries import TARGETS, labelled_domains
+
 
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
@@ -37,3 +40,21 @@ def test_clean_labelled_documents_stay(spark, stages):
     good = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("quality = 1").select("doc_id")
     of = stages[0].join(good, "doc_id", "left_semi").count()
     assert stages[1].join(good, "doc_id", "left_semi").count() >= 0.95 * of
+
+
+def test_mixing_meets_targets_at_a_far_mix(spark):
+    """A hot source is French and Spanish is rare; the stage still gives every domain its share."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    keep = F.col("lang").isin("fr", "de") | (F.col("lang") == "en") & (F.col("doc_id") % 8 == 0) | (F.col("lang") == "es") & (F.col("doc_id") % 40 == 0)
+    docs = docs.filter(keep).localCheckpoint()
+    marked = labelled_domains(docs, spark, d)
+    known = mix(docs, marked, TARGETS, low=1.0, high=1.0).select("doc_id", "n_tokens", "membership").localCheckpoint()
+    shares = [F.sum(F.col("n_tokens") * F.element_at("membership", j + 1)).alias(k) for j, k in enumerate(TARGETS)]
+    before = known.agg(*shares).first()
+    after = corpus_pipeline.mixing(spark, docs, d).select("doc_id").join(known, "doc_id").agg(*shares).first()
+    part = lambda r: {k: r[k] / sum(r) for k in TARGETS}
+    print(part(before), part(after), sum(after) / sum(before))
+    assert part(before)["fr"] > 1.5 * TARGETS["fr"] and part(before)["es"] < 1.5 * TARGETS["es"] / 4
+    assert all(abs(part(after)[k] - w) < 0.02 for k, w in TARGETS.items())
+    assert {r[0] for r in docs.select("doc_id").collect()} <= {r[0] for r in known.select("doc_id").collect()}
