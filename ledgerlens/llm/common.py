@@ -15,14 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder. A local session that names none gets a temporary one; a cluster has to name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def partitions(rows: DataFrame, each: int = 20_000) -> int:
+    """As many partitions as the session asks for, and more where they would hold over ``each`` rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; free() deletes one that is used up."""
 

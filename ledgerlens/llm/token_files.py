@@ -3,134 +3,212 @@
 File format: Parquet rows, one for each shard of about SHARD ids: part and shard (their order is
 the order of the ids), doc_ids and doc_lens (little-endian int64), rules (pairs of uint32: rule k
 expands symbol first+k), lens (uint32 expansion length of each rule), seq (the compressed
-symbols, uint16 where they fit, else uint32) and n_ids. Re-Pair builds the rules: the most
-frequent adjacent pairs become nonterminals, round after round, within a shard; each round
-counts all pairs exactly among the busiest counting cells and replaces many pairs at once, left
-to right. The end id never starts a pair, so no symbol reaches over a document's end, and the
-lengths give any document's place without expanding what lies before it.
+symbols, uint16 where they fit, else uint32) and n_ids. Re-Pair builds the rules within a shard:
+frequent adjacent pairs become nonterminals, round after round, until no pair occurs LEAST times.
+A round replaces many pairs at once: where occurrences touch, the more frequent pair wins, and
+equal ones take turns from the left. A symbol that ends in the end id never starts a pair, so no
+symbol reaches over a document's end, and the lengths give any document's place without
+expanding what lies before it.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Recent
+from .common import Recent, partitions
 
 SHARD = 1 << 20
-ROUNDS, PER_ROUND, LEAST = 4, 4096, 8
+LEAST, CELLS = 8, 20
 CACHE = 300_000
 SHARD_SCHEMA = "part int, shard int, n_ids long, first long, doc_ids binary, doc_lens binary, rules binary, lens binary, wide boolean, seq binary"
 
 
-def repair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules[k] = the two symbols that first + k stands for)."""
-    seq, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
-    room = max(0, (1 << 16) - first) or (1 << 20)
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST or len(rules) >= room:
-            break
-        pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:].astype(np.uint32) if room <= 1 << 16 else (seq[:-1] << 32) | seq[1:]
-        cell = (pair.astype(np.uint32) * np.uint32(0x9E3779B1) ^ (pair >> 16).astype(np.uint32)) >> np.uint32(12)
-        cell[seq[:-1] == end_id] = 1 << 20
-        counts = np.bincount(cell, minlength=(1 << 20) + 1)
-        counts[1 << 20] = 0
-        busy = np.argpartition(counts, -PER_ROUND)[-PER_ROUND:]
-        top = np.zeros((1 << 20) + 1, bool)
-        top[busy[counts[busy] >= LEAST]] = True
-        at = np.flatnonzero(top[cell])
+def repair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules[k] = the two symbols that first + k stands for, expansion length of each rule)."""
+    seq = ids.astype(np.uint32)
+    rules, lens, closed = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64), np.arange(first) == end_id
+    while len(seq) > 1:
+        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        with np.errstate(over="ignore"):
+            cell = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS)).astype(np.int64)
+        cell[closed[seq[:-1]]] = 1 << CELLS
+        busy = np.bincount(cell, minlength=(1 << CELLS) + 1) >= LEAST  # only in these can a pair be frequent
+        busy[1 << CELLS] = False
+        at = np.flatnonzero(busy[cell])
         some = pair[at]
         kinds, times = np.unique(some, return_counts=True)
         kinds, times = kinds[times >= LEAST], times[times >= LEAST]
-        left = room - len(rules)
-        if len(kinds) > left:
-            kinds = np.sort(kinds[np.argsort(-times, kind="stable")[:left]])
         if not len(kinds):
             break
-        which = np.minimum(np.searchsorted(kinds, some), len(kinds) - 1)
+        with np.errstate(over="ignore"):
+            home = ((kinds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS)).astype(np.int64)
+        kind_of = np.zeros((1 << CELLS) + 1, np.int64)
+        rise = np.argsort(times, kind="stable")
+        kind_of[home[rise]] = rise  # of kinds that share a cell, the most frequent goes first
+        which = kind_of[cell[at]]
         hit = kinds[which] == some
         at, which = at[hit], which[hit]
+        weight = np.zeros(len(seq) + 1, np.int64)
+        weight[at + 1] = times[which]
+        best = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[np.minimum(at + 2, len(seq))])
+        at, which = at[best], which[best]
         fresh = np.concatenate([[True], np.diff(at) > 1])  # of places that touch, every other one from the left
         run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         take = (np.arange(len(at)) - run) % 2 == 0
         at, which = at[take], which[take]
-        seq[at] = first + len(rules) + which
+        used = np.bincount(which, minlength=len(kinds)) >= LEAST // 2  # the most frequent pair always is
+        name = np.cumsum(used) - 1 + first + len(rules)
+        take = used[which]
+        at, which = at[take], which[take]
+        kinds = kinds[used]
+        new = np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        known = np.concatenate([np.ones(first, np.int64), lens])
+        lens = np.concatenate([lens, known[new].sum(1)])
+        closed = np.concatenate([closed, closed[new[:, 1]]])
+        rules = np.concatenate([rules, new])
+        seq[at] = name[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        low = 16 if room <= 1 << 16 else 32
-        rules = np.concatenate([rules, np.stack([kinds >> low, kinds & ((1 << low) - 1)], 1).astype(np.int64)])
-    return seq, rules
-
-
-def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    lens = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lens[k] = (lens[a - first] if a >= first else 1) + (lens[b - first] if b >= first else 1)
-    return lens
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    out = symbols.astype(np.int64)
-    while (big := out >= first).any():
-        width = np.where(big, 2, 1)
-        start = np.cumsum(width) - width
-        nxt = np.empty(int(width.sum()), np.int64)
-        nxt[start[~big]] = out[~big]
-        pairs = rules[out[big] - first]
-        nxt[start[big]], nxt[start[big] + 1] = pairs[:, 0], pairs[:, 1]
-        out = nxt
+    return seq, rules, lens
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, lens: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for: each nonterminal puts its two parts where it stood."""
+    width = np.concatenate([np.ones(first, np.int64), lens.astype(np.int64)])
+    now = symbols.astype(np.int64)
+    size = width[now]
+    place = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    while len(now):
+        leaf = now < first
+        out[place[leaf]] = now[leaf]
+        now, place = now[~leaf], place[~leaf]
+        left, right = rules[now - first].T.astype(np.int64)
+        now, place = np.concatenate([left, right]), np.concatenate([place, place + width[left]])
     return out
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer whose words never meet across white space.
+# Kinds of bytes: a text may be cut between two of LETTER, DIGIT and MARK, and between digits.
+BLANK, LETTER, DIGIT, MARK, LEAD, OTHER = range(6)
+BYTE = np.full(256, OTHER, np.uint8)
+BYTE[33:127] = MARK
+BYTE[list(b" \t\n\x0b\x0c\r")] = BLANK
+BYTE[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+BYTE[[c for c in range(128) if chr(c).isdigit()]] = DIGIT
+BYTE[ord("'")] = OTHER
+BYTE[0xC3] = LEAD
+PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3(?![\x97\xb7])[\x80-\xbf])+")
 
-    Distinct words are encoded once and remembered. A text with a separator that Python counts as
-    white space and the tokenizer does not is encoded whole.
-    """
 
-    ODD = tuple("\x1c\x1d\x1e\x1f")
+class UnitEncoder:
+    """Ids of whole texts by a tokenizer that drops white space, lowers case and keeps runs of
+    letters, single digits and runs of marks apart.
+
+    Texts are cut where the tokenizer cuts in any case: at ASCII white space and between ASCII or
+    Latin-1 letters, digits and ASCII marks; never next to an apostrophe or another character.
+    Distinct units are encoded once and remembered. A text with one of the tokenizer's added
+    tokens in it is encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.ends = ends
         self.known = Recent(CACHE)
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        known: dict[str, bytes] = {}
-        new = []
-        for w in {w for words in split if words for w in words}:
-            got = self.known.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                known[w] = got
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, got in zip(part, self._raw(part), strict=True):
-                known[w] = got
-                self.known.put(w, got)
-        return [np.frombuffer(self._raw([t])[0] if words is None else b"".join([known[w] for w in words]), "<u4") for t, words in zip(texts, split, strict=True)]
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """Units of letters, digits or marks alone are one word each, so many are encoded in one
+        text and parted at the ends of words; others are encoded one by one."""
+        plain = list(filter(PLAIN.fullmatch, units))
+        rest = sorted(set(units).difference(plain))
+        out = {u: ids.tobytes() for u, ids in zip(rest, self._raw([u.decode("utf-8", "replace") for u in rest]), strict=True)}
+        for at in range(0, len(plain), 250):
+            some = plain[at : at + 250]
+            ids = self._raw([b" ".join(some).decode()])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            raw, begin = ids.tobytes(), 0
+            assert len(stops) == len(some)
+            for u, stop in zip(some, (4 * stops).tolist(), strict=True):
+                out[u], begin = raw[begin:stop], stop
+        return out
+
+    def units(self, texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
+        """All units of the texts in order, and how many each text has."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+        kind = BYTE[data]
+        nxt = np.append(data[1:], 0)
+        accent = (kind == LEAD) & (nxt >= 0x80) & (nxt != 0x97) & (nxt != 0xB7)  # C3 80 to C3 BF are letters but for two
+        kind[accent] = LETTER
+        kind[np.flatnonzero(accent) + 1] = LETTER
+        kind[kind == LEAD] = OTHER
+        after = np.append(kind[1:], BLANK)
+        lower = data.copy()
+        calm = after != OTHER  # a combining mark could follow
+        lower[(data >= 65) & (data <= 90) & calm] += 32
+        second = np.append(False, accent[:-1]) & (data < 0x9F) & (data != 0x97) & calm
+        lower[second] += 32
+        before = np.append(np.uint8(BLANK), kind[:-1])
+        cut = (kind != BLANK) & ((before == BLANK) | ((kind != before) & (kind != OTHER) & (before != OTHER)) | ((kind == DIGIT) & (before == DIGIT)))
+        starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+        cut[starts] = kind[starts] != BLANK
+        solid = kind != BLANK
+        bounds = np.append(np.cumsum(solid, dtype=np.int32)[cut] - 1, np.int32(solid.sum()))
+        made = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(lower[solid])])
+        return made, np.diff(np.append(np.int32(0), np.cumsum(cut, dtype=np.int32))[offsets])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); texts without nulls."""
+        hints = [pc.match_substring(texts, t) for t in self.added]
+        special = {i: texts[i].as_py() for i in np.flatnonzero(np.any([h.to_numpy(zero_copy_only=False) for h in hints], axis=0)).tolist()} if hints else {}
+        if special:
+            texts = pa.array(["" if i in special else t for i, t in enumerate(texts.to_pylist())], pa.string())
+        units, count = self.units(texts)
+        coded = units.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        got = [self.known.get(w) for w in words]
+        fresh = self._learn([w for w, g in zip(words, got, strict=True) if g is None])
+        for w, ids in fresh.items():
+            self.known.put(w, ids)
+        got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
+        which = coded.indices.to_numpy()
+        ids = np.frombuffer(b"".join(map(got.__getitem__, which.tolist())), "<u4")
+        ends = np.cumsum((np.fromiter(map(len, got), np.int32, len(got)) // 4)[which])
+        sizes = np.diff(np.append(0, ends)[np.append(0, np.cumsum(count))])
+        if special:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, t in special.items():
+                parts[i] = self._raw([t])[0]
+            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, sizes
 
 
 @functools.cache
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str) -> UnitEncoder:
     """One for each Python worker, so that what it remembers outlives a task."""
-    return WordEncoder(path)
+    return UnitEncoder(path)
 
 
 def vocabulary_size(path: str) -> int:
@@ -145,58 +223,53 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
     Null text counts as empty and gives the end id alone. Rows that repeat a doc_id stay next to
     each other, in text order. Other columns are ignored; an empty table writes no shard.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = vocabulary_size(tokenizer)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, shard = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
-        names: list[int | None] = []
-        lens: list[int] = []
-        end = np.array([end_id], np.uint32)
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal shard
-            seq, rules = repair(np.concatenate(ids), first, end_id)
+            ids, lens = (np.concatenate([h[j] for h in held]) for j in (1, 2))
+            names = np.concatenate([h[0].fill_null(-(1 << 63)).to_numpy() for h in held])
+            held.clear()
+            seq, rules, sizes = repair(ids, first, end_id)
             wide = first + len(rules) > 1 << 16
             row = {
-                "part": part, "shard": shard, "n_ids": sum(lens), "first": first,
-                "doc_ids": np.array([-(1 << 63) if x is None else x for x in names], "<i8").tobytes(), "doc_lens": np.array(lens, "<i8").tobytes(),
-                "rules": rules.astype("<u4").tobytes(), "lens": rule_lengths(rules, first).astype("<u4").tobytes(), "wide": wide, "seq": seq.astype("<u4" if wide else "<u2").tobytes(),
+                "part": part, "shard": shard, "n_ids": len(ids), "first": first, "doc_ids": names.astype("<i8").tobytes(), "doc_lens": lens.astype("<i8").tobytes(),
+                "rules": rules.astype("<u4").tobytes(), "lens": sizes.astype("<u4").tobytes(), "wide": wide, "seq": seq.astype("<u4" if wide else "<u2").tobytes(),
             }
             shard += 1
-            ids.clear(), names.clear(), lens.clear()
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
-                for name, got in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    ids.append(np.concatenate([got, end])), names.append(name), lens.append(len(got) + 1)
-                if sum(lens) >= SHARD:
+            for at in range(0, b.num_rows, 4096):
+                some = b.slice(at, 4096)
+                ids, sizes = encoder.encode(some.column(1))
+                held.append((some.column(0), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1))
+                if sum(len(h[1]) for h in held) >= SHARD:
                     yield flush()
-        if names:
+        if held:
             yield flush()
 
     rows.mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
 
 
-def _shard(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _shard(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     seq = np.frombuffer(row["seq"], "<u4" if row["wide"] else "<u2")
-    return np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_lens"], "<i8"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2).astype(np.int64), seq
+    return np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_lens"], "<i8"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lens"], "<u4"), seq
 
 
 def read_document(row: dict, k: int) -> np.ndarray:
     """Ids of the k-th document of one shard; expands that document only."""
-    _, lens, rules, seq = _shard(row)
-    first, width = row["first"], np.frombuffer(row["lens"], "<u4")
-    size = np.where(seq >= first, np.append(width, 1)[np.where(seq >= first, seq.astype(np.int64) - first, len(width))], 1)
-    ends = np.cumsum(size)
+    _, lens, rules, sizes, seq = _shard(row)
+    ends = np.cumsum(np.concatenate([np.ones(row["first"], np.int64), sizes.astype(np.int64)])[seq])
     begin = int(lens[:k].sum())
-    return expand(seq[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, begin + int(lens[k]), "left") + 1], rules, first)
+    return expand(seq[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, begin + int(lens[k]), "left") + 1], rules, sizes, row["first"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -206,8 +279,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                names, lens, rules, seq = _shard(row)
-                raw = expand(seq, rules, row["first"]).astype("<u4")
+                names, lens, rules, sizes, seq = _shard(row)
+                raw = expand(seq, rules, sizes, row["first"]).astype("<u4")
                 ends = np.cumsum(lens)
                 crc = [zlib.crc32(raw[e - n : e].tobytes()) for e, n in zip(ends, lens, strict=True)]
                 doc = pa.array(names, pa.int64(), mask=names == -(1 << 63))
