@@ -1,14 +1,17 @@
 """Removal of repeated word passages by seed and extend.
 
 Seeds: the 8-word grams of a document are winnowed, so that every window of LENGTH words picks
-one of them (its anchor) by content alone; equal windows pick equal anchors. Documents are
-joined on anchors by grouping: an anchor that occurs once anywhere can be in no repeat.
-Extension: around each anchor that occurs again, the windows it anchors, up to 12 words to
-either side, are matched by a 128-bit content key, and a window that also starts earlier is a
-repeat; overlapping repeats merge into maximal ones of LENGTH words or more, which are removed.
-
-No pairs are made: both groupings combine before the shuffle, and what comes back to a document
-is a list no longer than the document.
+one of them (its anchor) by content alone; equal windows pick equal anchors. Documents are joined
+on anchors: each occurrence of an anchor is linked to its first one anywhere, so links grow with
+the text and not with the pairs of a group.
+Extension: a link's surroundings in the earlier document are fetched in blocks of BLOCK words and
+the match is extended both ways word by word; maximal matches of LENGTH words or more are repeats.
+Windows whose anchor's first occurrence has other words around it are left over; among these,
+equal windows are found by a 128-bit key, and all but the first are repeats too. Overlapping
+repeats merge, and their words are removed.
+
+Nothing is gathered by group: blocks of a document are sent to those that link to them, and what
+comes back to a document is a list no longer than the document.
 """
 
 from __future__ import annotations
@@ -18,125 +21,256 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
-LENGTH, GRAM = 20, 8
+LENGTH, GRAM, BLOCK = 20, 8, 64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-LAST_ID = (1 << 63) - 1
+BLANK = np.zeros(256, bool)
+BLANK[list(b" \t\n\x0b\x0c\r")] = True
+CHUNK = 1 << 22  # bytes of text that are hashed at once, or one document
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def _rolling(words: np.ndarray, size: int, base: int) -> np.ndarray:
-    """A mixed polynomial hash of every run of `size` words."""
-    n = len(words)
-    inverse = pow(base, -1, 1 << 64)
+def _rolling(items: np.ndarray, size: int, base: int) -> np.ndarray:
+    """A mixed polynomial hash of every run of `size` items."""
+    out = np.zeros(max(0, len(items) - size + 1), np.uint64)
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(n, base, np.uint64))
-        down = np.cumprod(np.full(n, inverse, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up)])
-        h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
-
-
-class Doc:
-    """Words of one document with the anchor that each window picks."""
-
-    def __init__(self, text: str | None):
-        self.words = (text or "").encode("utf-8", "replace").split()
-        self.n = len(self.words)
-        self.windows = max(0, self.n - LENGTH + 1)
-        if self.windows:
-            digest = xxhash.xxh3_64_intdigest
-            self.hashes = np.array([digest(w) for w in self.words], np.uint64)
-            self.grams = _rolling(self.hashes, GRAM, BASES[0])
-            span = LENGTH - GRAM + 1
-            view = np.lib.stride_tricks.sliding_window_view(self.grams, span)
-            self.picked = np.arange(self.windows) + view.argmin(axis=1)
-            self.anchors = np.unique(self.picked)
-
-    def sha256(self, keep: np.ndarray | None = None) -> str:
-        words = self.words if keep is None else [w for w, k in zip(self.words, keep, strict=True) if k]
-        return hashlib.sha256(b" ".join(words)).hexdigest()
-
-    def candidates(self, unique: np.ndarray) -> np.ndarray:
-        """Starts of windows whose anchor is not one of `unique` anchor places."""
-        return np.flatnonzero(~np.isin(self.picked, unique))
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        return _rolling(self.hashes, LENGTH, BASES[0]), _rolling(self.hashes, LENGTH, BASES[1])
+        for k in range(size):
+            out *= np.uint64(base)
+            out += items[k : k + len(out)]
+        return _mixed(out)
+
+
+class Words:
+    """The words of some texts, one after the other, with hashes of words and grams."""
+
+    def __init__(self, texts: pa.Array):
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        blank = np.append(BLANK[self.data], True)
+        before = np.append(True, blank[:-1])
+        before[offsets] = True  # a document starts a word
+        after = np.append(blank[1:], True)
+        after[np.maximum(offsets - 1, 0)[offsets > 0]] = True
+        self.starts = np.flatnonzero(~blank & before)
+        self.ends = np.flatnonzero(~blank & after) + 1
+        self.first = np.searchsorted(self.starts, offsets)  # the first word of each text, and the end
+        self.n = np.diff(self.first)
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words: sums of mixed bytes, each times a power of the base for its place in the word."""
+        size = self.ends - self.starts
+        out = np.zeros(len(size), np.uint64)
+        todo, k = np.arange(len(size)), 0
+        with np.errstate(over="ignore"):
+            while len(todo):
+                out[todo] = (out[todo] ^ TABLE[self.data[self.starts[todo] + k]]) * np.uint64(BASES[0])
+                k += 1
+                todo = todo[size[todo] > k]
+            return _mixed(out)
+
+    def text(self, a: int, b: int) -> bytes:
+        """Words a to b joined by one space."""
+        return b" ".join(self.data[self.starts[a] : self.ends[b - 1]].tobytes().split()) if b > a else b""
+
+    def list(self, i: int) -> list[bytes]:
+        a, b = self.first[i], self.first[i + 1]
+        return self.data[self.starts[a] : self.ends[b - 1]].tobytes().split() if b > a else []
+
+
+TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+
+
+class Anchors:
+    """For each text its anchors: places and gram hashes, and for each window the anchor it picks."""
+
+    def __init__(self, words: Words):
+        self.words, self.hash = words, words.hashes()
+        self.grams = _rolling(self.hash, GRAM, BASES[0])
+        width = LENGTH - GRAM + 1
+        count = max(0, len(self.hash) - LENGTH + 1)
+        best, self.pick = self.grams[:count].copy(), np.arange(count)
+        for k in range(1, width):
+            less = self.grams[k : k + count] < best  # of equal grams the first
+            best[less] = self.grams[k : k + count][less]
+            self.pick[less] = np.flatnonzero(less) + k
+        self.owner = np.repeat(np.arange(len(words.n)), words.n)
+        self.valid = self.owner[:count] == self.owner[LENGTH - 1 : LENGTH - 1 + count]
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor that each window of text i picks, the anchors), as places in the text."""
+        a, b = self.words.first[i], self.words.first[i + 1]
+        pick = self.pick[a : max(a, b - LENGTH + 1)] - a
+        return pick, np.unique(pick)
+
+    def keys(self, i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit keys of the windows of text i that start at those places."""
+        a, b = self.words.first[i], self.words.first[i + 1]
+        return tuple(_rolling(self.hash[a:b], LENGTH, base).view(np.int64)[at] for base in BASES)
+
+
+def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    at = 0
+    texts = b.column(column)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    while at < b.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+        some = b.slice(at, stop - at)
+        yield some, Words(some.column(column))
+        at = stop
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor rows (h, doc_id, pos), and for each document one row with its totals."""
-    for b in batches:
-        h, ids, pos, n_words, n_anchors, sha = [], [], [], [], [], []
-        docs = []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            d = Doc(t.as_py())
-            if d.windows:
-                h.append(d.grams[d.anchors])
-                pos.append(d.anchors)
-                ids.append(np.full(len(d.anchors), i, np.int64))
-            docs.append(i), n_words.append(d.n), n_anchors.append(len(d.anchors) if d.windows else 0), sha.append(d.sha256())
-        if h:
-            k = sum(map(len, h))
-            none = [pa.nulls(k, x) for x in (pa.int64(), pa.int64(), pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32)), *none], SEED_NAMES
-            )
-        k = len(docs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.array(docs, pa.int64()), pa.nulls(k, pa.int32()), pa.array(n_words, pa.int64()), pa.array(n_anchors, pa.int64()), pa.array(sha, pa.string())], SEED_NAMES
-        )
-
-
-SEED_NAMES = ["h", "doc_id", "pos", "n_words", "n_anchors", "sha"]
-
-
-def _unique(x) -> np.ndarray:
-    return np.array(x.as_py() or [], np.int64)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the candidate windows, each once for a document."""
+    """(h, rid, pos): each anchor once for a document, at its first place."""
+    for whole in batches:
+        for b, words in _chunks(whole, 1):
+            found = Anchors(words)
+            at = np.unique(found.pick[found.valid])
+            h, owner = found.grams[at], found.owner[at]
+            order = np.lexsort((at, h, owner))
+            fresh = np.append(True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1]))[: len(order)]
+            keep = np.sort(order[fresh])
+            rid = b.column(0).to_numpy()[owner[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(rid), pa.array((at - words.first[owner])[keep].astype(np.int32))], ["h", "rid", "pos"])
+
+
+def _wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, e, block): blocks of earlier documents that hold what surrounds a link."""
     for b in batches:
-        one, two, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, t, u in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-            d = Doc(t.as_py())
-            if d.windows:
-                at = d.candidates(_unique(u))
-                k1, k2 = d.keys()
-                at = at[np.unique(k1[at], return_index=True)[1]]
-                one.append(k1[at]), two.append(k2[at]), ids.append(np.full(len(at), i, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), pa.array(np.concatenate(ids))], ["k1", "k2", "doc_id"])
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid, e, epos = (b.column(j).to_numpy() for j in range(3))
+        lo, hi = np.maximum(0, epos - (LENGTH - GRAM)) // BLOCK, (epos + LENGTH - 1) // BLOCK
+        rid, e, block = np.tile(rid, 2), np.tile(e, 2), np.concatenate([lo, hi])
+        keep = np.append(np.ones(len(lo), bool), lo != hi)
+        yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(e[keep]), pa.array(block[keep].astype(np.int32))], ["rid", "e", "block"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text, blocks) -> (e, block, words)."""
+    for whole in batches:
+        for b, words in _chunks(whole, 1):
+            e, block, out = [], [], []
+            for i, (rid, wanted) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                for k in wanted:
+                    a = words.first[i] + k * BLOCK
+                    e.append(rid), block.append(k), out.append(words.text(a, min(a + BLOCK, words.first[i + 1])))
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(block, pa.int32()), pa.array(out, pa.binary())], ["e", "block", "words"])
+
+
+def _runs(same: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+    return ((int(s), int(t)) for s, t in zip(turn[::2], turn[1::2], strict=True) if t - s >= least)
+
+
+def _matched(ids: np.ndarray, links: list[tuple[int, int, int]], earlier: dict[int, np.ndarray]) -> np.ndarray:
+    """Words of a document in a maximal match with an earlier one. links: (pos, e, epos); the words
+    of document e are earlier[e], -1 where not fetched. Links on one diagonal are extended at once."""
+    gone = np.zeros(len(ids), bool)
+    by: dict[tuple[int, int], list[int]] = {}
+    for pos, e, epos in links:
+        by.setdefault((e, pos - epos), []).append(pos)
+    for (e, shift), places in by.items():
+        other = earlier[e]
+        lo, hi = max(0, shift, min(places) - BLOCK), min(len(ids), len(other) + shift, max(places) + GRAM + BLOCK)
+        for s, t in _runs(ids[lo:hi] == other[lo - shift : hi - shift], LENGTH):
+            gone[lo + s : lo + t] = True
+    return gone
+
+
+SPANS = "array<struct<start: long, end: long>>"
+
+
+def _spans(gone: np.ndarray) -> list[dict]:
+    return [{"start": s, "end": t} for s, t in _runs(gone, 1)]
+
+
+def _sha(words: list[bytes], gone: np.ndarray) -> str:
+    return hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)).hexdigest()
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, doc_id, text, links, blocks) -> rid, doc_id, n_words, n_removed, kept_sha256, spans, and
+    where windows are left over, these (starts and keys) and the text."""
+    for whole in batches:
+        for b, words in _chunks(whole, 2):
+            found = Anchors(words)
+            out = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "spans", "at", "k1", "k2", "rest")}
+            for i in range(b.num_rows):
+                own, links, got = words.list(i), b.column(3)[i].as_py() or [], b.column(4)[i].as_py() or []
+                gone, at, k1, k2 = np.zeros(len(own), bool), [], [], []
+                if len(own) >= LENGTH:
+                    pick, anchors = found.of(i)
+                    h = found.grams[words.first[i] + anchors]
+                    first, back = np.unique(h, return_index=True, return_inverse=True)[1:]
+                    linked = {x["pos"]: (x["e"], x["epos"]) for x in links}
+                    here = b.column(0)[i].as_py()
+                    pairs, late = [], {}
+                    for pos, p in zip(anchors.tolist(), anchors[first][back].tolist(), strict=True):
+                        if p in linked:
+                            pairs.append((pos, *linked[p]))
+                        elif pos != p:
+                            pairs.append((pos, here, p))
+                        else:
+                            late[pos] = False  # the first occurrence of all: its windows are new
+                    if pairs:
+                        number: dict[bytes, int] = {}
+                        ids = np.array([number.setdefault(w, len(number)) for w in own], np.int32)
+                        earlier = {here: ids}
+                        sizes: dict[int, int] = {}
+                        for x in got:
+                            sizes[x["e"]] = max(sizes.get(x["e"], 0), (x["block"] + 1) * BLOCK)
+                        for e, size in sizes.items():
+                            earlier[e] = np.full(size, -1, np.int32)
+                        for x in got:
+                            part = [number.get(w, -1) for w in x["words"].split()]
+                            earlier[x["e"]][x["block"] * BLOCK : x["block"] * BLOCK + len(part)] = part
+                        gone = _matched(ids, pairs, earlier)
+                        inside = np.cumsum(np.append(0, gone))
+                        open_ = inside[LENGTH:] - inside[:-LENGTH] < LENGTH
+                        new = np.zeros(len(own), bool)
+                        new[list(late)] = True
+                        rest = np.flatnonzero(open_ & ~new[pick])
+                        if len(rest):
+                            a, c = found.keys(i, rest)
+                            once = np.sort(np.unique(a, return_index=True)[1])
+                            again = np.ones(len(rest), bool)
+                            again[once] = False
+                            for s in rest[again].tolist():
+                                gone[s : s + LENGTH] = True
+                            at, k1, k2 = rest[once].tolist(), a[once].tolist(), c[once].tolist()
+                out["n_words"].append(len(own)), out["n_removed"].append(int(gone.sum())), out["spans"].append(_spans(gone))
+                out["kept_sha256"].append(None if at else _sha(own, gone)), out["rest"].append(b.column(2)[i].as_py() if at else None)
+                out["at"].append(at), out["k1"].append(k1), out["k2"].append(k2)
+            kinds = [pa.int64(), pa.int64(), pa.string(), PA_SPANS, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], ["rid", "doc_id", *out])
+
+
+PA_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans, later) -> the result, with the windows that start at `later` removed too."""
     for b in batches:
         n_words, n_removed, sha, spans = [], [], [], []
-        for t, u, f in zip(b.column(1), b.column(2), b.column(3), strict=True):
-            d = Doc(t.as_py())
-            gone = np.zeros(d.n, bool)
-            if d.windows:
-                at = d.candidates(_unique(u))
-                k1 = d.keys()[0]
-                first_here = np.zeros(d.windows, bool)
-                first_here[at[np.unique(k1[at], return_index=True)[1]]] = True
-                own = np.isin(k1.view(np.int64)[at], _unique(f)) & first_here[at]
-                edge = np.zeros(d.n + 1, np.int64)
-                np.add.at(edge, at[~own], 1)
-                np.add.at(edge, at[~own] + LENGTH, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            n_words.append(d.n), n_removed.append(int(gone.sum())), sha.append(d.sha256(~gone))
-            spans.append([{"start": int(s), "end": int(e)} for s, e in zip(turns[::2], turns[1::2], strict=True)])
-        arrays = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
-        arrays.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+        for text, had, later in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            own = text.as_buffer().to_pybytes().split()
+            gone = np.zeros(len(own), bool)
+            for x in had:
+                gone[x["start"] : x["end"]] = True
+            for s in later or []:
+                gone[s : s + LENGTH] = True
+            n_words.append(len(own)), n_removed.append(int(gone.sum())), sha.append(_sha(own, gone)), spans.append(_spans(gone))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, PA_SPANS)], RESULT)
+
+
+RESULT = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -144,22 +278,38 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A window of 20 words is a repeat if the same words also start earlier: in a smaller doc_id,
     or in the same document at an earlier start. Null text has no words; texts under 20 words
-    keep all. Rows that repeat a doc_id count as the same document, not as earlier ones; rows
-    without doc_id count as one document after all others. Other columns are ignored; an empty
-    table gives no rows.
+    keep all. Rows that repeat a doc_id follow one another, in an order fixed within the run; rows
+    without doc_id come after all others, likewise. Other columns are ignored; an empty table
+    gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = scratch.save(base.mapInArrow(_seeds, "h long, doc_id long, pos int, n_words long, n_anchors long, sha string"), "seeds")
-    once = seeds.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos")).filter("c = 1")
-    unique = scratch.save(once.groupBy("doc_id").agg(F.collect_list("pos").alias("unique")), "unique")
-    totals = seeds.filter("h is null").join(unique.hint("merge"), "doc_id", "left")
-    shares = F.col("n_anchors") > F.coalesce(F.size("unique"), F.lit(0))
-    listed = scratch.save(totals.filter(shares).select("doc_id", "unique").dropDuplicates(["doc_id"]), "listed")
-    alone = totals.filter(~F.coalesce(shares, F.col("n_anchors") > 0)).join(listed.select("doc_id").hint("merge"), "doc_id", "left_anti")
-    sharing = scratch.save(base.join(listed.hint("merge"), "doc_id").select("doc_id", "text", "unique"), "sharing")
-    firsts = sharing.mapInArrow(_windows, "k1 long, k2 long, doc_id long").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    firsts = scratch.save(firsts.groupBy("doc_id").agg(F.collect_list("k1").alias("firsts")), "firsts")
-    cut = sharing.join(firsts.hint("merge"), "doc_id", "left").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>")
-    whole = alone.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"))
-    return whole.union(cut).withColumn("doc_id", F.nullif("doc_id", F.lit(LAST_ID)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ranged = rows.repartitionByRange(partitions(docs), F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"))
+    base = scratch.save(ranged.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "texts")  # rid follows the order of doc_id
+
+    seeds = base.select("rid", "text").mapInArrow(_seeds, "h long, rid long, pos int")
+    first = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("e"), F.min_by("pos", "rid").alias("epos"))
+    first = scratch.save(first.filter("c > 1").drop("c"), "first")
+    links = scratch.save(seeds.join(first.hint("merge"), "h").filter("rid <> e").select("rid", "pos", "e", "epos"), "links")
+    scratch.free(first)
+    wants = scratch.save(links.select("rid", "e", "epos").mapInArrow(_wants, "rid long, e long, block int").distinct(), "wants")
+    asked = wants.groupBy("e").agg(F.collect_set("block").alias("blocks"))
+    sources = base.select("rid", "text").join(asked.withColumnRenamed("e", "rid").hint("merge"), "rid")
+    blocks = scratch.save(sources.select("rid", "text", "blocks").mapInArrow(_blocks, "e long, block int, words binary"), "blocks")
+    near = scratch.save(wants.join(blocks.hint("merge"), ["e", "block"]).select("rid", "e", "block", "words"), "near")
+    scratch.free(wants), scratch.free(blocks)
+
+    listed = links.groupBy("rid").agg(F.collect_list(F.struct("pos", "e", "epos")).alias("links"))
+    fetched = near.groupBy("rid").agg(F.collect_list(F.struct("e", "block", "words")).alias("blocks"))
+    sides = base.join(listed.hint("merge"), "rid", "left").join(fetched.hint("merge"), "rid", "left").select("rid", "doc_id", "text", "links", "blocks")
+    made = f"rid long, doc_id long, n_words long, n_removed long, kept_sha256 string, spans {SPANS}, at array<int>, k1 array<long>, k2 array<long>, rest string"
+    done = scratch.save(sides.mapInArrow(_extend, made), "extended")
+    for used in (base, links, near):
+        scratch.free(used)
+
+    left = done.filter("rest is not null").select("rid", F.explode(F.arrays_zip("at", "k1", "k2")).alias("x")).select("rid", "x.at", "x.k1", "x.k2")
+    again = scratch.save(left.groupBy("k1", "k2").agg(F.min("rid").alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "again")
+    later = left.join(again.hint("merge"), ["k1", "k2"]).filter("rid <> e").groupBy("rid").agg(F.collect_list("at").alias("later"))
+    cut = done.filter("rest is not null").join(later.hint("merge"), "rid", "left").select("doc_id", F.col("rest").alias("text"), "spans", "later")
+    cut = cut.mapInArrow(_finish, f"doc_id long, n_words long, n_removed long, kept_sha256 string, spans {SPANS}")
+    return done.filter("rest is null").select(*RESULT).union(cut)
