@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WS, Scratch
+from .common import WS, Scratch, partitions
 
 
 def squeeze(text: Column) -> Column:
@@ -24,10 +24,11 @@ def squeeze(text: Column) -> Column:
 
 
 def _named(scratch: Scratch, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys with their rank-ordered integer name."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranked = rows.select(*keys).distinct().repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return scratch.save(ranked.withColumn("name", F.monotonically_increasing_id()), "names")
+    """Distinct keys with integer names by their rank in the order of (hash, keys). The hash is the
+    range key, so that what the driver samples to find the ranges are numbers, not blocks of text."""
+    distinct = rows.select(*keys).distinct().withColumn("at", F.xxhash64(*keys))
+    ranked = distinct.repartitionByRange(partitions(distinct, 200_000), "at").sortWithinPartitions("at", *keys)
+    return scratch.save(ranked.select(*keys, F.monotonically_increasing_id().alias("name")), "names")
 
 
 KEY = ["rid", "m", "h"]
@@ -44,6 +45,7 @@ def identities(texts: DataFrame, scratch: Scratch, block: int = 4096) -> DataFra
     rows = scratch.save(blocks.join(names.hint("merge"), "block").select(*KEY, "last", "i", "name"), "level")
     scratch.free(blocks)
     done, level = [], 0
+    scratch.free(names)
     while True:
         done.append(rows.filter("last = 0").select(*KEY, F.lit(level).alias("level"), "name"))
         rest = rows.filter("last > 0")
@@ -58,31 +60,41 @@ def identities(texts: DataFrame, scratch: Scratch, block: int = 4096) -> DataFra
         level += 1
 
 
-def exact_groups(docs: DataFrame, block: int = 4096) -> DataFrame:
+def exact_groups(docs: DataFrame, block: int = 4096, row: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal normalised texts the row with the most code points in the original stays, then the
     smallest doc_id. Null text counts as empty, and all empty texts are one group. Rows that
     repeat a doc_id each count in group_size and get the same answer; a null doc_id comes after
-    all others. Other columns are ignored; an empty table gives an empty result.
+    all others. Where ``row`` names a column with a number of each row's own, it is returned too and
+    breaks ties of doc_id, so that exactly one row of a group is kept. Other columns are ignored;
+    an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "blocks")
+    doc_id = F.col("doc_id").cast("long")
+    rid = F.col(row).cast("long") if row else F.coalesce(doc_id, F.lit(-(1 << 63)))
     base = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        docs.select(doc_id.alias("doc_id"), rid.alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         .withColumn("norm", squeeze(F.col("text")))
-        .select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rid"), F.length("norm").alias("m"), F.xxhash64("norm").alias("h"))
+        .select("*", F.length("norm").alias("m"), F.xxhash64("norm").alias("h"))
     )
     facts = scratch.save(base.select("doc_id", *KEY, F.length("text").alias("n"), F.sha2("norm", 256).alias("text_sha256")), "facts")
     shared = scratch.save(facts.groupBy("m", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("m", "h"), "shared")
     hits = scratch.save(facts.join(shared.hint("merge"), ["m", "h"], "left_semi"), "hits")
     ids = identities(base.select(*KEY, "norm").join(hits.select(*KEY).hint("merge"), KEY, "left_semi"), scratch, block)
     members = scratch.save(hits.join(ids.hint("merge"), KEY), "members")
+    scratch.free(hits)
+    back = [F.bitwise_not("doc_id").alias("back"), *([F.bitwise_not("rid").alias("last")] if row else [])]
     best = scratch.save(
         members.groupBy("level", "name")
-        .agg(F.max(F.struct("n", F.bitwise_not("doc_id").alias("back"))).alias("top"), F.count(F.lit(1)).alias("group_size"))
-        .select("level", "name", F.bitwise_not("top.back").alias("keep_id"), "group_size"),
+        .agg(F.max(F.struct("n", *back)).alias("top"), F.count(F.lit(1)).alias("group_size"))
+        .select("level", "name", F.bitwise_not("top.back").alias("keep_id"), F.bitwise_not("top.last" if row else "top.back").alias("keep_row"), "group_size"),
         "best",
     )
-    grouped = members.join(best.hint("merge"), ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    alone = facts.join(shared.hint("merge"), ["m", "h"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    own = F.col("rid" if row else "doc_id")
+    extra = [F.col("rid").alias(row)] if row else []
+    grouped = members.join(best.hint("merge"), ["level", "name"]).select("doc_id", "keep_id", "group_size", own.eqNullSafe(F.col("keep_row")).alias("kept"), "text_sha256", *extra)
+    alone = facts.join(shared.hint("merge"), ["m", "h"], "left_anti").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *extra
+    )
     return alone.union(grouped)

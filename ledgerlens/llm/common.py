@@ -71,6 +71,11 @@ class Recent:
                 self.put(key, got)
         return got
 
+    def many(self, keys: list) -> list:
+        """What get() gives for each of the keys."""
+        got = list(map(self.young.get, keys))
+        return [self.get(k) if g is None else g for k, g in zip(keys, got, strict=True)]
+
     def put(self, key, value) -> None:
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}

@@ -15,6 +15,7 @@ from .common import Scratch
 from .order import with_ghosts
 
 SALT = "\u0001"
+FIRST_ID = -(1 << 63)  # stands for a null doc_id, last in descending order
 
 
 def canonical(text: Column) -> Column:
@@ -37,11 +38,11 @@ def fingerprints_with_edit(docs: DataFrame) -> DataFrame:
     exact digest has no grades: a likeness is 1.0 where canonical texts are equal, else 0.0.
 
     Null or empty text: the fingerprint of the empty text. A single document is its own next.
-    Rows that repeat a doc_id follow each other in text order. Rows whose doc_id is null are left
-    out, as the order is by doc_id. Other columns are ignored; an empty table gives no rows.
+    Rows that repeat a doc_id follow each other in text order; rows whose doc_id is null come after
+    all others, likewise. Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "prints")
-    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed = with_ghosts(base, "doc_id", scratch)
     w = Window.partitionBy("bucket").orderBy("ghost", F.desc("doc_id"), "text")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
@@ -59,12 +60,13 @@ def fingerprints_with_edit(docs: DataFrame) -> DataFrame:
     )
     hashed = scratch.save(hashed, "hashed")
     mixed = clashes(base, hashed.select("h"), scratch)
+    named = F.nullif("doc_id", F.lit(FIRST_ID)).alias("doc_id")
     if mixed.isEmpty():
-        return hashed.select("doc_id", "n_chars", "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), "near_edited", "near_next")
+        return hashed.select(named, "n_chars", "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), "near_edited", "near_next")
     own = base.select("doc_id", canonical(F.col("text")).alias("c")).select("doc_id", F.sha2("c", 256).alias("s"), wide_hash(F.col("c")).alias("h")).distinct()
     x = hashed.join(own, ["doc_id", "h"]).join(mixed.withColumn("x", F.lit(True)), "h", "left").join(mixed.select(F.col("h").alias("eh"), F.lit(True).alias("ex")), "eh", "left")
     name = lambda h, s, f: F.when(F.col(f), F.concat(h, F.lit("-"), s)).otherwise(F.col(h))
-    return x.select("doc_id", "n_chars", "edited_sha256", name("h", "s", "x").alias("fingerprint"), name("eh", "es", "ex").alias("edited_fingerprint"), "near_edited", "near_next")
+    return x.select(named, "n_chars", "edited_sha256", name("h", "s", "x").alias("fingerprint"), name("eh", "es", "ex").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def clashes(base: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 ORDER = 3
@@ -102,9 +102,10 @@ class Model:
 def fit(labelled: DataFrame, per_lang: int = 300) -> Model:
     """labelled(doc_id, text, lang). Learns from at most ``per_lang`` rows of each language, those
     with the least hash of doc_id; the bound keeps the trees small, whatever the corpus size."""
-    langs = [r[0] for r in labelled.select("lang").distinct().collect()]
-    ids = [r[0] for lang in langs for r in labelled.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang).collect()]
-    rows = labelled.filter(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = [r[0] for r in labelled.select("lang", "doc_id").withColumn("k", F.row_number().over(least)).filter(F.col("k") <= per_lang).select("doc_id").distinct().collect()]
+    rows = labelled.filter(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect() if ids else []
+    langs = sorted({r["lang"] for r in rows})
     texts = {lang: [r["text"] for r in rows if r["lang"] == lang] for lang in langs}
     return Model(texts)
 

@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
 
-from .common import Scratch
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import Scratch, partitions
 
-def descending_heads(docs: DataFrame, key: str, scratch: Scratch) -> list[int]:
-    """The first key of each of some consecutive runs of the keys in descending order.
 
-    Only the keys are range-partitioned; the list has at most one value for each partition.
+def descending_heads(docs: DataFrame, key: str, scratch: Scratch, each: int = 1000) -> list[int]:
+    """The first key of each of some consecutive runs of the keys in descending order, of about ``each``
+    rows or, where the table has very many, so that every partition holds eight.
+
+    Only the keys are range-partitioned; the list has at most eight values for each partition.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.count()
+    n = max(1, min(-(-rows // each), 8 * partitions(docs)))
     ids = docs.select(key).distinct().repartitionByRange(n, F.desc(key)).withColumn("bucket", F.spark_partition_id())
     heads = scratch.save(ids.groupBy("bucket").agg(F.max(key).alias("first")), "heads")
     return sorted((r[0] for r in heads.select("first").collect()), reverse=True)
 
 
+def _run(heads: list[int], key: str) -> Column:
+    """The number of the run that the key falls in, looked up in two steps of about the root of their number."""
+    width = math.isqrt(len(heads)) + 1
+    rows = [heads[k : k + width] for k in range(0, len(heads), width)]
+    within = lambda values: F.size(F.filter(values, lambda x: x >= F.col(key))) - 1
+    many = lambda values: F.array(*map(F.lit, values))
+    block = within(many([r[0] for r in rows]))
+    return (block * width + within(F.element_at(F.array(*map(many, rows)), block + 1))).cast("int")
+
+
 def with_ghosts(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """docs with columns bucket and ghost: bucket numbers the run that the key falls in. Each
     bucket also gets a copy, marked as ghost, of the first row of the bucket after it, so that
@@ -27,11 +41,10 @@ def with_ghosts(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     heads = descending_heads(docs, key, scratch)
     if not heads:
         return docs.withColumns({"bucket": F.lit(0), "ghost": F.lit(0)})
-    firsts = F.lit(heads) if len(heads) > 1 else F.array(F.lit(heads[0]))
-    own = (F.size(F.filter(firsts, lambda x: x >= F.col(key))) - 1).cast("int")
+    own = _run(heads, key)
     out = docs.withColumn("own", own)
     before = F.when(F.col("own") == 0, F.lit(len(heads) - 1)).otherwise(F.col("own") - 1)
     place = lambda bucket, ghost: F.struct(bucket.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
     both = F.array(place(F.col("own"), 0), place(before, 1))
-    places = F.when(F.element_at(firsts, F.col("own") + 1) == F.col(key), both).otherwise(F.array(place(F.col("own"), 0)))
+    places = F.when(F.col(key).isin(heads), both).otherwise(F.array(place(F.col("own"), 0)))
     return out.withColumn("place", F.explode(places)).select(*docs.columns, "place.bucket", "place.ghost")

@@ -169,17 +169,18 @@ def _runs(same: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
     return ((int(s), int(t)) for s, t in zip(turn[::2], turn[1::2], strict=True) if t - s >= least)
 
 
-def _matched(ids: np.ndarray, links: list[tuple[int, int, int]], earlier: dict[int, np.ndarray]) -> np.ndarray:
-    """Words of a document in a maximal match with an earlier one. links: (pos, e, epos); the words
-    of document e are earlier[e], -1 where not fetched. Links on one diagonal are extended at once."""
+def _matched(ids: np.ndarray, pos: np.ndarray, e: np.ndarray, epos: np.ndarray, earlier: dict[int, np.ndarray]) -> np.ndarray:
+    """Words of a document in a maximal match with an earlier place. Anchors at pos are linked to epos
+    in document e, whose words are earlier[e], -1 where not fetched. Links on one diagonal are extended at once."""
     gone = np.zeros(len(ids), bool)
-    by: dict[tuple[int, int], list[int]] = {}
-    for pos, e, epos in links:
-        by.setdefault((e, pos - epos), []).append(pos)
-    for (e, shift), places in by.items():
-        other = earlier[e]
-        lo, hi = max(0, shift, min(places) - BLOCK), min(len(ids), len(other) + shift, max(places) + GRAM + BLOCK)
-        for s, t in _runs(ids[lo:hi] == other[lo - shift : hi - shift], LENGTH):
+    shift = pos - epos
+    order = np.lexsort((pos, shift, e))
+    pos, e, shift = pos[order], e[order], shift[order]
+    turn = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (shift[1:] != shift[:-1]), [True]]))
+    for j, k in zip(turn[:-1].tolist(), turn[1:].tolist(), strict=True):
+        other, by = earlier[int(e[j])], int(shift[j])
+        lo, hi = max(0, by, int(pos[j]) - BLOCK), min(len(ids), len(other) + by, int(pos[k - 1]) + GRAM + BLOCK)
+        for s, t in _runs(ids[lo:hi] == other[lo - by : hi - by], LENGTH):
             gone[lo + s : lo + t] = True
     return gone
 
@@ -195,48 +196,61 @@ def _sha(words: list[bytes], gone: np.ndarray) -> str:
     return hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)).hexdigest()
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, list]:
+    """Where the list of each row begins and ends, and the fields of all elements."""
+    inner = column.flatten()
+    return np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]), [inner.field(j) for j in range(inner.type.num_fields)]
+
+
+def _pairs(found: Anchors, i: int, here: int, lpos: np.ndarray, le: np.ndarray, lepos: np.ndarray) -> tuple[np.ndarray, tuple, np.ndarray]:
+    """For text i: the anchor of each window, links (pos, e, epos) of anchors to earlier places, and
+    which windows are new, as their anchor occurs there for the first time of all."""
+    pick, anchors = found.of(i)
+    first, back = np.unique(found.grams[found.words.first[i] + anchors], return_index=True, return_inverse=True)[1:]
+    head = anchors[first][back]  # an anchor that repeats in the text has links at its first place only
+    order = np.argsort(lpos)
+    lpos, le, lepos = lpos[order], le[order], lepos[order]
+    if len(lpos):
+        at = np.minimum(np.searchsorted(lpos, head), len(lpos) - 1)
+        linked = lpos[at] == head
+        e, epos = np.where(linked, le[at], here), np.where(linked, lepos[at], head)
+    else:
+        linked, e, epos = np.zeros(len(head), bool), np.full(len(head), here), head
+    new = ~linked & (head == anchors)
+    return pick, (anchors[~new], e[~new], epos[~new]), np.isin(pick, anchors[new])
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, doc_id, text, links, blocks) -> rid, doc_id, n_words, n_removed, kept_sha256, spans, and
     where windows are left over, these (starts and keys) and the text."""
     for whole in batches:
         for b, words in _chunks(whole, 2):
             found = Anchors(words)
+            rids = b.column(0).to_pylist()
+            own_links, (pos, e, epos) = _lists(b.column(3))
+            own_blocks, (be, bk, bw) = _lists(b.column(4))
+            pos, e, epos = pos.to_numpy().astype(np.int64), e.to_numpy(), epos.to_numpy().astype(np.int64)
+            be, bk = be.to_pylist(), bk.to_pylist()
             out = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "spans", "at", "k1", "k2", "rest")}
-            for i in range(b.num_rows):
-                own, links, got = words.list(i), b.column(3)[i].as_py() or [], b.column(4)[i].as_py() or []
+            for i, here in enumerate(rids):
+                own, (la, lz) = words.list(i), own_links[i : i + 2]
                 gone, at, k1, k2 = np.zeros(len(own), bool), [], [], []
                 if len(own) >= LENGTH:
-                    pick, anchors = found.of(i)
-                    h = found.grams[words.first[i] + anchors]
-                    first, back = np.unique(h, return_index=True, return_inverse=True)[1:]
-                    linked = {x["pos"]: (x["e"], x["epos"]) for x in links}
-                    here = b.column(0)[i].as_py()
-                    pairs, late = [], {}
-                    for pos, p in zip(anchors.tolist(), anchors[first][back].tolist(), strict=True):
-                        if p in linked:
-                            pairs.append((pos, *linked[p]))
-                        elif pos != p:
-                            pairs.append((pos, here, p))
-                        else:
-                            late[pos] = False  # the first occurrence of all: its windows are new
-                    if pairs:
+                    pick, links, new = _pairs(found, i, here, pos[la:lz], e[la:lz], epos[la:lz])
+                    if len(links[0]):
                         number: dict[bytes, int] = {}
                         ids = np.array([number.setdefault(w, len(number)) for w in own], np.int32)
-                        earlier = {here: ids}
+                        got = range(own_blocks[i], own_blocks[i + 1])
                         sizes: dict[int, int] = {}
-                        for x in got:
-                            sizes[x["e"]] = max(sizes.get(x["e"], 0), (x["block"] + 1) * BLOCK)
-                        for e, size in sizes.items():
-                            earlier[e] = np.full(size, -1, np.int32)
-                        for x in got:
-                            part = [number.get(w, -1) for w in x["words"].split()]
-                            earlier[x["e"]][x["block"] * BLOCK : x["block"] * BLOCK + len(part)] = part
-                        gone = _matched(ids, pairs, earlier)
+                        for j in got:
+                            sizes[be[j]] = max(sizes.get(be[j], 0), (bk[j] + 1) * BLOCK)
+                        earlier = {here: ids} | {x: np.full(size, -1, np.int32) for x, size in sizes.items()}
+                        for j in got:
+                            part = [number.get(w, -1) for w in bw[j].as_py().split()]
+                            earlier[be[j]][bk[j] * BLOCK : bk[j] * BLOCK + len(part)] = part
+                        gone = _matched(ids, *links, earlier)
                         inside = np.cumsum(np.append(0, gone))
-                        open_ = inside[LENGTH:] - inside[:-LENGTH] < LENGTH
-                        new = np.zeros(len(own), bool)
-                        new[list(late)] = True
-                        rest = np.flatnonzero(open_ & ~new[pick])
+                        rest = np.flatnonzero((inside[LENGTH:] - inside[:-LENGTH] < LENGTH) & ~new)
                         if len(rest):
                             a, c = found.keys(i, rest)
                             once = np.sort(np.unique(a, return_index=True)[1])

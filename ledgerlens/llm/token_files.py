@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import Recent, partitions
 
 SHARD = 1 << 20
-LEAST, CELLS = 8, 20
+LEAST = 8
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 300_000
 SHARD_SCHEMA = "part int, shard int, n_ids long, first long, doc_ids binary, doc_lens binary, rules binary, lens binary, wide boolean, seq binary"
 
@@ -38,29 +39,30 @@ def repair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.nda
     seq = ids.astype(np.uint32)
     rules, lens, closed = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64), np.arange(first) == end_id
     while len(seq) > 1:
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        with np.errstate(over="ignore"):
-            cell = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS)).astype(np.int64)
-        cell[closed[seq[:-1]]] = 1 << CELLS
-        busy = np.bincount(cell, minlength=(1 << CELLS) + 1) >= LEAST  # only in these can a pair be frequent
-        busy[1 << CELLS] = False
+        bits = len(seq).bit_length()
+        cell_of = lambda pairs, shift=np.uint64(64 - bits): ((pairs * SPREAD) >> shift).view(np.int64)
+        pair = seq[:-1].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= seq[1:]
+        cell = cell_of(pair)
+        cell[closed[seq[:-1]]] = 1 << bits
+        busy = np.bincount(cell, minlength=(1 << bits) + 1) >= LEAST  # only in these can a pair be frequent
+        busy[1 << bits] = False
         at = np.flatnonzero(busy[cell])
-        some = pair[at]
+        some, cell = pair[at], cell[at]
         kinds, times = np.unique(some, return_counts=True)
-        kinds, times = kinds[times >= LEAST], times[times >= LEAST]
+        kinds, times = kinds[times >= LEAST], times[times >= LEAST].astype(np.int32)
         if not len(kinds):
             break
-        with np.errstate(over="ignore"):
-            home = ((kinds * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS)).astype(np.int64)
-        kind_of = np.zeros((1 << CELLS) + 1, np.int64)
+        kind_of = np.zeros(1 << bits, np.int32)
         rise = np.argsort(times, kind="stable")
-        kind_of[home[rise]] = rise  # of kinds that share a cell, the most frequent goes first
-        which = kind_of[cell[at]]
+        kind_of[cell_of(kinds[rise])] = rise  # of kinds that share a cell, the most frequent goes first
+        which = kind_of[cell]
         hit = kinds[which] == some
         at, which = at[hit], which[hit]
-        weight = np.zeros(len(seq) + 1, np.int64)
-        weight[at + 1] = times[which]
-        best = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[np.minimum(at + 2, len(seq))])
+        weight = np.zeros(len(seq) + 1, np.int32)
+        weight[at + 1] = own = times[which]
+        best = (own >= weight[at]) & (own >= weight[np.minimum(at + 2, len(seq))])
         at, which = at[best], which[best]
         fresh = np.concatenate([[True], np.diff(at) > 1])  # of places that touch, every other one from the left
         run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
@@ -187,8 +189,8 @@ class UnitEncoder:
             texts = pa.array(["" if i in special else t for i, t in enumerate(texts.to_pylist())], pa.string())
         units, count = self.units(texts)
         coded = units.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        got = [self.known.get(w) for w in words]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = self.known.many(words)
         fresh = self._learn([w for w, g in zip(words, got, strict=True) if g is None])
         for w, ids in fresh.items():
             self.known.put(w, ids)
@@ -247,8 +249,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                some = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
                 ids, sizes = encoder.encode(some.column(1))
                 held.append((some.column(0), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1))
                 if sum(len(h[1]) for h in held) >= SHARD:

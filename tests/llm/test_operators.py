@@ -132,6 +132,44 @@ def test_substring_dedup(docs, rows):
     assert any(w[1] for w in want.values())
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    """Two different rows of one doc_id, null ids, a copied row and a clashing column."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    s = prose(25)
+    rows = [(7, prose(3) + " " + s), (7, prose(900)), (9, prose(5) + " " + s + " " + prose(4)), ((1 << 63) - 1, prose(30)), (None, s), (None, prose(40)), (11, prose(22))]
+    rows += [rows[-1], (12, None), (12, None), (13, prose(19) + " " + s[: s.rindex(" ")] + " zz")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string").repartition(3)).collect()
+    removed = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"]) for r in got)
+    assert removed == sorted([(7, 28, 0), (7, 900, 0), (9, 34, 25), ((1 << 63) - 1, 30, 0), (-1, 25, 25), (-1, 40, 0), (11, 22, 0), (11, 22, 22), (12, 0, 0), (12, 0, 0), (13, 44, 24)])
+
+
+def test_substring_dedup_where_contexts_differ(spark):
+    """A phrase shorter than a window, passages that overlap in part, and repeats within one document, by brute force."""
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrase, long = prose(15), prose(150)
+    made = []
+    for i in range(120):
+        w = prose(rng.randint(0, 30))
+        for _ in range(rng.randint(0, 3)):
+            a = rng.randrange(110)
+            w += rng.choice([phrase, long[a : a + rng.randint(10, 40)], made[-1][-25:] if made else [], w[-30:], ["x"] * rng.randint(5, 50)]) + prose(rng.randint(0, 4))
+        made.append(w)
+    seen, want = {}, {}
+    for i, w in enumerate(made):
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            key = tuple(w[s : s + 20])
+            if key in seen:
+                gone[s : s + 20] = [True] * 20
+            seen[key] = True
+        want[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    df = spark.createDataFrame([(i, "\n".join([" ".join(w[:7]), " ".join(w[7:])])) for i, w in enumerate(made)], "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()} == want
+    assert sum(w[1] > 0 for w in want.values()) > 40
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
