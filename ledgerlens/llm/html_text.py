@@ -20,27 +20,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Fixed values of HTML.
-DROP = "script style noscript template head title svg iframe textarea select math object".split()
+RAW = "script style title textarea iframe noembed noframes".split()  # what is in them is not markup
+SILENT = frozenset("noscript template select svg".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(DROP) + r")\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>|<[a-zA-Z/!?][^<]*\Z")
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTES = r"(?>[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"  # quotes count after an equals sign only
+DROPPED = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + rf")(?=[\s/>]){ATTRIBUTES}>.*?</\1(?=[\s/>])[^>]*>|<(?:script|style)(?=[\s/>]){ATTRIBUTES}>.*\Z", re.S | re.I
+)
+TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES})>|<[/!?][^>]*>|<[a-zA-Z/!?][^<]*\Z")
+NAMES = re.compile(r"(?<![-\w])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 BUCKETS, WIDTH, HIDDEN, SHAPE = 1024, 12, 16, 6
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path tokens, text, characters inside links) of each non-empty leaf block in order."""
+    """(tag path, text, how much of it is in links) of each leaf block, in page order.
+
+    Raw elements are dropped with what is in them; script and style run to the end of the page if
+    never closed, of the others only the tag goes then. Silent elements are dropped too, up to
+    their end or their parent's. A head ends at the first tag that belongs in a body.
+    """
     page = DROPPED.sub(" ", page or "")
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked = at = 0
+    opened: dict[str, int] = {}
+    linked = at = silent = 0
     here: tuple[str, ...] = ()
 
     def leaf() -> None:
@@ -53,20 +63,31 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         linked = 0
 
     def close(name: str, only: frozenset[str] | None = None) -> None:
+        nonlocal silent
+        if not opened.get(name):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == name:
+                for gone, _ in stack[k:]:
+                    opened[gone] -= 1
+                    silent -= gone in SILENT
                 del stack[k:]
                 return
             if only and stack[k][0] not in only:
                 return
 
+    def take(text: str) -> None:
+        nonlocal here, linked
+        if silent:
+            return
+        if not parts:
+            here = tuple(x for _, names in stack for x in names)
+        parts.append(text)
+        linked += len(text) if opened.get("a") else 0
+
     for m in TAG.finditer(page):
         if m.start() > at:
-            if not parts:
-                here = tuple(x for _, names in stack for x in names)
-            parts.append(page[at : m.start()])
-            if any(t == "a" for t, _ in stack[-4:]):
-                linked += m.start() - at
+            take(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -79,6 +100,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if m[1]:
             close(name)
             continue
+        if name in BREAKS_P or name == "body":
+            close("head")
         if name in BREAKS_P:
             close("p", INLINE)
         for other in CLOSES.get(name, ()):
@@ -91,10 +114,10 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 words = [w for w in PARTS.split((found[1] or found[2] or found[3] or "").lower()) if w]
                 tokens += [f".{w}" for w in words]
         stack.append((name, tuple(tokens)))
+        opened[name] = opened.get(name, 0) + 1
+        silent += name in SILENT
     if at < len(page):
-        if not parts:
-            here = tuple(x for _, names in stack for x in names)
-        parts.append(page[at:])
+        take(page[at:])
     leaf()
     return out
 
@@ -113,8 +136,8 @@ def describe(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[np.ndarray,
         paths += [_bucket(t) for t in tokens]
         powner += [i] * len(tokens)
         w = text.lower().split()
-        words += [_bucket("w:" + x) for x in w[:40]]
-        wowner += [i] * min(40, len(w))
+        words += [_bucket("w:" + x) for x in w]
+        wowner += [i] * len(w)
         n = len(text)
         shape[i] = (np.log1p(len(w)) / 5, min(1.0, linked / n), text[-1] in ".!?…", len(w) < 4, i == 0, "©" in text)
     return np.array(paths, np.int64), np.array(powner, np.int64), np.array(words, np.int64), np.array(wowner, np.int64), shape
@@ -324,7 +347,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks labelled main text, character references decoded and white space runs made one space,
     joined by a newline in page order. Null or empty html, or a page without a main block, gives
-    an empty text. Repeated rows are each labelled; other columns are ignored.
+    an empty text. Repeated rows are each labelled, also without page_id; other columns are ignored,
+    and an empty table gives no rows.
     """
     net = pages.sparkSession.sparkContext.broadcast(trained())
 

@@ -361,6 +361,35 @@ def test_html_text(spark):
     assert got[2]["text"] == got[3]["text"] == ""
 
 
+def test_html_blocks():
+    """Open heads, apostrophes in bare values, custom elements, silent elements and comments never closed."""
+    texts = lambda h: [b[1] for b in html_text.blocks(h)]
+    assert texts("<html><head><title>t</title><p>story") == ["story"]
+    assert texts("<article><h1>Tall</h1><p title=it's>first</p><p>second it's so</p>") == ["Tall", "first", "second it's so"]
+    assert texts("<article><h1>A</h1><object-viewer>x</object-viewer><p>article") == ["A", "x", "article"]
+    assert texts("<p>a<svg/>b<svg><text>no</text><p>c</p></p>d") == ["a", "b", "d"]
+    assert texts("<article><math>x+1</math><select><option>no</article><p>yes") == ["x+1", "yes"]
+    assert texts("<!-->x<!-- y") == ["x"] and texts("<script>if (a < b) '</p>'") == [] and texts("<title>x <p>y") == ["x", "y"]
+    assert html_text.blocks("<a><b><i><u><em><strong>deep</strong></em></u></i></b></a>")[0][2] == 4
+    assert len(html_text.blocks("<div>" * 20000 + "x" + "</p>" * 20000)) == 1 and texts("<a " + "b= " * 50000) == []
+
+
+def test_html_text_of_awkward_rows(spark):
+    """Repeats, no page_id, a very long page, clashing columns, an empty table; text is the main blocks of made pages."""
+    r = np.random.default_rng(77)
+    made = [html_text.made_page(r) for _ in range(60)]
+    long = "<article><h1>Top</h1>" + "".join(f"<p>The town had a long story, part {k}, and it was told by many people over the years.</p>" for k in range(3000)) + "</article>"
+    rows = [(k, "u", h, 0, "t") for k, (h, _) in enumerate(made)] + [(None, "u", made[0][0], 0, "t")] * 2 + [(99, None, long, 0, "t"), (100, "u", "", 0, "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_blocks long, text string")
+    out = html_text.extract(df).collect()
+    assert html_text.extract(df.filter("false")).count() == 0
+    got = {r["page_id"]: r["text"] for r in out}
+    assert len(out) == len(rows) and sum(r["page_id"] is None for r in out) == 2 and got[None] == got[0] and got[100] == ""
+    assert got[99].count("\n") == 3000
+    want = {k: "\n".join(html_text.SPACE.sub(" ", m).strip() for m in main) for k, (_, main) in enumerate(made)}
+    assert np.mean([got[k] == w for k, w in want.items()]) > 0.9
+
+
 def test_empty_tables(spark, empty, tmp_path):
     model, tok = queries.tokenizer_file("piece_bpe_32k.model"), queries.tokenizer_file("word_bpe_49k.json")
     assert simhash.near_groups(empty).count() == 0

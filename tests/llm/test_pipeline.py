@@ -47,9 +47,9 @@ def test_mixing_meets_targets_at_a_far_mix(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     keep = F.col("lang").isin("fr", "de") | (F.col("lang") == "en") & (F.col("doc_id") % 8 == 0) | (F.col("lang") == "es") & (F.col("doc_id") % 40 == 0)
-    docs = docs.filter(keep).localCheckpoint()
+    docs = docs.filter(keep).persist()
     marked = labelled_domains(docs, spark, d)
-    known = mix(docs, marked, TARGETS, low=1.0, high=1.0).select("doc_id", "n_tokens", "membership").localCheckpoint()
+    known = mix(docs, marked, TARGETS, low=1.0, high=1.0).select("doc_id", "n_tokens", "membership").persist()
     shares = [F.sum(F.col("n_tokens") * F.element_at("membership", j + 1)).alias(k) for j, k in enumerate(TARGETS)]
     before = known.agg(*shares).first()
     after = corpus_pipeline.mixing(spark, docs, d).select("doc_id").join(known, "doc_id").agg(*shares).first()
@@ -58,3 +58,37 @@ def test_mixing_meets_targets_at_a_far_mix(spark):
     assert part(before)["fr"] > 1.5 * TARGETS["fr"] and part(before)["es"] < 1.5 * TARGETS["es"] / 4
     assert all(abs(part(after)[k] - w) < 0.02 for k, w in TARGETS.items())
     assert {r[0] for r in docs.select("doc_id").collect()} <= {r[0] for r in known.select("doc_id").collect()}
+
+
+ROWS = [(1, "A"), (5, "A"), (5, "B"), (8, "T"), (8, "T"), (None, "A"), (None, None), (9, ""), (10, "  ")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated and null ids, and columns named like those that the operators make."""
+    long = {"A": "a river stone market winter garden letter silver bridge morning forest", "B": "an island music table yellow candle harbour window paper one", "T": "two tall towers told the time to ten tired travellers there"}
+    made = [(i, long.get(t, t), "en", k, True, 1.0, "x", 3, 4, 5) for k, (i, t) in enumerate(ROWS)]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, row long, keep boolean, score double, turn string, times int, n long, ids int").repartition(3)
+
+
+def kept(df):
+    return sorted((r["row"], r["keep"], r["score"], r["turn"], r["times"], r["n"]) for r in df.collect())
+
+
+def test_dedup_stages_decide_by_row(spark, odd, tmp_path):
+    rows = lambda ks: [(k, True, 1.0, "x", 3, 4) for k in ks]
+    got = corpus_pipeline.exact_dedup(spark, odd, "")
+    assert got.columns == odd.columns
+    got = kept(got)
+    assert len(got) == 4 and rows([0, 2]) == got[:2] and got[2] in rows([3, 4]) and got[3] in rows([8])  # of the blank texts the longest
+    near = kept(corpus_pipeline.near_dedup(spark, odd, ""))
+    assert len(near) == 4 and rows([0, 2]) == near[:2] and near[2] in rows([3, 4]) and near[3] in rows([7])
+
+
+def test_stages_take_clashing_columns_and_empty_tables(spark, odd):
+    d = "/root/testdata/sf0.001"
+    assert sorted(set(kept(corpus_pipeline.mixing(spark, odd, d)))) == [(k, True, 1.0, "x", 3, 4) for k in range(len(ROWS))]
+    assert corpus_pipeline.quality(spark, odd, d).columns == odd.columns
+    none = odd.filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, d).count() == 0
