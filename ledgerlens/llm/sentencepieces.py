@@ -5,8 +5,8 @@ piece reaches: runs of spaces with the letters after them, and runs of other cha
 spaces with all that follows them if the model has pieces that mix letters and others). In each unit candidate merges wait
 in an agenda ordered by score, then place; a candidate that comes up is skipped, for good, by a draw
 of its own at the dropout rate. The draws of a unit are the bits of one number, a bit for each
-candidate in the order in which they come up; the numbers come from a generator keyed by seed, document and
-the copy's turn, at the unit's place in the text. So every occurrence is varied by itself and stays
+candidate in the order in which they come up; the numbers are hashes keyed by seed, document and
+the copy's turn, and the unit's place in the text. So every occurrence is varied by itself and stays
 reproducible. What is remembered is free of seeds: the ids of a unit without skips, and its ids by
 the bits that its agenda can use. With dropout 0 the ids are those of the library.
 
@@ -39,6 +39,54 @@ WHOLE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MIXED = re.compile(f"{LETTER}{OTHER}|{OTHER}{LETTER}")
 SHORT = 22  # an agenda of n characters draws at most 3 (n - 1) bits, so 64 do
 MASK = (1 << 64) - 1
+DRAW_BITS = 12  # the dropout rate is rounded to 1/4096
+
+
+GOLDEN = 0x9E3779B97F4A7C15
+STEP = np.uint64(0xD1B54A32D192ED03)
+BLANK = 0
+
+
+@functools.cache
+def char_kinds() -> np.ndarray:
+    """By code point: the mark for spaces, other characters, letters."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.ones(0x110000, np.uint8)
+    for m in re.finditer(f"{LETTER}+", every):
+        kinds[m.start() : m.end()] = 2
+    kinds[ord(SPACE)] = BLANK
+    return kinds
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    """A mix of 64 bits in which each bit of x changes half of the result's."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x
+
+
+def _places(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A number for each unit: its document's key and its place in the document."""
+    ends = np.cumsum(count)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + 1
+    with np.errstate(over="ignore"):
+        return np.repeat(keys, count) + place.astype(np.uint64) * np.uint64(GOLDEN)
+
+
+def _skips(numbers: np.ndarray, limit: int) -> np.ndarray:
+    """For each number 64 independent draws as bits, each set at the rate limit / 2^DRAW_BITS: random
+    words are joined by and, or by or, as the digits of the rate say from the last one set."""
+    out = np.zeros(len(numbers), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(DRAW_BITS):
+            digit = limit >> k & 1
+            if digit or limit & ((1 << k) - 1):
+                word = _hash(numbers + np.uint64(k) * STEP)
+                out = out | word if digit else out & word
+    return out
 
 
 class Pieces:
@@ -53,7 +101,7 @@ class Pieces:
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.units = WHOLE if any(map(MIXED.search, self.ids)) else APART
-        self.limit, self.seed = round(dropout * (1 << 32)), seed
+        self.limit, self.seed = min(round(dropout * (1 << DRAW_BITS)), (1 << DRAW_BITS) - 1), seed
         self.pairs, self.pair_scores, self.pair_ids = self._pairs()
         self.chars = np.full(0x110000, -1, np.int64)
         for piece, i in self.ids.items():
@@ -170,76 +218,112 @@ class Pieces:
         return self._alone(unit, skips, literal)[0]
 
     def _draws(self, key: int, place: int, count: int) -> np.ndarray:
-        """count draws at the dropout rate; places have streams of their own."""
-        raw = np.random.Philox(key=key, counter=place << 128).random_raw(-(-count // 2))
-        return np.ascontiguousarray(raw, "<u8").view("<u4")[:count] < self.limit
+        """count draws at the dropout rate for one long unit."""
+        base = np.array([(key + (place + 1) * GOLDEN) & MASK], np.uint64)
+        return np.unpackbits(_skips(np.repeat(base, -(-count // 64)) + np.arange(-(-count // 64), dtype=np.uint64) * STEP, self.limit).view(np.uint8), bitorder="little")[:count].astype(bool)
+
+    def _keys(self, docs: list[int], turns: list[int]) -> np.ndarray:
+        signed = lambda x: np.array(x, np.int64).view(np.uint64)
+        with np.errstate(over="ignore"):
+            return _hash((signed(docs) ^ np.uint64(self.seed * GOLDEN & MASK)) + _hash(signed(turns)))
 
     def _cut(self, text: str, doc: int, turn: int = 0) -> tuple[list[str], list[int]]:
         """Units with the draws of each."""
         units = self.units.findall(SPACE + text.replace(" ", SPACE))
         if not self.limit:
             return units, [0] * len(units)
-        key = (doc & MASK) ^ (self.seed & MASK) | (turn & MASK) << 64
-        skips = np.packbits(self._draws(key, 0, 64 * len(units)), bitorder="little").view("<u8").tolist()
+        keys = self._keys([doc], [turn])
+        skips = _skips(_places(keys, np.array([len(units)])), self.limit).tolist()
         for k, unit in enumerate(units):
             if len(unit) > SHORT:
-                skips[k] = int.from_bytes(np.packbits(self._draws(key, k + 1, 3 * len(unit)), bitorder="little").tobytes(), "little")
+                skips[k] = self._long(unit, int(keys[0]), k)
         return units, skips
 
+    def _long(self, unit: str, key: int, k: int) -> int:
+        return int.from_bytes(np.packbits(self._draws(key, k, 3 * len(unit)), bitorder="little").tobytes(), "little")
+
     def _marked(self, text: str, doc: int, turn: int) -> bytes:
         """A literal mark is kept apart from spaces, as bytes."""
         literal = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and c not in self.ids)
         return b"".join([self._unit(u, v, literal) for u, v in zip(*self._cut(text.replace(SPACE, literal), doc, turn), strict=True)])
 
-    def _plain(self, units: set[str]) -> dict[str, tuple[bytes, int, int]]:
-        """By unit: ids without skips, the draws that these need to be 0, and one draw more."""
-        have = {u: self.plain.get(u) for u in units}
-        new: dict[tuple[str, int], tuple[bytes, int] | None] = {(u, 0): None for u, got in have.items() if got is None}
+    def _plain(self, units: list[str]) -> list[tuple[bytes, int, int]]:
+        """By unit: ids without skips, the draws that these need to be 0, and all that its agenda can use."""
+        have = self.plain.many(units)
+        new: dict[tuple[str, int], tuple[bytes, int] | None] = {(u, 0): None for u, got in zip(units, have, strict=True) if got is None}
         self._new(new)
-        for (u, _), (ids, drawn) in new.items():
-            have[u] = ids, (1 << drawn) - 1, (2 << drawn) - 1
-            self.plain.put(u, have[u])
-        return have
+        made = {u: (ids, (1 << drawn) - 1, (1 << 3 * (len(u) - 1)) - 1) for (u, _), (ids, drawn) in new.items()}
+        for u, got in made.items():
+            self.plain.put(u, got)
+        return [made[u] if got is None else got for u, got in zip(units, have, strict=True)]
+
+    def _parted(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct units, which of these the texts are made of in order, how many of them each text has)."""
+        if self.units is not APART:
+            found = [self.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+            coded = pa.array([u for f in found for u in f], pa.string()).dictionary_encode()
+            return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.array(list(map(len, found)), np.int64)
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        chars = np.frombuffer("".join([SPACE + t.replace(" ", SPACE) for t in texts if t]).encode("utf-32-le", "surrogatepass"), "<u4")
+        if not len(chars):
+            return [], np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        kind = char_kinds()[chars]
+        before = np.append(np.uint8(9), kind[:-1])
+        cut = (kind != before) & (before != BLANK)
+        ends = np.cumsum(sizes)
+        begins = (ends - sizes)[sizes > 0]
+        cut[begins] = True
+        width = 1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000)
+        at = np.flatnonzero(cut)
+        stops = np.append(0, np.cumsum(width, dtype=np.int64))[np.append(at, len(chars))]
+        raw = chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        units = [u.decode("utf-8", "surrogatepass") for u in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        return units, coded.indices.to_numpy(), np.diff(np.searchsorted(at, np.append(0, ends)))
 
     def encode_batch(self, texts: list[str], docs: list[int], turns: list[int] | None = None) -> list[np.ndarray]:
         """Ids of each text; turns tell copies of a document apart.
 
-        An agenda that ends within the first draws is remembered by these alone; that it goes on is
-        remembered as a number, and its ids by all draws that it can use.
+        A unit whose draws spare all that its agenda without skips uses has the ids without skips. The
+        ids of others are looked up, or made, once for each distinct unit and draws in the batch.
         """
         turns = turns or [0] * len(texts)
-        cut = [None if SPACE in text else self._cut(text, doc, turn) if text else ([], []) for text, doc, turn in zip(texts, docs, turns, strict=True)]
-        have = self._plain({u for c in cut if c for u in c[0]})
-        varied, out, holes = self.varied, [], []
-        new: dict[tuple[str, int], tuple[bytes, int] | None] = {}
-        for text, doc, turn, c in zip(texts, docs, turns, cut, strict=True):
-            parts: list[bytes | None] = []
-            out.append(parts)
-            if c is None:
-                parts.append(self._marked(text, doc, turn))
-                continue
-            for unit, v in zip(*c, strict=True):
-                got, needed, first = have[unit]
-                if v & needed:
-                    got = varied.get((unit, v & first))
-                    if got.__class__ is int:
-                        got = varied.get((unit, v & got, True))
-                    if got is None:
-                        key = unit, v & (1 << 3 * (len(unit) - 1)) - 1
-                        new[key] = None
-                        holes.append((parts, len(parts), key))
-                parts.append(got)
-        self._new(new)
-        for (unit, v), (ids, drawn) in new.items():
-            first = have[unit][2]
-            if drawn <= first.bit_length():
-                varied.put((unit, v & first), ids)
-            else:
-                varied.put((unit, v & first), (1 << 3 * (len(unit) - 1)) - 1)
-                varied.put((unit, v, True), ids)
-        for parts, k, key in holes:
-            parts[k] = new[key][0]
-        return [np.frombuffer(b"".join(parts), "<u4") for parts in out]
+        units, which, count = self._parted(["" if SPACE in t else t for t in texts])
+        have = self._plain(units)
+        flat = [h[0] for h in have]
+        parts = list(map(flat.__getitem__, which.tolist()))
+        ends = np.cumsum(count)
+        if self.limit and len(which):
+            keys = self._keys(docs, turns)
+            skips = _skips(_places(keys, count), self.limit)
+            size = np.array([len(u) for u in units])
+            needed = np.array([min(h[1], MASK) for h in have], np.uint64)
+            able = np.array([min(h[2], MASK) for h in have], np.uint64)
+            short = size[which] <= SHORT
+            at = np.flatnonzero(short & ((skips & needed[which]) != 0))
+            owner, draws = which[at], (skips & able[which])[at]
+            order = np.lexsort((draws, owner))
+            fresh = np.append(True, (owner[order][1:] != owner[order][:-1]) | (draws[order][1:] != draws[order][:-1]))[: len(order)]
+            kind = np.empty(len(at), np.int64)
+            kind[order] = np.cumsum(fresh) - 1
+            head = order[fresh]
+            wanted = list(zip([units[k] for k in owner[head].tolist()], draws[head].tolist(), strict=True))
+            got = self.varied.many(wanted)
+            new: dict[tuple[str, int], tuple[bytes, int] | None] = {w: None for w, g in zip(wanted, got, strict=True) if g is None}
+            self._new(new)
+            for w, (ids, _) in new.items():
+                self.varied.put(w, ids)
+            got = [new[w][0] if g is None else g for w, g in zip(wanted, got, strict=True)]
+            for k, j in zip(at.tolist(), kind.tolist(), strict=True):
+                parts[k] = got[j]
+            text_of = np.repeat(np.arange(len(texts)), count)
+            for k in np.flatnonzero(~short).tolist():
+                i = int(text_of[k])
+                unit = units[which[k]]
+                parts[k] = self._unit(unit, self._long(unit, int(keys[i]), k - int(ends[i] - count[i])))
+        bounds = [0, *ends.tolist()]
+        raw = [b"".join(parts[a:z]) for a, z in zip(bounds, bounds[1:], strict=False)]
+        return [np.frombuffer(self._marked(t, d, n) if SPACE in t else r, "<u4") for t, d, n, r in zip(texts, docs, turns, raw, strict=True)]
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
         return self.encode_batch([text], [doc])[0]
@@ -268,13 +352,13 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
     at, names = len(extra), [f.name for f in schema]
     if turns:
         copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-        rows = rows.withColumn("turn", F.row_number().over(copies) - 1)
+        rows = rows.select("*", (F.row_number().over(copies) - 1).alias("turn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, dropout, seed)
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, 2048):
+                b = whole.slice(k, 2048)
                 ids = pieces.encode_batch(b.column(at + 1).to_pylist(), [d or 0 for d in b.column(at).to_pylist()], b.column(width).to_pylist() if turns else None)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
@@ -288,7 +372,7 @@ def piece_digests(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, dropout, seed)
-        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+        for b in (whole.slice(k, 2048) for whole in batches for k in range(0, whole.num_rows, 2048)):
             n, crc, sha, same = [], [], [], []
             texts = b.column(1).to_pylist()
             for text, ids in zip(texts, pieces.encode_batch(texts, [d or 0 for d in b.column(0).to_pylist()]), strict=True):

@@ -1,14 +1,17 @@
 """Document quality from weak labels.
 
 Overlapping heuristic labellers vote good, bad or abstain on each whole text. Expectation
-maximisation over the counts of all vote patterns (at most 3^labellers of them) estimates each
-labeller's accuracy for either class and the posterior of each pattern. The posteriors of a
-bounded sample then train a logistic scorer on hashed features, which decides for every text,
-also where the labellers abstain.
+maximisation over the counts of all vote patterns (at most 3^labellers of them) estimates, for
+either class, how often each labeller votes each way, and the posterior of each pattern. It starts
+from the majority of votes and knows no rate beforehand, so a labeller that is no better than
+chance loses its say. The posteriors of a bounded sample then train a logistic scorer on hashed
+words and character patterns, which decides for every text, also where the labellers abstain.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +21,16 @@ from pyspark.sql.types import StructType
 
 from .common import Scratch
 
-BUCKETS = 4096
+BUCKETS = 4096  # for character patterns, and as many for words
+WORD = 0.3
 SAMPLE = 3000
-#: Votes bad, abstain, good that a labeller is taken to give to bad and to good documents before any are seen.
-PRIOR = np.array([[0.3, 0.6, 0.1], [0.005, 0.6, 0.395]])
-#: A labeller's vote of bad comes at least this often on bad documents and at most that often on good ones.
-FIRES = (0.1, 0.0003)
 KINDS = np.full(256, 9, np.uint8)
 for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\x0b\x0c", ".", ",;:'\"-()?", "!", "|")):
     KINDS[list(_chars.encode())] = _k
 for _k, _chars in enumerate(("%#&*$@~^=<>\\{}[]_", "+/`")):
     KINDS[list(_chars.encode())] = 10 + _k
 KINDS[128:] = 12
+MARKS = frozenset("%#&*$@~^=<>\\{}[]_+`|!")
 
 
 class Text:
@@ -40,7 +41,7 @@ class Text:
         self.kinds = KINDS[data]
         self.count = np.bincount(self.kinds, minlength=16)
         words = (text or "").split()
-        self.n = len(words)
+        self.n, self.words = len(words), words
         self.repeat = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, self.n - 1)
         self.distinct = len(set(words)) / max(1, self.n)
 
@@ -49,20 +50,32 @@ class Text:
         c, n, size = self.count, max(1, self.n), max(1, len(self.kinds))
         letters = max(1, int(c[0] + c[1] + c[12]))
         bad = lambda x, edge: -1 if x > edge else 0
+        lone = sum(not (w.isalnum() or any(map(str.isalnum, w))) for w in self.words) / n
+        edged = sum(w[-1] in MARKS or w[0] in MARKS for w in self.words) / n
+        span = size / n
+        run = max(sum(1 for _ in same) for _, same in itertools.groupby(self.words)) if self.repeat * n > 2 else 0
+        pairs = len(set(itertools.pairwise(self.words))) / max(1, self.n - 1)
         return [
             bad(c[1] / letters, 0.4),
             bad(c[7] / n, 0.25),
             bad(c[8] / n, 0.15),
             bad(c[10] / size, 0.05),
             bad(self.repeat, 0.2) if self.n > 4 else 0,
-            (-1 if self.distinct < 0.25 else int(self.distinct > 0.45)) if self.n > 40 else 0,
-            -1 if (share := int(c[0] + c[12]) / size) < 0.4 else int(share > 0.6),
+            bad(0.25, self.distinct) if self.n > 40 else 0,
+            bad(0.4, int(c[0] + c[12]) / size),
             0 if self.n else -1,
+            bad(lone, 0.08),
+            bad(edged, 0.15),
+            bad(abs(span - 8), 6),
+            int(0.02 < c[5] / n < 0.3 and pairs > 0.8) if self.n > 20 else 0,
+            bad(run, 3),
+            bad(0.55, pairs) if self.n > 20 else 0,
         ]
 
     def features(self) -> np.ndarray:
-        """Hashed 4-grams of character kinds and of the text's rates, each of unit length."""
+        """Hashed words, at WORD of unit length, after hashed 4-grams of character kinds, of unit length, and the text's rates."""
         out = np.zeros(BUCKETS, np.float32)
+        said = np.bincount([zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS for w in self.words], minlength=BUCKETS) if self.n else out
         k = self.kinds.astype(np.uint32)
         if len(k) > 3:
             code = (k[:-3] << 12) | (k[1:-2] << 8) | (k[2:-1] << 4) | k[3:]
@@ -71,34 +84,33 @@ class Text:
         for i, x in enumerate((self.repeat, self.distinct, self.count[1] / max(1, len(k)), self.count[10] / max(1, len(k)))):
             for j, edge in enumerate((0.02, 0.1, 0.3, 0.6)):
                 out[(i * 977 + j * 131 + 7) % BUCKETS] += 0.5 * (x > edge)
-        return out
+        return np.concatenate([out, (WORD * np.sqrt(said / max(1, self.n))).astype(np.float32)])
 
 
-def estimate(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
-    """Posterior of good for each vote pattern such as '+0-', by expectation maximisation."""
+def estimate(patterns: dict[str, int], rounds: int = 300) -> tuple[dict[str, float], np.ndarray]:
+    """(posterior of good for each vote pattern such as '+0-', how often each labeller votes bad, abstains
+    and votes good on bad and on good documents), by expectation maximisation."""
     if not patterns:
-        return {}
+        return {}, np.zeros((0, 2, 3))
     names = sorted(patterns)
     weight = np.array([patterns[p] for p in names], float)
     vote = np.array([["-0+".index(c) for c in p] for p in names])
-    good = np.where((vote == 0).any(1), 0.05, 0.95)
-    trust = 0.05 * weight.sum() + 1
+    good = 1 / (1 + np.exp(-((vote == 2).sum(1) - (vote == 0).sum(1)).astype(float)))
     for _ in range(rounds):
         prior = (good @ weight + 1) / (weight.sum() + 2)
-        score = np.log(prior / (1 - prior)) * np.ones(len(names))
-        for j in range(vote.shape[1]):
-            table = trust * PRIOR
+        score = np.full(len(names), np.log(prior / (1 - prior)))
+        rates = np.ones((vote.shape[1], 2, 3))
+        for j, table in enumerate(rates):
             np.add.at(table[1], vote[:, j], good * weight)
             np.add.at(table[0], vote[:, j], (1 - good) * weight)
             table /= table.sum(1, keepdims=True)
-            table[0, 0], table[1, 0] = max(table[0, 0], FIRES[0]), min(table[1, 0], FIRES[1])
-            table /= table.sum(1, keepdims=True)
             score += np.log(table[1] / table[0])[vote[:, j]]
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - good).max() < 1e-6:
-            break
+        moved = np.abs(new - good).max()
         good = new
-    return dict(zip(names, good.tolist(), strict=True))
+        if moved < 1e-6:
+            break
+    return dict(zip(names, good.tolist(), strict=True)), rates
 
 
 def train(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -138,12 +150,12 @@ def score_quality(docs: DataFrame, columns: tuple[str, ...] = (), sample: int =
     extra = [c for c in columns if c not in made]
     rows = docs.select(*extra, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     votes = scratch.save(rows.select("doc_id", "text").mapInArrow(_votes, "doc_id long, pattern string"), "votes")
-    posterior = estimate({r["pattern"]: r["count"] for r in votes.groupBy("pattern").count().collect()})
+    posterior, _ = estimate({r["pattern"]: r["count"] for r in votes.groupBy("pattern").count().collect()})
     ids = [r[0] for r in votes.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     picked = rows.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).select("text").collect() if ids else []
     texts = [Text(r[0]) for r in picked]
     key = lambda t: "".join("-0+"[v + 1] for v in t.votes())
-    x = np.array([t.features() for t in texts], np.float32).reshape(-1, BUCKETS)
+    x = np.array([t.features() for t in texts], np.float32).reshape(-1, 2 * BUCKETS)
     y = np.array([posterior.get(key(t), 0.5) for t in texts])
     model = spark.sparkContext.broadcast((*train(x, y), posterior))
     schema = StructType(list(rows.schema.fields))
