@@ -11,7 +11,6 @@ AMOUNT_KEYS = ("total", "charges_in_hkd", "total_hkd")
 MEASURE_PATTERN = r"(?i)^(gross_|net_|chargeable_)?(weight|volume|wt|vol)(_|$)"
 DATE_PATTERN = r"(?i)date"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-MONTH_NAMES = ("january", "february", "march", "april", "june", "july", "august", "september", "sept", "october", "november", "december")
 TOLERANCE = 0.005
 
 WS = r"(?U)[\s﻿]"
@@ -77,11 +76,9 @@ def expand_year(y: Column) -> Column:
 
 
 def month_number(token: Column) -> Column:
-    """1 to 12 for a month's name or its first letters, else null."""
-    low = F.lower(token)
-    known = low.isin(*MONTHS, *MONTH_NAMES) | F.substring(low, 1, 3).isin(*MONTHS)
-    at = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(low, 1, 3)).cast("int")
-    return F.when(known & (at > 0), at)
+    """1 to 12 by the first three letters of a month's name, else null."""
+    at = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.lower(token), 1, 3)).cast("int")
+    return F.when(at > 0, at)
 
 
 def iso_date(y: Column, m: Column, d: Column) -> Column:

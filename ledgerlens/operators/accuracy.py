@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.functions.values import field_equal, norm_invoice_no, norm_text
+from ledgerlens.functions.values import field_equal, norm_text
 
 from .align import rank_align
-from .templates import TEMPLATES, invoice_no_key, row_key
+from .templates import TEMPLATES, fields_or_default, infer_template, invoice_no_key, row_key
 
 DOC = ["match_key", "a_doc"]
 COUNTS = ("answer_rows", "matched_rows", "missing_rows", "extra_rows")
@@ -53,6 +53,21 @@ def by_template(template: Column, value) -> Column:
     return out.otherwise(value(TEMPLATES[0]))
 
 
+def with_templates(pairs: DataFrame, answers: Side, results: Side, fields: DataFrame) -> DataFrame:
+    """pairs with template_id, the result's or else the answer's or else the one whose fields the two hold
+    most of, and fields_from, the template whose fields it uses."""
+    doc = ["match_key", "a_doc", "r_doc"]
+    named = pairs.withColumn("template_id", F.coalesce("r_template", "a_template"))
+    open_ = named.filter("template_id is null").select(*doc)
+    keys = []
+    for side, pos in ((answers, "a_doc"), (results, "r_doc")):
+        for table, cells in ((side.invoices, "header"), (side.rows, "cells")):
+            keys.append(table.select("match_key", F.col("doc_pos").alias(pos), F.explode(F.map_keys(cells)).alias("field_key")).distinct().join(open_, ["match_key", pos]).select(F.struct(*doc).alias("doc"), "field_key"))
+    found = infer_template(keys[0].union(keys[1]).union(keys[2]).union(keys[3]), fields, "doc").select("doc.*", F.col("template_id").alias("found"))
+    out = named.join(found, doc, "left").withColumn("template_id", F.coalesce("template_id", "found", F.lit(TEMPLATES[0]))).drop("found")
+    return fields_or_default(out, fields)
+
+
 class Report:
     """The report's tables, each a lazy DataFrame. pairs needs columns template_id and fields_from."""
 
@@ -61,7 +76,7 @@ class Report:
         keys = pairs.select(*DOC, "r_doc", "template_id", "fields_from")
         carry = ("template_id", "fields_from")
         no = by_template(F.col("fields_from"), lambda t: F.coalesce(F.try_element_at("header", F.lit(invoice_no_key(t))), F.lit("")))
-        pick = [*DOC, *carry, norm_invoice_no(no).alias("nkey"), F.col("inv_pos").alias("pos"), F.col("header").alias("body")]
+        pick = [*DOC, *carry, F.lower(norm_text(no)).alias("nkey"), F.col("inv_pos").alias("pos"), F.col("header").alias("body")]
         a_inv = answers.invoices.withColumnRenamed("doc_pos", "a_doc").join(keys, DOC).select(*pick)
         r_inv = results.invoices.withColumnRenamed("doc_pos", "r_doc").join(keys, ["match_key", "r_doc"]).select(*pick)
         named = {"a_pos": "a_inv", "r_pos": "r_inv", "a_body": "a_header", "r_body": "r_header"}
@@ -115,28 +130,34 @@ class Report:
     def _expected(self, df: DataFrame, scope: str, lone: Column, a: Column, r: Column) -> DataFrame:
         """Rows of df once for each field, or, where lone names an error of the whole row, once with
         that as kind; of the others those stay whose values differ."""
-        listed = F.array_sort(F.collect_list(F.struct("pos", "field_key", "field_class")))
+        listed = F.array_sort(F.collect_list(F.struct("pos", "field_key", "field_class", "label")))
         fields = F.broadcast(self.fields.filter(F.col("scope") == scope).groupBy(F.col("template_id").alias("fields_from")).agg(listed.alias("fields")))
-        none = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("field_key"), F.lit("").alias("field_class")))
+        none = F.array(F.struct(F.lit(0).alias("pos"), *[F.lit("").alias(c) for c in ("field_key", "field_class", "label")]))
         value = lambda m: F.coalesce(F.try_element_at(m, F.col("field.field_key")), F.lit(""))
         out = df.join(fields, "fields_from").withColumn("lone", lone).withColumn("field", F.explode(F.when(F.col("lone").isNull(), F.col("fields")).otherwise(none)))
         out = out.withColumns({"expected": value(a), "actual": value(r)})
         return out.filter(F.col("lone").isNotNull() | ~field_equal(F.col("field.field_class"), F.col("expected"), F.col("actual")))
 
     def errors(self) -> DataFrame:
-        """(template_id, match_key, a_doc, inv_idx, row_idx, kind, field_key, expected, actual)."""
-        cols = ["template_id", *DOC, "inv_idx", "row_idx", "kind", "field_key", "expected", "actual"]
+        """(template_id, match_key, a_doc, inv_idx, row_idx, kind, field_key, label, expected, actual). What
+        is missing or extra as a whole is named by its invoice number or the key column of its row."""
+        cols = ["template_id", *DOC, "inv_idx", "row_idx", "kind", "field_key", "label", "expected", "actual"]
         kind = F.coalesce("lone", F.lit("field_mismatch")).alias("kind")
-        text = lambda c: F.when(F.col("lone").isNull(), F.col(c)).otherwise(F.lit("")).alias(c)
+        no_key = by_template(F.col("fields_from"), lambda t: F.lit(invoice_no_key(t)))
+        line_key = by_template(F.col("fields_from"), lambda t: F.lit(row_key(t)))
+        cell = lambda m, key: F.coalesce(F.try_element_at(F.col(m), key), F.lit(""))
+        single = F.col("lone").isNull()
+        own = lambda key, label: (F.when(single, F.col("field.field_key")).otherwise(key).alias("field_key"), F.when(single, F.col("field.label")).otherwise(F.lit(label)).alias("label"))
+        side = lambda c, other: F.when(single, F.col(c)).otherwise(other).alias(c)
         invoice = F.when(F.col("r_inv").isNull(), "missing_invoice").when(F.col("a_inv").isNull(), "extra_invoice")
         head = self._expected(self.invoices, "header", invoice, F.col("a_header"), F.col("r_header"))
         line = self._expected(self.rows, "sublist", F.when(F.col("r_row").isNull(), "missing_row"), F.col("a_cells"), F.col("r_cells"))
-        extra = self._row_counts([*DOC, "inv_idx", "template_id", "a_inv", "r_inv"]).filter("a_inv is not null and r_inv is not null and extra_rows > 0")
-        none = F.lit("")
+        extra = self._row_counts([*DOC, "inv_idx", "template_id", "fields_from", "a_inv", "r_inv"]).filter("a_inv is not null and r_inv is not null and extra_rows > 0")
+        none, no_row = F.lit(""), F.lit(None).cast("int").alias("row_idx")
         parts = [
-            head.select("template_id", *DOC, "inv_idx", F.lit(None).cast("int").alias("row_idx"), kind, "field.field_key", text("expected"), text("actual")),
-            line.select("template_id", *DOC, "inv_idx", "row_idx", kind, "field.field_key", text("expected"), text("actual")),
-            extra.select("template_id", *DOC, "inv_idx", F.lit(None).cast("int").alias("row_idx"), F.lit("extra_row").alias("kind"), none.alias("field_key"), none.alias("expected"), F.col("extra_rows").cast("string").alias("actual")),
+            head.select("template_id", *DOC, "inv_idx", no_row, kind, *own(no_key, "发票"), side("expected", cell("a_header", no_key)), side("actual", cell("r_header", no_key))),
+            line.select("template_id", *DOC, "inv_idx", "row_idx", kind, *own(line_key, "明细行"), side("expected", cell("a_cells", line_key)), side("actual", none)),
+            extra.select("template_id", *DOC, "inv_idx", no_row, F.lit("extra_row").alias("kind"), line_key.alias("field_key"), F.lit("明细行").alias("label"), none.alias("expected"), F.concat(F.lit("多出 "), F.col("extra_rows").cast("string"), F.lit(" 行")).alias("actual")),
         ]
         return parts[0].union(parts[1]).union(parts[2]).select(*cols)
 

@@ -65,6 +65,6 @@ def patched(result: Column, note: Column, payload: Column, new_note: Column) ->
 
 
 def is_json_entry(path: Column) -> Column:
-    """Archive members that are read: .json files outside the resource-fork folder, no dot-files."""
+    """Archive members that are read: .json files outside any resource-fork folder, no dot-files."""
     base = F.regexp_extract(path, r"[^/]*$", 0)
-    return F.lower(path).endswith(".json") & ~path.startswith("__MACOSX/") & ~base.startswith(".")
+    return F.lower(path).endswith(".json") & ~F.contains(path, F.lit("__MACOSX/")) & ~base.startswith(".")

@@ -38,8 +38,10 @@ def reconcile(headers: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     return out.withColumn("balanced", amounts_match(F.col("line_total"), F.col("total"))).drop("cents")
 
 
-def structure_type(invoices: Column, has_lines: Column) -> Column:
-    return F.when(has_lines, F.when(invoices > 1, "multi_invoice_with_sublist").otherwise("invoice_with_sublist")).otherwise(F.when(invoices > 1, "multi_invoice").otherwise("single"))
+def structure_type(invoices: Column, has_lines: Column, template: Column | None = None) -> Column:
+    """By the number of invoices and whether any has lines; air waybills are one invoice with lines in any case."""
+    waybill = F.coalesce(template.isin("air_waybill", "air_waybill_dhl"), F.lit(False)) if template is not None else F.lit(False)
+    return F.when(waybill, "invoice_with_sublist").when(has_lines, F.when(invoices > 1, "multi_invoice_with_sublist").otherwise("invoice_with_sublist")).otherwise(F.when(invoices > 1, "multi_invoice").otherwise("single"))
 
 
 def confidence(c: Column) -> Column:
@@ -70,9 +72,30 @@ def valid_row(cells: Column, required: Column) -> Column:
 
 
 def page_outcome(failed: Column, target: Column, has_content: Column, valid: Column) -> Column:
-    return F.when(failed, "error").when(~target | ~has_content | ~valid, "skipped").otherwise("used")
+    return F.when(failed, "error").when(~target | ~has_content | ~valid, "skipped").otherwise("target")
 
 
 def freight_valid(has_header: Column, filled: Column, number: Column, has_lines: Column) -> Column:
     """Without a header lines are needed; with one, 5 filled fields and a number of 11 characters."""
     return F.when(~has_header, has_lines).otherwise((filled >= 5) & (F.length(freight_no(number)) == 11))
+
+
+def merge_by_majority(invoices: DataFrame, winners: DataFrame, doc: str, no_key: str) -> DataFrame:
+    """invoices(doc, pos, header, sublist), winners(doc, winner) -> one invoice for each document (header, sublist).
+
+    The first invoice with the winning number is the base, else the first of all. Blank header values of
+    the base are filled from the others in order, but for the number; lines follow the base's in order.
+    The number is the base's own text where it is the winning one, else the winner.
+    """
+    number = lambda h: F.coalesce(F.try_element_at(h, F.lit(no_key)), F.lit(""))
+    rows = invoices.join(winners.select(doc, "winner"), doc, "left").withColumn("agrees", F.coalesce(norm_invoice_no(number(F.col("header"))) == F.col("winner"), F.lit(False)))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "agrees", "header", "sublist")), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+    out = rows.groupBy(doc).agg(F.first("winner").alias("winner"), listed.alias("all"))
+    base = F.coalesce(F.array_min(F.transform(F.filter("all", lambda x: x["agrees"]), lambda x: x["pos"])), F.element_at("all", 1)["pos"])
+    out = out.withColumn("base", base).withColumn("own", F.filter("all", lambda x: x["pos"] == F.col("base"))[0]).withColumn("others", F.filter("all", lambda x: x["pos"] != F.col("base")))
+    filled = lambda a, x: F.when(F.coalesce(a, F.lit("")) != "", a).when(F.coalesce(x, F.lit("")) != "", x).otherwise(a)
+    fold = lambda acc, x: F.map_filter(F.map_zip_with(acc, F.map_filter(x["header"], lambda k, _: k != no_key), lambda k, a, v: filled(a, v)), lambda k, v: v.isNotNull())
+    header = F.aggregate("others", F.col("own.header"), fold)
+    said = F.when(F.col("own.agrees"), number(F.col("own.header"))).otherwise(F.coalesce("winner", F.lit("")))
+    named = F.when(said != "", F.map_concat(F.map_filter(header, lambda k, _: k != no_key), F.create_map(F.lit(no_key), said))).otherwise(header)
+    return out.select(doc, named.alias("header"), F.concat(F.col("own.sublist"), F.flatten(F.transform("others", lambda x: x["sublist"]))).alias("sublist"))

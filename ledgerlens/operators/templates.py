@@ -32,8 +32,8 @@ FIELDS = [
 ]
 TEMPLATES = ["air_waybill", "air_waybill_dhl", "freight_invoice"]
 REQUIRED = {"air_waybill": ["air_waybill_number"], "air_waybill_dhl": ["air_waybill_number"], "freight_invoice": ["description"]}
-HEADER_TOTAL_KEYS = ["total_hkd", "total"]
-LINE_AMOUNT_KEYS = ["charges_in_hkd", "total"]
+HEADER_TOTAL_KEYS = ["total_hkd", "total", "grand_total"]
+LINE_AMOUNT_KEYS = ["charges_in_hkd", "total", "charges", "amount", "fee"]
 
 
 def template_fields(spark: SparkSession) -> DataFrame:

@@ -35,7 +35,7 @@ def grouped_money(cents: str) -> str:
 
 TOTAL = CENTS.format(x="o_totalprice")
 CHARGE = CENTS.format(x="l_extendedprice")
-NO = "concat('INV', lpad(cast(o_orderkey as string), 8, '0'))"
+NO = "concat('INV-', lpad(cast(o_orderkey as string), 8, '0'))"
 
 # Each text is valid for both engines once `string` is a type name; used by DataFrames through expr().
 ANSWER_DOC = {"file_name": "concat(c_name, '.pdf')"}
@@ -43,7 +43,7 @@ RESULT_DOC = {"file_name": "case when c_custkey % 19 = 0 then concat('X-', c_nam
 RESULT_KEEP = "c_custkey % 17 <> 0"
 ANSWER_INV = {"invoice_no": NO, "invoice_date": ISO, "total_hkd": f"concat('HKD ', {money(TOTAL)})", "terms": "o_orderpriority", "packages": "cast(o_orderkey % 90 as string)"}
 RESULT_INV = {
-    "invoice_no": f"case when o_orderkey % 11 = 0 then concat('Z', substr({NO}, 2)) when o_orderkey % 5 = 0 then concat(' ', lower({NO})) else {NO} end",
+    "invoice_no": f"case when o_orderkey % 11 = 0 then concat('Z', substr({NO}, 2)) when o_orderkey % 9 = 0 then concat(substr({NO}, 1, 8), ' ', substr({NO}, 9)) when o_orderkey % 5 = 0 then concat(' ', replace(lower({NO}), '-', ' － ')) else {NO} end",
     "invoice_date": FORMS,
     "total_hkd": grouped_money(f"{TOTAL} + (case when o_orderkey % 23 = 0 then 1 else 0 end)"),
     "terms": "case when o_orderkey % 3 = 0 then lower(replace(o_orderpriority, '-', ' － ')) else o_orderpriority end",

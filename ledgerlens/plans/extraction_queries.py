@@ -39,6 +39,24 @@ def q26_majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return p.majority_number(entries(spark, d), "l_orderkey")
 
 
+@query(
+    f"""WITH {ENTRIES}, h AS (SELECT e.l_orderkey, e.pos, no, CASE WHEN hv THEN concat('F', weight) ELSE '' END AS terms, CASE WHEN ls THEN '' ELSE cast(e.pos AS VARCHAR) END AS packages FROM e),
+    c AS (SELECT l_orderkey, no, sum(greatest(1, weight)) AS votes, min(pos) AS first_pos FROM e WHERE no <> '' GROUP BY ALL),
+    w AS (SELECT l_orderkey, no AS winner, first_pos FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, first_pos) = 1),
+    o AS (SELECT h.*, winner, coalesce(h.pos = coalesce(first_pos, 1), false) AS base FROM h LEFT JOIN w USING (l_orderkey))
+    SELECT l_orderkey, coalesce(max(CASE WHEN winner IS NOT NULL THEN concat(lower(substr(winner, 1, 3)), ' ', substr(winner, 4)) END), '') AS invoice_no,
+      coalesce(arg_min(terms, CASE WHEN base THEN 0 ELSE pos END) FILTER (terms <> ''), '') AS terms, coalesce(arg_min(packages, CASE WHEN base THEN 0 ELSE pos END) FILTER (packages <> ''), '') AS packages,
+      string_agg(pos::VARCHAR, ',' ORDER BY CASE WHEN base THEN 0 ELSE pos END) AS lines FROM o GROUP BY 1"""
+)
+def q27_majority_merge(spark: SparkSession, d: str) -> DataFrame:
+    e = entries(spark, d)
+    header = {"invoice_no": F.col("no"), "terms": F.when(F.col("has_header"), F.concat(F.lit("F"), F.col("weight").cast("string"))).otherwise(""), "packages": F.when(F.col("has_lines"), "").otherwise(F.col("pos").cast("string"))}
+    invoices = e.select("l_orderkey", "pos", F.create_map(*[x for k, c in header.items() for x in (F.lit(k), c)]).alias("header"), F.array(F.create_map(F.lit("line"), F.col("pos").cast("string"))).alias("sublist"))
+    merged = p.merge_by_majority(invoices, p.majority_number(e, "l_orderkey"), "l_orderkey", "invoice_no")
+    lines = F.array_join(F.transform("sublist", lambda x: x["line"]), ",").alias("lines")
+    return merged.select("l_orderkey", *[F.coalesce(F.col("header")[k], F.lit("")).alias(k) for k in header], lines)
+
+
 @query(
     """WITH n AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS n, count(l_orderkey) > 0 AS has FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 3 GROUP BY 1)
     SELECT o_custkey, n AS invoices, CASE WHEN has THEN CASE WHEN n > 1 THEN 'multi_invoice_with_sublist' ELSE 'invoice_with_sublist' END WHEN n > 1 THEN 'multi_invoice' ELSE 'single' END AS structure FROM n"""

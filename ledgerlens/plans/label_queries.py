@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlens.functions import text as t, values as v
 from ledgerlens.operators import labels as lb, pages as p
-from ledgerlens.operators.templates import FIELDS, HEADER_TOTAL_KEYS, LINE_AMOUNT_KEYS, template_fields
+from ledgerlens.operators.templates import FIELDS, template_fields
 from ledgerlens.sources.exports import read_exports
 from . import bridge as b, oracle as o
 from .extraction_queries import ENTRIES, entries
@@ -56,7 +56,7 @@ def q22_valid_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 THEN 'error' WHEN l_partkey % 5 = 0 OR l_quantity < 5 OR l_suppkey % 7 = 0 THEN 'skipped' ELSE 'used' END AS outcome FROM lineitem)
+    """WITH q AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 THEN 'error' WHEN l_partkey % 5 = 0 OR l_quantity < 5 OR l_suppkey % 7 = 0 THEN 'skipped' ELSE 'target' END AS outcome FROM lineitem)
     SELECT l_orderkey, outcome, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS pages FROM q GROUP BY ALL"""
 )
 def q23_page_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ _DIM = ", ".join(f"({k}, '{x[0]}', '{x[1]}', '{x[2]}', '{x[3]}')" for k, x in en
 
 
 @query(
-    f"""WITH f AS (SELECT *, CASE scope WHEN 'header' THEN list_position({HEADER_TOTAL_KEYS!r}, field_key) ELSE list_position({LINE_AMOUNT_KEYS!r}, field_key) END AS rank FROM (VALUES {_DIM}) AS f(pos, template_id, scope, field_id, field_key))
+    f"""WITH f AS (SELECT *, CASE scope WHEN 'header' THEN list_position(['total_hkd', 'total', 'grand_total'], field_key) ELSE list_position(['charges_in_hkd', 'total', 'charges', 'amount', 'fee'], field_key) END AS rank FROM (VALUES {_DIM}) AS f(pos, template_id, scope, field_id, field_key))
     SELECT template_id, scope, field_id FROM f WHERE rank > 0 QUALIFY row_number() OVER (PARTITION BY template_id, scope ORDER BY rank, pos) = 1"""
 )
 def q34_amount_column(spark: SparkSession, d: str) -> DataFrame:
@@ -156,10 +156,10 @@ def q44_chat_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.min_by("text", role("system", "turn")).alias("system"), F.max_by("text", role("user", "turn")).alias("user"))
 
 
-@query("SELECT conv_id, concat(string_agg(CASE WHEN turn % 3 = 2 THEN '' ELSE substr(text, 1, 40) END, '' ORDER BY turn), '!') AS content FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY 1")
+@query("SELECT conv_id, concat(string_agg(CASE WHEN turn % 3 = 2 THEN '' ELSE text END, '' ORDER BY turn), '!') AS content FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY 1")
 def q45_chunk_fold(spark: SparkSession, d: str) -> DataFrame:
     c = b.read(spark, d, "conversations").filter("text is not null and text <> ''")
-    chunks = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.expr("case when turn % 3 = 2 then '' else substr(text, 1, 40) end").alias("x")))), lambda s: s["x"])
+    chunks = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.expr("case when turn % 3 = 2 then '' else text end").alias("x")))), lambda s: s["x"])
     whole = lambda x: F.concat(F.array_join(x, ""), F.lit("!"))  # noqa: E731  the last chunk repeats all before it
     return c.groupBy("conv_id").agg(chunks.alias("x")).select("conv_id", t.fold_chunks(F.concat("x", F.array(whole(F.col("x"))))).alias("content"))
 
@@ -228,7 +228,7 @@ def q59_labels_text(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "labels").filter("toxic is not null and quality is not null").select("doc_id", t.lookup(t.STRUCTURE_LABELS, key, "unknown").alias("label"))
 
 
-ENTRY = "case page_id % 5 when 0 then concat('__MACOSX/', cast(page_id as string), '.json') when 1 then concat('a/.', cast(page_id as string), '.json') when 2 then concat('b/', cast(page_id as string), '.JSON') when 3 then concat(cast(page_id as string), '.pdf') else concat('c.d/', cast(page_id as string), '.json') end"
+ENTRY = "case page_id % 5 when 0 then concat('__MACOSX/', cast(page_id as string), '.json') when 1 then concat('a/.', cast(page_id as string), '.json') when 2 then concat('b/', cast(page_id as string), '.JSON') when 3 then concat('x/__MACOSX/', cast(page_id as string), '.json') else concat('c.d/', cast(page_id as string), '.json') end"
 
 
 @query(f"SELECT page_id, {o.duck(ENTRY)} AS path FROM pages WHERE page_id % 5 IN (2, 4)")

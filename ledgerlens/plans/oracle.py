@@ -99,8 +99,8 @@ INVOICES = (
 a_inv AS (SELECT a_doc, o_orderkey AS pos, {_cols(b.ANSWER_INV)} FROM orders JOIN pairs ON o_custkey = a_doc),
 r_inv0 AS (SELECT a_doc, o_orderkey AS pos, {_cols(b.RESULT_INV)} FROM orders JOIN pairs ON o_custkey = r_doc WHERE {b.RESULT_INV_KEEP}),
 r_inv AS (SELECT * FROM r_inv0 UNION ALL SELECT * REPLACE (pos + 1000000000 AS pos, 'ADDED000001' AS invoice_no) FROM r_inv0 WHERE pos % 29 = 0),
-ak AS (SELECT a_doc, pos, upper(regexp_replace(invoice_no, '{W}+', '', 'g')) AS nk FROM a_inv),
-rk AS (SELECT a_doc, pos, upper(regexp_replace(invoice_no, '{W}+', '', 'g')) AS nk FROM r_inv),
+ak AS (SELECT a_doc, pos, lower({norm("invoice_no")}) AS nk FROM a_inv),
+rk AS (SELECT a_doc, pos, lower({norm("invoice_no")}) AS nk FROM r_inv),
 a1 AS (SELECT *, row_number() OVER (PARTITION BY a_doc, nk ORDER BY pos) AS k FROM ak),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY a_doc, nk ORDER BY pos) AS k FROM rk),
 m1 AS (SELECT a1.a_doc, a1.pos AS a_pos, r1.pos AS r_pos FROM a1 JOIN r1 ON a1.a_doc = r1.a_doc AND a1.nk = r1.nk AND a1.k = r1.k AND a1.nk <> ''),
@@ -140,8 +140,8 @@ invrows AS (SELECT inv.a_doc, inv.inv_idx, a_pos, r_pos, coalesce(na, 0) AS answ
   LEFT JOIN (SELECT a_doc, inv_idx, count(*) AS nr FROM r_rows GROUP BY ALL) USING (a_doc, inv_idx)),
 errors AS (SELECT a_doc, inv_idx, NULL AS row_idx, 'field_mismatch' AS kind, field_key, expected, actual FROM hcells WHERE NOT equal AND NOT gone
   UNION ALL SELECT a_doc, inv_idx, row_idx, 'field_mismatch', field_key, expected, actual FROM scells WHERE NOT equal AND NOT gone
-  UNION ALL SELECT a_doc, inv_idx, a_row, 'missing_row', '', '', '' FROM rowal WHERE r_row IS NULL
-  UNION ALL SELECT a_doc, inv_idx, NULL, 'extra_row', '', '', cast(extra_rows AS VARCHAR) FROM invrows WHERE a_pos IS NOT NULL AND r_pos IS NOT NULL AND extra_rows > 0
-  UNION ALL SELECT a_doc, inv_idx, NULL, 'missing_invoice', '', '', '' FROM inv WHERE r_pos IS NULL
-  UNION ALL SELECT a_doc, inv_idx, NULL, 'extra_invoice', '', '', '' FROM inv WHERE a_pos IS NULL)"""
+  UNION ALL SELECT x.a_doc, x.inv_idx, a_row, 'missing_row', 'description', a.description, '' FROM rowal x JOIN a_rows a ON a.a_doc = x.a_doc AND a.inv_idx = x.inv_idx AND a.row_pos = a_row WHERE r_row IS NULL
+  UNION ALL SELECT a_doc, inv_idx, NULL, 'extra_row', 'description', '', concat('多出 ', extra_rows, ' 行') FROM invrows WHERE a_pos IS NOT NULL AND r_pos IS NOT NULL AND extra_rows > 0
+  UNION ALL SELECT inv.a_doc, inv_idx, NULL, 'missing_invoice', 'invoice_no', a.invoice_no, '' FROM inv JOIN a_inv a ON a.a_doc = inv.a_doc AND a.pos = a_pos WHERE r_pos IS NULL
+  UNION ALL SELECT inv.a_doc, inv_idx, NULL, 'extra_invoice', 'invoice_no', '', r.invoice_no FROM inv JOIN r_inv r ON r.a_doc = inv.a_doc AND r.pos = r_pos WHERE a_pos IS NULL)"""
 )

@@ -7,9 +7,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlens.functions.values import trim_ws
 
 
+def number_text(d: Column) -> Column:
+    """A number as JSON tools print it: no trailing zeros, and an exponent from 1e21 up and under 1e-6 only."""
+    said, size = d.cast("string"), F.abs(d)
+    short = lambda x: F.regexp_replace(x, r"(\.\d*?)0+(?=$|E)", "$1")
+    bare = lambda x: F.regexp_replace(short(x), r"\.(?=$|E)", "")
+    power = F.regexp_replace(F.regexp_replace(bare(said), "E(?=\\d)", "e+"), "E-", "e-")
+    return F.when(~F.contains(said, F.lit("E")), bare(said)).when((size >= 1e21) | (size < 1e-6), power).when(size >= 1, bare(d.cast("decimal(38,17)").cast("string"))).otherwise(bare(F.format_string("%.24f", d)))
+
+
 def scalar_text(v: Column) -> Column:
     """Text of a JSON scalar; objects, arrays and null give the empty text."""
-    return F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"), "").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+    kind = F.schema_of_variant(v)
+    text = F.when(kind == "DOUBLE", number_text(F.try_variant_get(v, "$", "double"))).otherwise(F.try_variant_get(v, "$", "string"))
+    return F.when(kind.rlike("^(OBJECT|ARRAY|VOID)"), "").otherwise(F.coalesce(text, F.lit("")))
 
 
 def record(v: Column, path: str = "$") -> Column:
@@ -28,12 +39,13 @@ def _invoice(header: Column, rows: Column) -> Column:
 
 def read_exports(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts(path, text) -> (documents, errors). A text is one document or has several under
-    ``documents``. documents: path, doc_pos, file_name (the path where it is blank), template_id (only
+    ``documents``, where what is not an object does not count. documents: path, doc_pos, file_name (the path where it is blank or no text), template_id (only
     if a text), invoices, an array of (header, sublist) from the first of four shapes that the document
     has. errors: path of each text that is not a JSON object."""
+    is_object = lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
     parsed = texts.select("path", F.try_parse_json("text").alias("v"))
-    good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    docs = parsed.filter(good).select("path", F.posexplode(F.coalesce(items(F.col("v"), "$.documents"), F.array("v"))).alias("doc_pos", "v"))
+    good = is_object(F.col("v"))
+    docs = parsed.filter(good).select("path", F.posexplode(F.coalesce(F.filter(items(F.col("v"), "$.documents"), is_object), F.array("v"))).alias("doc_pos", "v"))
     none = F.expr("cast(array() as array<map<string,string>>)")
     v, records = F.col("v"), lambda x, p: F.coalesce(F.transform(items(x, p), lambda y: record(y)), none)
     has = lambda p: F.try_variant_get(v, p, "variant").isNotNull()
@@ -44,7 +56,7 @@ def read_exports(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(has("$.fields"), F.array(_invoice(record(v, "$.fields"), none)))
         .otherwise(F.expr("cast(array() as array<struct<header: map<string,string>, sublist: array<map<string,string>>>>)"))
     )
-    template = F.try_variant_get(v, "$.extraction.layoutTemplateId", "variant")
-    name = F.coalesce(F.nullif(trim_ws(F.coalesce(F.try_variant_get(v, "$.fileName", "string"), F.lit(""))), F.lit("")), "path")
-    out = docs.select("path", "doc_pos", name.alias("file_name"), F.when(F.schema_of_variant(template) == "STRING", F.try_variant_get(template, "$", "string")).alias("template_id"), invoices.alias("invoices"))
+    text_at = lambda p: F.when(F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "STRING", F.try_variant_get(v, p, "string"))
+    name = F.coalesce(F.nullif(trim_ws(F.coalesce(text_at("$.fileName"), F.lit(""))), F.lit("")), "path")
+    out = docs.select("path", "doc_pos", name.alias("file_name"), text_at("$.extraction.layoutTemplateId").alias("template_id"), invoices.alias("invoices"))
     return out, parsed.filter(~good).select("path")
