@@ -425,5 +425,5 @@ def test_null_ids_and_repeats(spark):
     model = queries.tokenizer_file("piece_bpe_32k.model")
     for out in (simhash.near_groups(df), langid.identify(df), block_dedup.exact_groups(df), substring_dedup.remove_repeats(df), weak_quality.score_quality(df), sentencepieces.piece_digests(df, model)):
         assert out.count() == 5
-    assert fingerprint.fingerprints_with_edit(df).count() == 3
+    assert fingerprint.fingerprints_with_edit(df).count() == 5
     assert mixing.mix(df, df.select("text", F.lit("en").alias("domain")), {"en": 1.0}).count() == 3
