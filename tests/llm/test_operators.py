@@ -97,17 +97,23 @@ def test_exact_dedup(docs, rows):
 
 def test_fingerprints(docs, rows):
     canon = lambda t: " ".join(unicodedata.normalize("NFC", t).lower().split())
-    order = sorted(rows, reverse=True)
-    want = {}
+    order = sorted(rows, key=lambda r: r[0], reverse=True)
+    want, edits = {}, {}
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         cut = len(t) // 3
         edited = t[: len(t) - cut] + after[:cut]
         want[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), float(canon(t) == canon(edited)), float(canon(t) == canon(after)))
+        edits[i] = canon(edited)
     out = fingerprint.fingerprints_with_edit(docs).collect()
     odd = {i for i, t in rows if "\x1c" in (t or "")}
     assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in out if r["doc_id"] not in odd} == {i: w for i, w in want.items() if i not in odd}
     prints = {r["doc_id"]: r["fingerprint"] for r in out}
+    edited = {r["doc_id"]: r["edited_fingerprint"] for r in out}
+    names = {canon(t or ""): prints[i] for i, t in rows if i not in odd}
+    near = {order[k - 1][0] for k, (i, _) in enumerate(order) if i in odd} | odd  # whose edited text may hold an odd one's
+    assert all(edited[i] == names[c] if c in names else edited[i] not in names.values() for i, c in edits.items() if i not in near)
+    assert len({edited[i] for i in edits if i not in near}) == len({c for i, c in edits.items() if i not in near})
     for i, t in rows:
         for j, u in rows:
             if {i, j}.isdisjoint(odd):
@@ -277,6 +283,45 @@ def test_langid_held_out(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in out]) > 0.97
 
 
+def test_langid_against_a_dictionary_model():
+    """Code lengths of variable-order contexts, order 3 to 0, escape method C, counted in plain dictionaries."""
+    train = {"a": ["abracadabra, abra cadabra", "the cat sat"], "b": ["\xe9t\xe9 \xe0 la mer", "un deux trois"], "c": ["zzz zzz", ""]}
+    model = langid.Model(train)
+
+    def bits(lang, text):
+        counts = {}
+        for t in train[lang]:
+            data = bytes(langid.ORDER) + t.encode()
+            for i in range(langid.ORDER, len(data)):
+                for k in range(langid.ORDER + 1):
+                    counts.setdefault((k, data[i - k : i]), Counter())[data[i]] += 1
+        total, data = 0.0, bytes(langid.ORDER) + text.encode()
+        for i in range(langid.ORDER, len(data)):
+            for k in range(langid.ORDER, -2, -1):
+                if k < 0:
+                    total += 8
+                    break
+                seen = counts.get((k, data[i - k : i]))
+                if seen:
+                    n, d = sum(seen.values()), len(seen)
+                    total -= np.log2((seen[data[i]] or d) / (n + d))
+                    if seen[data[i]]:
+                        break
+        return total
+
+    for text in ("abra", "the mer", "zz", "quick \xdf", "un chat", "\x00\xff"):
+        want = [bits(lang, text) for lang in sorted(train)]
+        assert np.allclose(model.bits(text), want, rtol=1e-4)
+        assert model.predict(text, True)[0] == sorted(train)[int(np.argmin(want))]
+
+
+def test_langid_ties_and_clashing_columns(spark):
+    """Two languages with the same texts tie, and the first in order is predicted; repeats and extra columns do no harm."""
+    made = [(i, "the same words in both", lang, "x", 0.5) for i in range(40) for lang in ("bb", "aa")] + [(None, "the same words", None, "x", 0.5), (7, "12 34", "aa", "x", 0.5)]
+    out = langid.identify(spark.createDataFrame(made, "doc_id long, text string, lang string, lang_pred string, score double")).collect()
+    assert len(out) == len(made) and {r["lang_pred"] for r in out} == {"aa", "und"} and all(0 <= r["score"] <= 1 for r in out)
+
+
 def test_langid_code_length():
     model = langid.Model({"a": ["abab"], "b": ["bbbb"]})
     assert model.predict("ababab", True)[0] == "a"
@@ -295,6 +340,33 @@ def test_mixing_meets_targets(spark):
     assert len(out) == spark.read.parquet(f"{d}/documents.parquet").select("doc_id").distinct().count()
 
 
+def test_mixing_against_numpy(spark, docs, rows):
+    """Memberships of the word classifier and rates of the projected gradient, computed without Spark."""
+    rng = random.Random(2)
+    marks = [(t, rng.choice(["en", "de"])) for _, t in rows if t]
+    targets, found = {"en": 0.7, "de": 0.3}, {}
+    out = mixing.mix(docs, spark.createDataFrame(marks, "text string, domain string"), targets).collect()
+    vocabulary = sorted({w for _, t in rows for w in words((t or "").lower())})
+    known = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()
+    bucket = {r["w"]: r["b"] for r in known}
+    counts = {d: Counter(bucket[w] for t, m in marks if m == d for w in words(t.lower())) for d in targets}
+    for i, t in rows:
+        w = [bucket[x] for x in words((t or "").lower())]
+        total = {d: sum(c.values()) for d, c in counts.items()}
+        z = np.array([mixing.SHARPNESS * np.mean([np.log((counts[d][b] + 1) / (total[d] + mixing.BUCKETS)) for b in w]) if w else np.log(total[d]) for d in targets])
+        found[i] = (len(w), np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert {r["doc_id"]: r["n_tokens"] for r in out} == {i: n for i, (n, _) in found.items()}
+    assert all(np.allclose(r["membership"], found[r["doc_id"]][1], atol=1e-6) for r in out)
+    n, p = np.array([found[r["doc_id"]][0] for r in out], float), np.array([found[r["doc_id"]][1] for r in out])
+    rate, goal, ones = np.ones(len(n)), n.sum() * np.array([0.7, 0.3]), n @ p
+    for _ in range(60):
+        miss = (rate * n) @ p - goal
+        if (np.abs(miss) <= 1e-4 * goal).all():
+            break
+        rate = np.maximum(0, rate - p @ (miss / ones))
+    assert np.allclose([r["rate"] for r in out], rate, atol=1e-6)
+
+
 def test_copies_keep_the_mean(spark):
     row = spark.range(20000).select(F.avg(mixing.copies(F.lit(1.3), F.col("id"))).alias("m")).first()
     assert abs(row["m"] - 1.3) < 0.02
