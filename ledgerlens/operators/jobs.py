@@ -29,3 +29,10 @@ def neighbours(events: DataFrame, job: str) -> DataFrame:
     w = Window.partitionBy(job).orderBy("ts", "event_id")
     done = events.filter(F.col("status") == "done")
     return done.select(job, "event_id", F.lag("event_id").over(w).alias("prev_id"), F.lead("event_id").over(w).alias("next_id"))
+
+
+def open_document(docs: DataFrame, by: str) -> DataFrame:
+    """docs(by, pos, id, status) -> shown: the first document done, else the first; next: the first not finished."""
+    waits = F.col("status").isin(*RUNNABLE)
+    shown = F.min_by("id", F.struct(F.coalesce(F.col("status") != "done", F.lit(True)), F.col("pos")))
+    return docs.groupBy(by).agg(shown.alias("shown"), F.min_by("id", F.when(waits, F.col("pos"))).alias("next"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import extraction_queries, label_queries, report_queries  # the first two add to the third's tables
+from . import document_queries, extraction_queries, label_queries, report_queries  # all add to the last one's tables
 
-assert extraction_queries.query is label_queries.query is report_queries.query
+assert document_queries.query is extraction_queries.query is label_queries.query is report_queries.query
 QUERIES: dict = dict(report_queries.QUERIES)
 ORACLE: dict[str, str] = dict(report_queries.ORACLE)

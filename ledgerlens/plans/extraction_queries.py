@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlens.functions import text as t, values as v
 from ledgerlens.operators import jobs as j, pages as p
+from ledgerlens.operators.documents import annotated
 from . import bridge as b, oracle as o
 from .report_queries import PATHS, query
 
@@ -67,13 +68,17 @@ def q29_structure_type(spark: SparkSession, d: str) -> DataFrame:
     return n.select("o_custkey", "invoices", p.structure_type(F.col("invoices"), F.col("has")).alias("structure"))
 
 
-MARKED = "SELECT d.doc_id, source, CASE quality WHEN 1 THEN 'target' WHEN 0 THEN 'non_target' END AS category, n_chars > 500 AS annotated FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+MARKED = "SELECT d.doc_id, source, CASE quality WHEN 1 THEN 'target' WHEN 0 THEN 'non_target' END AS category, coalesce(quality = 0 OR quality = 1 AND (lang IS NOT NULL OR (d.doc_id % 4 >= 2 AND d.doc_id % 5 = 0)), false) AS annotated FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+STRUCTURE = "element_at(array('single', 'multi_invoice', 'invoice_with_sublist', 'multi_invoice_with_sublist'), cast(doc_id % 4 as int) + 1)"
 
 
 def marked(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = b.read(spark, d, "documents"), b.read(spark, d, "labels").select("doc_id", "quality")
     category = F.when(F.col("quality") == 1, "target").when(F.col("quality") == 0, "non_target")
-    return docs.select("doc_id", "source", "n_chars").join(labels, "doc_id", "left").select("doc_id", "source", category.alias("category"), (F.col("n_chars") > 500).alias("annotated"))
+    values = F.create_map(F.lit("fh1"), F.coalesce("lang", F.lit(" ")))  # a language, or blank, under any structure
+    rows = F.array(F.create_map(F.lit("fc1"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise("")))
+    done = annotated(category, F.expr(STRUCTURE), values, values, rows, F.array(F.struct(values.alias("header"), rows.alias("rows"))))
+    return docs.select("doc_id", "source", "lang").join(labels, "doc_id", "left").select("doc_id", "source", category.alias("category"), done.alias("annotated"))
 
 
 @query(
