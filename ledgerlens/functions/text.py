@@ -47,17 +47,30 @@ def fold_chunks(chunks: Column) -> Column:
 
 
 def one_line(text: Column, size: int = 30) -> Column:
-    return F.substring(F.regexp_replace(text, rf"{WS}+", " "), 1, size)
+    """The first characters of the text with a blank for each line feed; other white space stays."""
+    return F.substring(F.translate(text, "\n", " "), 1, size)
 
 
 def duration(ms: Column) -> Column:
+    """12ms, 3.25s or 2m 3.25s."""
+    seconds = lambda x: F.format_string("%.2fs", x.cast("double") / 1000)
+    minutes = F.floor(ms / 60_000).cast("string")
     return (
-        F.when(ms < 1000, F.format_string("%dms", ms.cast("long")))
-        .when(ms < 60_000, F.format_string("%.2fs", ms / 1000))
-        .otherwise(F.format_string("%dm%ds", F.floor(ms / 60_000), F.floor(F.pmod(ms, F.lit(60_000)) / 1000)))
+        F.when(ms < 1000, F.concat(F.bround(ms, 0).cast("long").cast("string"), F.lit("ms")))
+        .when(ms < 60_000, seconds(ms))
+        .otherwise(F.concat(minutes, F.lit("m "), seconds(F.pmod(ms, F.lit(60_000)))))
     )
 
 
+def amount_text(value: Column) -> Column:
+    """1,234.50: two decimals, halves away from zero."""
+    return F.format_number(F.round(value, 2), 2)
+
+
+def percentage(correct: Column, total: Column) -> Column:
+    return F.when(total <= 0, F.lit("—")).otherwise(F.format_string("%.1f%%", (correct / total * 100).cast("double")))
+
+
 def box_rect(box: Column) -> Column:
     """Bounds (x, y, w, h) of a polygon given as an array of points."""
     axis = lambda i: F.transform(box, lambda q: q[i])

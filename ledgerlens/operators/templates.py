@@ -74,3 +74,10 @@ def infer_template(keys: DataFrame, fields: DataFrame, doc: str) -> DataFrame:
     scored = every.join(hits, [doc, "template_id"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
     best = F.max_by(F.struct("template_id", "matched", "size"), F.struct(F.col("matched") / F.col("size"), -F.col("template_pos")))
     return scored.groupBy(doc).agg(best.alias("b")).select(doc, "b.template_id", "b.matched", "b.size")
+
+
+def templates_in_order(pairs: DataFrame, by: str, pos: str) -> DataFrame:
+    """pairs(by, pos, template_id) -> (by, template_ids): the distinct templates as they first appear; null is one of them."""
+    first = pairs.groupBy(by, "template_id").agg(F.min(pos).alias("at"))
+    each = F.array_sort(F.collect_list(F.struct("at", "template_id")))
+    return first.groupBy(by).agg(F.transform(each, lambda x: x["template_id"]).alias("template_ids"))
