@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .block_dedup import exact_groups
 from .common import shared_folder, table
+from .divergence import divergence
 from .fingerprint import fingerprints_with_edit
 from .html_text import extract
 from .langid import identify
 from .mixing import mix
+from .resampling import resample
 from .sentencepieces import piece_digests
 from .simhash import near_groups
 from .substring_dedup import remove_repeats
 from .token_files import read_ids, write_ids
+from .toxicity import score_toxicity
 from .weak_quality import score_quality
 
 
@@ -87,6 +90,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -98,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op8_fingerprints": op8_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_toxicity": op11_toxicity,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_resampling": op13_resampling,
 }
 
 SQL: dict[str, str] = {
