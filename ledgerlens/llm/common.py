@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 WS = " \t\n\x0b\x0c\r"
@@ -30,6 +34,17 @@ def partitions(rows: DataFrame, each: int = 20_000) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 23, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``rows`` rows whose texts in that column have about ``size`` bytes; a longer text is alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(lengths), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(ends, before + size, "right"))), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; free() deletes one that is used up."""
 

@@ -15,7 +15,6 @@ from .common import Scratch
 from .order import with_ghosts
 
 SALT = "\u0001"
-FIRST_ID = -(1 << 63)  # stands for a null doc_id, last in descending order
 
 
 def canonical(text: Column) -> Column:
@@ -42,9 +41,9 @@ def fingerprints_with_edit(docs: DataFrame) -> DataFrame:
     all others, likewise. Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "prints")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = with_ghosts(base, "doc_id", scratch)
-    w = Window.partitionBy("bucket").orderBy("ghost", F.desc("doc_id"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    placed = with_ghosts(base, scratch)
+    w = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = (
         placed.select("doc_id", "bucket", "ghost", "text", F.length("text").cast("long").alias("n_chars"))
@@ -55,18 +54,16 @@ def fingerprints_with_edit(docs: DataFrame) -> DataFrame:
     hashed = rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"), canonical(F.col("after")).alias("a")
     ).select(
-        "doc_id", "n_chars", "edited_sha256", wide_hash(F.col("c")).alias("h"), wide_hash(F.col("e")).alias("eh"), F.sha2("e", 256).alias("es"),
+        "doc_id", "n_chars", "edited_sha256", wide_hash(F.col("c")).alias("h"), wide_hash(F.col("e")).alias("eh"), F.sha2("c", 256).alias("s"), F.sha2("e", 256).alias("es"),
         (F.col("c") == F.col("e")).cast("double").alias("near_edited"), (F.col("c") == F.col("a")).cast("double").alias("near_next"),
     )
     hashed = scratch.save(hashed, "hashed")
     mixed = clashes(base, hashed.select("h"), scratch)
-    named = F.nullif("doc_id", F.lit(FIRST_ID)).alias("doc_id")
     if mixed.isEmpty():
-        return hashed.select(named, "n_chars", "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), "near_edited", "near_next")
-    own = base.select("doc_id", canonical(F.col("text")).alias("c")).select("doc_id", F.sha2("c", 256).alias("s"), wide_hash(F.col("c")).alias("h")).distinct()
-    x = hashed.join(own, ["doc_id", "h"]).join(mixed.withColumn("x", F.lit(True)), "h", "left").join(mixed.select(F.col("h").alias("eh"), F.lit(True).alias("ex")), "eh", "left")
+        return hashed.select("doc_id", "n_chars", "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), "near_edited", "near_next")
+    x = hashed.join(mixed.withColumn("x", F.lit(True)), "h", "left").join(mixed.select(F.col("h").alias("eh"), F.lit(True).alias("ex")), "eh", "left")
     name = lambda h, s, f: F.when(F.col(f), F.concat(h, F.lit("-"), s)).otherwise(F.col(h))
-    return x.select(named, "n_chars", "edited_sha256", name("h", "s", "x").alias("fingerprint"), name("eh", "es", "ex").alias("edited_fingerprint"), "near_edited", "near_next")
+    return x.select("doc_id", "n_chars", "edited_sha256", name("h", "s", "x").alias("fingerprint"), name("eh", "es", "ex").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def clashes(base: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
@@ -74,7 +71,7 @@ def clashes(base: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
     compared, by the least and greatest text of each bucket, combined before the shuffle."""
     several = scratch.save(prints.groupBy("h").count().filter("count > 1").select("h"), "several")
     salts = 32  # a bucket with very many members is dealt to as many tasks
-    texts = base.select("doc_id", canonical(F.col("text")).alias("c")).select("c", wide_hash(F.col("c")).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
+    texts = base.select("doc_id", canonical(F.col("text")).alias("c")).select("c", wide_hash(F.col("c")).alias("h"), F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts)).alias("salt"))
     several = several.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     checked = texts.join(several.hint("merge"), ["h", "salt"], "left_semi").groupBy("h", "salt").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     checked = checked.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

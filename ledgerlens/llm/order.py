@@ -2,49 +2,28 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Scratch, partitions
 
+PREFIX = 64  # characters of the text that part rows of one doc_id into ranges
 
-def descending_heads(docs: DataFrame, key: str, scratch: Scratch, each: int = 1000) -> list[int]:
-    """The first key of each of some consecutive runs of the keys in descending order, of about ``each``
-    rows or, where the table has very many, so that every partition holds eight.
-
-    Only the keys are range-partitioned; the list has at most eight values for each partition.
-    """
-    rows = docs.count()
-    n = max(1, min(-(-rows // each), 8 * partitions(docs)))
-    ids = docs.select(key).distinct().repartitionByRange(n, F.desc(key)).withColumn("bucket", F.spark_partition_id())
-    heads = scratch.save(ids.groupBy("bucket").agg(F.max(key).alias("first")), "heads")
-    return sorted((r[0] for r in heads.select("first").collect()), reverse=True)
-
-
-def _run(heads: list[int], key: str) -> Column:
-    """The number of the run that the key falls in, looked up in two steps of about the root of their number."""
-    width = math.isqrt(len(heads)) + 1
-    rows = [heads[k : k + width] for k in range(0, len(heads), width)]
-    within = lambda values: F.size(F.filter(values, lambda x: x >= F.col(key))) - 1
-    many = lambda values: F.array(*map(F.lit, values))
-    block = within(many([r[0] for r in rows]))
-    return (block * width + within(F.element_at(F.array(*map(many, rows)), block + 1))).cast("int")
 
+def with_ghosts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs(doc_id, text) with columns bucket and ghost. A bucket is a range of the order by doc_id descending,
+    null last, then text. Each also gets a copy, marked as ghost, of the first row of the bucket after it, so
+    that lead() within a bucket sees the next row of the whole order; the last bucket's ghost is the very first row.
 
-def with_ghosts(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """docs with columns bucket and ghost: bucket numbers the run that the key falls in. Each
-    bucket also gets a copy, marked as ghost, of the first row of the bucket after it, so that
-    lead() within a bucket sees the next row of the whole order; the last bucket's ghost is the
-    very first row. Nothing is shuffled here. A key that repeats keeps all its rows.
+    Rows are range-partitioned and written once; the only thing that is gathered in one task is the list
+    of bucket numbers. Rows that share a doc_id are parted by how their texts begin.
     """
-    heads = descending_heads(docs, key, scratch)
-    if not heads:
-        return docs.withColumns({"bucket": F.lit(0), "ghost": F.lit(0)})
-    own = _run(heads, key)
-    out = docs.withColumn("own", own)
-    before = F.when(F.col("own") == 0, F.lit(len(heads) - 1)).otherwise(F.col("own") - 1)
-    place = lambda bucket, ghost: F.struct(bucket.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
-    both = F.array(place(F.col("own"), 0), place(before, 1))
-    places = F.when(F.col(key).isin(heads), both).otherwise(F.array(place(F.col("own"), 0)))
-    return out.withColumn("place", F.explode(places)).select(*docs.columns, "place.bucket", "place.ghost")
+    ranged = docs.repartitionByRange(partitions(docs), F.desc_nulls_last("doc_id"), F.substring("text", 1, PREFIX))
+    placed = scratch.save(ranged.withColumns({"bucket": F.spark_partition_id(), "ghost": F.lit(0)}), "ranges")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "text")  # not x falls as x rises
+    heads = scratch.save(placed.groupBy("bucket").agg(F.min(key).alias("x")).select("bucket", F.bitwise_not("x.down").alias("doc_id"), "x.text"), "heads")
+    numbers = heads.select("bucket")
+    after = F.lead("bucket").over(Window.orderBy("bucket"))
+    least = numbers.agg(F.min("bucket").alias("least"))
+    own = numbers.select(F.col("bucket").alias("own"), after.alias("after")).crossJoin(F.broadcast(least)).select("own", F.coalesce("after", "least").alias("bucket"))  # one row
+    ghosts = heads.join(own, "bucket").select("doc_id", "text", F.col("own").alias("bucket"), F.lit(1).alias("ghost"))
+    return placed.union(ghosts)
