@@ -21,6 +21,7 @@ BUCKETS = 4096
 SHARPNESS = 20.0
 #: A derived budget over the least one; by how much it grows, how often, and the miss that is let pass.
 SLACK, MORE, TRIES, NEAR = 1.1, 1.25, 4, 0.01
+STALLED = 12  # rounds without progress after which fitting ends
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -49,8 +50,9 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], scratc
     return soft.union(empty.select("doc_id", F.lit(0).cast("long"), F.array(*map(F.lit, prior))))
 
 
-def fit_rates(members: DataFrame, weights: list[float], scratch: Scratch, low: float = 0.0, high: float = 1e6, budget: float | None = 1.0, rounds: int = 60, tolerance: float = 1e-4) -> DataFrame:
-    """members(doc_id, n, p) -> with rate. The target of domain d is budget x all tokens x
+def fit_rates(members: DataFrame, weights: list[float], scratch: Scratch, low: float = 0.0, high: float = math.inf, budget: float | None = 1.0, rounds: int = 240, tolerance: float = 1e-4) -> DataFrame:
+    """members(doc_id, n, p) -> with rate and missed, the part of its goal by which the worst domain
+    misses it, the same in each row. Rounds end when all goals are met or no longer come nearer. The target of domain d is budget x all tokens x
     weights[d] / sum(weights); rates stay within low and high. Budget None takes the least with which
     no rate need fall under 1, and some more for what documents hold of domains they are not of;
     where targets are still missed, it grows. A domain that is no document's likeliest has no target then."""
@@ -67,11 +69,14 @@ def fit_rates(members: DataFrame, weights: list[float], scratch: Scratch, low: f
 
     def fitted(budget: float, goal: list[float | None]) -> tuple[DataFrame, float]:
         """Rates, and by which part of its goal the worst domain misses it."""
-        df = start
+        df, best, since = start, math.inf, 0
         for i in range(rounds + 1):
             now = totals(df)
             missed = [(abs(a - g), max(g, 1.0)) for a, g in zip(now, goal, strict=True) if g is not None]
-            if i == rounds or all(m <= tolerance * g for m, g in missed):
+            worst = max([m / g for m, g in missed], default=0.0)
+            since = 0 if worst < 0.999 * best else since + 1
+            best = min(best, worst)
+            if i == rounds or worst <= tolerance or since >= STALLED:
                 break
             step: Column = F.lit(0.0)
             for j in range(k):
@@ -80,7 +85,7 @@ def fit_rates(members: DataFrame, weights: list[float], scratch: Scratch, low: f
             df = df.withColumn("rate", F.least(F.lit(float(high)), F.greatest(F.lit(low), F.col("rate") - step)))
             if i % 6 == 5:
                 df = scratch.save(df, "rates")
-        return df, max([m / g for m, g in missed], default=0.0)
+        return df.withColumn("missed", F.lit(worst)), worst
 
     if budget is not None:
         return fitted(budget, [budget * sum(ones) * w / sum(weights) for w in weights])[0]
@@ -97,8 +102,11 @@ def fit_rates(members: DataFrame, weights: list[float], scratch: Scratch, low: f
     return df
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: float = 0.0, high: float = 1e6, budget: float | None = 1.0) -> DataFrame:
-    """One row for each doc_id: doc_id, n_tokens, membership (by the order of targets), rate.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: float = 0.0, high: float = math.inf, budget: float | None = 1.0) -> DataFrame:
+    """One row for each doc_id: doc_id, n_tokens, membership (by the order of targets), rate, missed.
+
+    missed is the part of its goal by which the worst domain misses it, in every row; goals that no rates
+    reach (a domain without tokens, or bounds given) show there and not as an error.
 
     docs needs doc_id and text, labelled needs text and domain; others are ignored, as are labels
     not among the targets. Null text has no tokens and the prior's membership. Rows that repeat a
@@ -109,7 +117,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], low: fl
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marks = labelled.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("domain").cast("string").alias("domain"))
     out = fit_rates(memberships(rows, marks, list(targets), scratch), list(targets.values()), scratch, low, high, budget)
-    return out.select(F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_tokens"), F.col("p").alias("membership"), "rate")
+    return out.select(F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_tokens"), F.col("p").alias("membership"), "rate", "missed")
 
 
 def copies(rate: Column, key: Column, seed: int = 42) -> Column:

@@ -57,7 +57,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mix(docs, labelled_domains(docs, spark, sf_dir), TARGETS)
     shares = [F.element_at("membership", j + 1).alias(f"p_{d}") for j, d in enumerate(TARGETS)]
-    return out.select("doc_id", "n_tokens", *shares, "rate")
+    return out.select("doc_id", "n_tokens", *shares, "rate", "missed")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
