@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import slices
+
 # Fixed values of HTML.
 RAW = "script style title textarea iframe noembed noframes".split()  # what is in them is not markup
 SILENT = frozenset("noscript template select svg".split())
@@ -149,6 +151,10 @@ def _mean(table: np.ndarray, ids: np.ndarray, owner: np.ndarray, n: int) -> np.n
     return out / np.maximum(1, np.bincount(owner, minlength=n))[:, None].astype(np.float32)
 
 
+#: Blocks of a batch of pages, padding included, and bytes of html whose blocks are held at once.
+PADDED, HELD = 1 << 15, 1 << 22
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -175,7 +181,7 @@ class Labeller:
             mask[:n, j] = 1
         return x, mask
 
-    def _scan(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    def _scan(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
         out, saved = np.zeros((*x.shape[:2], HIDDEN), np.float32), [None] * len(x)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
@@ -184,7 +190,8 @@ class Labeller:
             g = z @ self.w[d]
             i, f, o, u = sigmoid(g[:, :HIDDEN]), sigmoid(g[:, HIDDEN : 2 * HIDDEN]), sigmoid(g[:, 2 * HIDDEN : 3 * HIDDEN]), np.tanh(g[:, 3 * HIDDEN :])
             new = f * c + i * u
-            saved[t] = (z, i, f, o, u, c, np.tanh(new), m)
+            if keep:
+                saved[t] = (z, i, f, o, u, c, np.tanh(new), m)
             h, c = m * o * np.tanh(new) + (1 - m) * h, m * new + (1 - m) * c
             out[t] = h
         return out, saved
@@ -227,14 +234,20 @@ class Labeller:
         return grad
 
     def label(self, pages: list[tuple]) -> list[np.ndarray]:
-        """Probability of main text for each block of each page; pages of like length go together."""
+        """Probability of main text for each block of each page. Pages of like length go together, as many as make
+        PADDED blocks with padding; a page of more blocks goes alone. Nothing is kept for a backward pass."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i][4])), key=lambda i: len(pages[i][4]))
-        for at in range(0, len(order), 128):
-            some = order[at : at + 128]
-            p = self.forward(*self.inputs([pages[i] for i in some]))[0]
+        while order:
+            longest = len(pages[order[-1]][4])
+            some = order[-max(1, min(128, PADDED // longest)) :]
+            del order[-len(some) :]
+            x, mask = self.inputs([pages[i] for i in some])
+            z = x @ self.w["out"][2 * HIDDEN :] + self.w["bias"][0]
+            for d, lo in (("f", 0), ("b", HIDDEN)):
+                z += self._scan(d, x, mask, keep=False)[0] @ self.w["out"][lo : lo + HIDDEN]
             for j, i in enumerate(some):
-                out[i] = p[: len(pages[i][4]), j]
+                out[i] = sigmoid(z[: len(pages[i][4]), j])
         return out
 
 
@@ -347,15 +360,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks labelled main text, character references decoded and white space runs made one space,
     joined by a newline in page order. Null or empty html, or a page without a main block, gives
-    an empty text. Repeated rows are each labelled, also without page_id; other columns are ignored,
+    an empty text. Memory follows the longest single page, not its batch. Repeated rows are each labelled, also without page_id; other columns are ignored,
     and an empty table gives no rows.
     """
     net = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for b in slices(whole, 2, HELD):
                 found = [blocks(h.as_py()) for h in b.column(2)]
                 scores = net.value.label([describe(f) for f in found])
                 text = ["\n".join(x[1] for x, s in zip(f, score, strict=True) if s >= 0.5) for f, score in zip(found, scores, strict=True)]
