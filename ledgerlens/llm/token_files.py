@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Recent, partitions
+from .common import Recent, partitions, slices
 
 SHARD = 1 << 20
 LEAST = 8
@@ -222,12 +222,13 @@ def vocabulary_size(path: str) -> int:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encodes whole texts and writes the shards in ascending doc_id order, null doc_id first.
 
-    Null text counts as empty and gives the end id alone. Rows that repeat a doc_id stay next to
+    Null text counts as empty and gives the end id alone. A shard is closed once it holds SHARD ids, which is
+    looked at after every two million bytes of text, so only a single longer text makes a larger one. Rows that repeat a doc_id stay next to
     each other, in text order. Other columns are ignored; an empty table writes no shard.
     """
     first = vocabulary_size(tokenizer)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(partitions(docs), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, shard = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
@@ -249,8 +250,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
+            for some in slices(b, 1, 2 * SHARD):  # of about half a shard's ids
                 ids, sizes = encoder.encode(some.column(1))
                 held.append((some.column(0), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1))
                 if sum(len(h[1]) for h in held) >= SHARD:
