@@ -220,6 +220,19 @@ def _pairs(found: Anchors, i: int, here: int, lpos: np.ndarray, le: np.ndarray,
     return pick, (anchors[~new], e[~new], epos[~new]), np.isin(pick, anchors[new])
 
 
+def _repeated(ids: np.ndarray, at: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of one document, at these places with these keys, stand first and which repeat the words of an
+    earlier one. Keys only propose: word numbers decide, and what differs in a word stands first too."""
+    order = np.lexsort((at, k2, k1))
+    head = np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1]))
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    words = np.arange(LENGTH)
+    same = (ids[at[order][:, None] + words] == ids[at[first][:, None] + words]).all(1) & ~head
+    again = np.zeros(len(at), bool)
+    again[order[same]] = True
+    return np.flatnonzero(~again), again
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, doc_id, text, links, blocks) -> rid, doc_id, n_words, n_removed, kept_sha256, spans, and
     where windows are left over, these (starts and keys) and the text."""
@@ -253,9 +266,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rest = np.flatnonzero((inside[LENGTH:] - inside[:-LENGTH] < LENGTH) & ~new)
                         if len(rest):
                             a, c = found.keys(i, rest)
-                            once = np.sort(np.unique(a, return_index=True)[1])
-                            again = np.ones(len(rest), bool)
-                            again[once] = False
+                            once, again = _repeated(ids, rest, a, c)
                             for s in rest[again].tolist():
                                 gone[s : s + LENGTH] = True
                             at, k1, k2 = rest[once].tolist(), a[once].tolist(), c[once].tolist()
@@ -292,13 +303,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A window of 20 words is a repeat if the same words also start earlier: in a smaller doc_id,
     or in the same document at an earlier start. Null text has no words; texts under 20 words
-    keep all. Rows that repeat a doc_id follow one another, in an order fixed within the run; rows
-    without doc_id come after all others, likewise. Other columns are ignored; an empty table
+    keep all. Rows that repeat a doc_id follow one another in text order; rows
+    without doc_id come after all others, likewise. Windows whose anchor first occurs with other words around it are
+    compared by exact words within a document and by 128-bit keys between documents. Other columns are ignored; an empty table
     gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs), F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"))
+    ranged = rows.repartitionByRange(partitions(docs), F.asc_nulls_last("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions(F.asc_nulls_last("doc_id"), "text")
     base = scratch.save(ranged.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "texts")  # rid follows the order of doc_id
 
     seeds = base.select("rid", "text").mapInArrow(_seeds, "h long, rid long, pos int")
