@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .common import Recent
+from .common import Recent, slices
 
 SPACE = "▁"
 CACHE = 100_000
@@ -244,7 +245,7 @@ class Pieces:
 
     def _marked(self, text: str, doc: int, turn: int) -> bytes:
         """A literal mark is kept apart from spaces, as bytes."""
-        literal = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and c not in self.ids)
+        literal = next(c for c in map(chr, itertools.chain(range(0xE000, 0xF8FF), range(0xF0000, 0x10FFFE), range(0x4E00, 0xD800))) if c not in text and c not in self.ids)
         return b"".join([self._unit(u, v, literal) for u, v in zip(*self._cut(text.replace(SPACE, literal), doc, turn), strict=True)])
 
     def _plain(self, units: list[str]) -> list[tuple[bytes, int, int]]:
@@ -342,7 +343,7 @@ def pieces_of(path: str, dropout: float, seed: int) -> Pieces:
 def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, columns: tuple[str, ...] = (), turns: bool = False) -> DataFrame:
     """Per row: the given columns of docs, doc_id, text, ids (array<int>), decoded.
 
-    Null text counts as empty and gives no ids. With turns, rows equal in doc_id and text are numbered
+    Null text counts as empty and gives no ids; texts are taken by bytes, a very long one alone. With turns, rows equal in doc_id and text are numbered
     and each is segmented by draws of its own; else they are segmented alike. A null doc_id is keyed as 0. Columns named text, ids or decoded of docs are not passed on.
     """
     extra = [c for c in columns if c not in ("doc_id", "text", "ids", "decoded")]
@@ -350,15 +351,17 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
     width = len(rows.columns)
     schema = StructType(list(rows.schema.fields)).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
     at, names = len(extra), [f.name for f in schema]
+    number = "turn"
+    while number in {n.lower() for n in names}:
+        number += "_"
     if turns:
         copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-        rows = rows.select("*", (F.row_number().over(copies) - 1).alias("turn"))
+        rows = rows.select("*", (F.row_number().over(copies) - 1).alias(number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, dropout, seed)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                b = whole.slice(k, 2048)
+            for b in slices(whole, at + 1):
                 ids = pieces.encode_batch(b.column(at + 1).to_pylist(), [d or 0 for d in b.column(at).to_pylist()], b.column(width).to_pylist() if turns else None)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
@@ -372,7 +375,7 @@ def piece_digests(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, dropout, seed)
-        for b in (whole.slice(k, 2048) for whole in batches for k in range(0, whole.num_rows, 2048)):
+        for b in (some for whole in batches for some in slices(whole, 1)):
             n, crc, sha, same = [], [], [], []
             texts = b.column(1).to_pylist()
             for text, ids in zip(texts, pieces.encode_batch(texts, [d or 0 for d in b.column(0).to_pylist()]), strict=True):
