@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.functions.values import field_class
@@ -32,6 +34,7 @@ FIELDS = [
 ]
 TEMPLATES = ["air_waybill", "air_waybill_dhl", "freight_invoice"]
 REQUIRED = {"air_waybill": ["air_waybill_number"], "air_waybill_dhl": ["air_waybill_number"], "freight_invoice": ["description"]}
+INVOICE_NO = re.compile("invoice.*(no|number)|发票号", re.IGNORECASE)  # over key and label
 HEADER_TOTAL_KEYS = ["total_hkd", "total", "grand_total"]
 LINE_AMOUNT_KEYS = ["charges_in_hkd", "total", "charges", "amount", "fee"]
 
@@ -56,7 +59,7 @@ def fields_or_default(docs: DataFrame, fields: DataFrame) -> DataFrame:
 def invoice_no_key(template: str) -> str:
     """Header field that holds the invoice number: by name or label, else the first."""
     header = [f for f in FIELDS if f[0] == template and f[1] == "header"]
-    found = [f[3] for f in header if ("invoice" in f[3].lower() and ("no" in f[3].lower().split("invoice", 1)[1] or "number" in f[3].lower())) or "发票号" in f[4]]
+    found = [f[3] for f in header if INVOICE_NO.search(f"{f[3]} {f[4]}")]
     return (found or [header[0][3]])[0]
 
 

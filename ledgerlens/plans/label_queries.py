@@ -156,10 +156,10 @@ def q44_chat_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.min_by("text", role("system", "turn")).alias("system"), F.max_by("text", role("user", "turn")).alias("user"))
 
 
-@query("SELECT conv_id, concat(string_agg(CASE WHEN turn % 3 = 2 THEN '' ELSE text END, '' ORDER BY turn), '!') AS content FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY 1")
+@query("SELECT conv_id, concat(string_agg(text, '' ORDER BY turn), '!') AS content FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY 1")
 def q45_chunk_fold(spark: SparkSession, d: str) -> DataFrame:
     c = b.read(spark, d, "conversations").filter("text is not null and text <> ''")
-    chunks = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.expr("case when turn % 3 = 2 then '' else text end").alias("x")))), lambda s: s["x"])
+    chunks = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("x")))), lambda s: s["x"])
     whole = lambda x: F.concat(F.array_join(x, ""), F.lit("!"))  # noqa: E731  the last chunk repeats all before it
     return c.groupBy("conv_id").agg(chunks.alias("x")).select("conv_id", t.fold_chunks(F.concat("x", F.array(whole(F.col("x"))))).alias("content"))
 
