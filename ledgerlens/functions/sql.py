@@ -13,9 +13,8 @@ def _quoted(pattern: str) -> str:
 
 
 def _norm(x: str) -> str:
-    for pattern, put in (("，", ","), ("[－—–─]", "-"), (rf"{WS}*-{WS}*", "-"), (rf"{WS}+", " "), (rf"{WS}*/{WS}*", "/")):
-        x = f"regexp_replace({x}, {_quoted(pattern)}, '{put}')"
-    return f"trim_ws({x})"
+    x = f"regexp_replace(translate({x}, '，－—–─', ',----'), {_quoted(rf'{WS}*([-/]){WS}*')}, '$1')"
+    return f"trim(regexp_replace({x}, {_quoted(rf'{WS}+')}, ' '))"
 
 
 #: name: (parameters, type, body); a body may use functions before it.
@@ -32,7 +31,7 @@ FUNCTIONS = {
     "expand_year": ("y int", "int", "case when y >= 100 then y when y < 80 then y + 2000 else y + 1900 end"),
     "month_number": ("token string", "int", f"nullif(cast(array_position(array({', '.join(repr(m) for m in MONTHS)}), substr(lower(token), 1, 3)) as int), 0)"),
     "iso_date": ("y int, m int, d int", "string", "case when y >= 100 and m between 1 and 12 and d between 1 and 31 then date_format(try_to_date(format_string('%04d-%02d-%02d', y, m, d), 'yyyy-MM-dd'), 'yyyy-MM-dd') end"),
-    "date_text": ("x string", "string", f"trim_ws(regexp_replace(regexp_replace(norm_text(x), ',', ' '), {_quoted(rf'{WS}+')}, ' '))"),
+    "date_text": ("x string", "string", "trim(regexp_replace(translate(norm_text(x), ',', ' '), ' +', ' '))"),
 }
 
 

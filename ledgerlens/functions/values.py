@@ -13,7 +13,8 @@ DATE_PATTERN = r"(?i)date"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 TOLERANCE = 0.005
 
-WS = r"(?U)[\s﻿]"
+#: White space of Unicode, and the byte order mark.
+WS = r"[\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,9 +28,8 @@ def trim_ws(c: Column) -> Column:
 
 def norm_text(c: Column) -> Column:
     """Comma and dash forms unified, blanks round dashes and slashes dropped, others collapsed."""
-    for pattern, put in (("，", ","), ("[－—–─]", "-"), (rf"{WS}*-{WS}*", "-"), (rf"{WS}+", " "), (rf"{WS}*/{WS}*", "/")):
-        c = F.regexp_replace(c, pattern, put)
-    return trim_ws(c)
+    c = F.regexp_replace(F.translate(c, "，－—–─", ",----"), rf"{WS}*([-/]){WS}*", "$1")
+    return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
 
 
 def match_key(file_name: Column) -> Column:
@@ -93,7 +93,12 @@ def iso_date(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Calendar date in five written forms, as yyyy-MM-dd; the first form that fits decides."""
-    return let(trim_ws(F.regexp_replace(F.regexp_replace(norm_text(c), ",", " "), rf"{WS}+", " ")), _date_of)
+    return normal_date(norm_text(c))
+
+
+def normal_date(c: Column) -> Column:
+    """The same of a text that norm_text has been through."""
+    return let(F.trim(F.regexp_replace(F.translate(c, ",", " "), " +", " ")), _date_of)
 
 
 def _date_of(text: Column) -> Column:
@@ -127,7 +132,8 @@ def field_class(key: Column) -> Column:
 
 def field_equal(kind: Column, answer: Column, actual: Column) -> Column:
     """Whether two values of a field of that class count as equal; two empty ones do."""
-    return let(F.struct(norm_text(answer).alias("a"), norm_text(actual).alias("b")), lambda v: _equal(kind, v["a"], v["b"]))
+    normal = let(F.struct(norm_text(answer).alias("a"), norm_text(actual).alias("b")), lambda v: _equal(kind, v["a"], v["b"]))
+    return F.when(F.lower(answer) == F.lower(actual), True).otherwise(normal)
 
 
 def _equal(kind: Column, a: Column, b: Column) -> Column:
@@ -139,6 +145,6 @@ def _equal(kind: Column, a: Column, b: Column) -> Column:
         .when((a == "") | (b == ""), False)
         .when(kind == "amount", amounts_match(parse_amount(a), parse_amount(b)))
         .when(kind == "measure", F.coalesce(measures, F.lit(False)))
-        .when(kind == "date", F.coalesce(parse_date(a) == parse_date(b), F.lit(False)))
+        .when(kind == "date", F.coalesce(normal_date(a) == normal_date(b), F.lit(False)))
         .otherwise(False)
     )

@@ -2,8 +2,11 @@
 
 Input tables, for each side:
   docs(doc_pos, file_name, match_key, template_id)
-  invoices(match_key, doc_pos, inv_pos, header MAP<STRING,STRING>)
-  rows(match_key, doc_pos, inv_pos, row_pos, cells MAP<STRING,STRING>)
+  invoices(match_key, doc_pos, inv_pos, header MAP<STRING,STRING>, sublist ARRAY<STRUCT<row_pos, cells MAP<STRING,STRING>>>)
+
+An invoice carries its rows, as in the documents themselves. Both sides meet in one table that is partitioned by
+document once; aligning invoices and rows, comparing fields and summing up by document then need no other shuffle. So
+a document is the unit of work: it has to fit one task, as sorted runs that may spill, not memory.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ COUNTS = ("answer_rows", "matched_rows", "missing_rows", "extra_rows")
 class Side:
     docs: DataFrame
     invoices: DataFrame
-    rows: DataFrame
 
 
 def pair_documents(answers: DataFrame, results: DataFrame) -> DataFrame:
@@ -61,108 +63,117 @@ def with_templates(pairs: DataFrame, answers: Side, results: Side, fields: DataF
     open_ = named.filter("template_id is null").select(*doc)
     keys = []
     for side, pos in ((answers, "a_doc"), (results, "r_doc")):
-        for table, cells in ((side.invoices, "header"), (side.rows, "cells")):
-            keys.append(table.select("match_key", F.col("doc_pos").alias(pos), F.explode(F.map_keys(cells)).alias("field_key")).distinct().join(open_, ["match_key", pos]).select(F.struct(*doc).alias("doc"), "field_key"))
-    found = infer_template(keys[0].union(keys[1]).union(keys[2]).union(keys[3]), fields, "doc").select("doc.*", F.col("template_id").alias("found"))
+        named_in = F.concat(F.map_keys("header"), F.flatten(F.transform("sublist", lambda x: F.map_keys(x["cells"]))))
+        held = side.invoices.select("match_key", F.col("doc_pos").alias(pos), F.explode(named_in).alias("field_key")).distinct()
+        keys.append(held.join(open_, ["match_key", pos]).select(F.struct(*doc).alias("doc"), "field_key"))
+    found = infer_template(keys[0].union(keys[1]), fields, "doc").select("doc.*", F.col("template_id").alias("found"))
     out = named.join(found, doc, "left").withColumn("template_id", F.coalesce("template_id", "found", F.lit(TEMPLATES[0]))).drop("found")
     return fields_or_default(out, fields)
 
 
 class Report:
-    """The report's tables, each a lazy DataFrame. pairs needs columns template_id and fields_from."""
+    """The report's tables, each a lazy DataFrame. pairs needs columns template_id and fields_from.
+
+    invoices: aligned invoices with inv_idx, the answer's first in their order. lines: a row for each document (kind
+    doc), aligned invoice (kind invoice, bodies are headers) and aligned row (kind row, bodies are cells). judged: lines
+    once for each field of their scope. All else is filters and sums of judged, so each input is read once."""
 
     def __init__(self, pairs: DataFrame, answers: Side, results: Side, fields: DataFrame):
-        self.pairs, self.fields = pairs, F.broadcast(fields)
-        keys = pairs.select(*DOC, "r_doc", "template_id", "fields_from")
+        self.pairs, self.fields = pairs, fields
         carry = ("template_id", "fields_from")
+        keys = pairs.select(*DOC, "r_doc", *carry)
         no = by_template(F.col("fields_from"), lambda t: F.coalesce(F.try_element_at("header", F.lit(invoice_no_key(t))), F.lit("")))
-        pick = [*DOC, *carry, F.lower(norm_text(no)).alias("nkey"), F.col("inv_pos").alias("pos"), F.col("header").alias("body")]
-        a_inv = answers.invoices.withColumnRenamed("doc_pos", "a_doc").join(keys, DOC).select(*pick)
-        r_inv = results.invoices.withColumnRenamed("doc_pos", "r_doc").join(keys, ["match_key", "r_doc"]).select(*pick)
-        named = {"a_pos": "a_inv", "r_pos": "r_inv", "a_body": "a_header", "r_body": "r_header"}
-        order = Window.partitionBy(*DOC).orderBy(F.col("a_inv").isNull(), "a_inv", "r_inv")
-        self.invoices = rank_align(a_inv, r_inv, DOC, carry).withColumnsRenamed(named).withColumn("inv_idx", F.row_number().over(order))
-        inv = [*DOC, "inv_idx"]
+        body = F.struct("header", "sublist")
+        pick = lambda is_a: [*DOC, *carry, F.lit("invoice").alias("kind"), F.lit(is_a).alias("is_a"), F.lower(norm_text(no)).alias("nkey"), F.col("inv_pos").cast("long").alias("pos"), body.alias("body")]
+        a_inv = answers.invoices.withColumnRenamed("doc_pos", "a_doc").join(keys, DOC).select(*pick(True))
+        r_inv = results.invoices.withColumnRenamed("doc_pos", "r_doc").join(keys, ["match_key", "r_doc"]).select(*pick(False))
+        marks = keys.select(*DOC, *carry, F.lit("doc").alias("kind"), F.lit(True).alias("is_a"), F.lit(None).cast("string").alias("nkey"), F.lit(0).cast("long").alias("pos"))
+        both = a_inv.union(r_inv).unionByName(marks, allowMissingColumns=True).repartition(*DOC)
+        order = Window.partitionBy(*DOC, "kind").orderBy(F.col("a_pos").isNull(), "a_pos", "r_pos")
+        aligned = rank_align(both, [*DOC, "kind"], carry).withColumn("inv_idx", F.row_number().over(order)).withColumnsRenamed({"a_pos": "a_inv", "r_pos": "r_inv"})
+        self.invoices = aligned.filter("kind = 'invoice'").select(*DOC, *carry, "inv_idx", "a_inv", "r_inv", F.col("a_body.header").alias("a_header"), F.col("r_body.header").alias("r_header"))
+
+        member = lambda is_a, kind, pos, cells: F.struct(F.lit(is_a).alias("is_a"), kind.alias("kind"), pos.cast("long").alias("pos"), cells.alias("body"))
+        rows = lambda is_a, side: F.coalesce(F.transform(f"{side}.sublist", lambda x: member(is_a, F.lit("row"), x["row_pos"], x["cells"])), F.array())
+        own = lambda is_a, inv, side: F.when(F.col(inv).isNotNull(), F.array(member(is_a, F.col("kind"), F.lit(0), F.col(f"{side}.header")))).otherwise(F.array())
+        held = F.concat(own(True, "a_inv", "a_body"), own(False, "r_inv", "r_body"), rows(True, "a_body"), rows(False, "r_body"))
         carry = ("template_id", "fields_from", "a_inv", "r_inv")
-        both = self.invoices.select(*inv, *carry)
-        key = F.lower(norm_text(by_template(F.col("fields_from"), lambda t: F.coalesce(F.try_element_at("cells", F.lit(row_key(t))), F.lit("")))))
-        pick = [*inv, *carry, key.alias("nkey"), F.col("row_pos").alias("pos"), F.col("cells").alias("body")]
-        a_rows = answers.rows.select("match_key", F.col("doc_pos").alias("a_doc"), F.col("inv_pos").alias("a_inv"), "row_pos", "cells").join(both, [*DOC, "a_inv"]).select(*pick)
-        r_rows = results.rows.withColumnRenamed("doc_pos", "r_doc").join(keys.select(*DOC, "r_doc"), ["match_key", "r_doc"]).select(*DOC, F.col("inv_pos").alias("r_inv"), "row_pos", "cells")
-        r_rows = r_rows.join(both, [*DOC, "r_inv"]).select(*pick)
-        named = {"a_pos": "a_row", "r_pos": "r_row", "a_body": "a_cells", "r_body": "r_cells"}
-        order = Window.partitionBy(*inv).orderBy(F.col("a_row").isNull(), "a_row", "r_row")
-        #: Of every invoice, also of those that one side lacks.
-        self.all_rows = rank_align(a_rows, r_rows, inv, carry).withColumnsRenamed(named).withColumn("row_idx", F.row_number().over(order))
-        self.rows = self.all_rows.filter("a_inv is not null and r_inv is not null and a_row is not null")
-
-    def _cells(self, df: DataFrame, scope: str, gone: str, a: Column, r: Column) -> DataFrame:
-        f = self.fields.filter(F.col("scope") == scope).select(F.col("template_id").alias("fields_from"), "scope", F.col("pos").alias("field_pos"), "field_key", "label", "field_class")
-        value = lambda m: F.coalesce(F.try_element_at(m, F.col("field_key")), F.lit(""))
-        out = df.join(f, "fields_from").withColumns({"gone": F.expr(gone), "expected": value(a), "actual": value(r)})
-        return out.withColumn("equal", ~F.col("gone") & field_equal(F.col("field_class"), F.col("expected"), F.col("actual")))
+        flat = aligned.select(*DOC, "inv_idx", *carry, F.explode(held).alias("x")).select(*DOC, "inv_idx", *carry, "x.*")
+        key = F.lower(norm_text(by_template(F.col("fields_from"), lambda t: F.coalesce(F.try_element_at("body", F.lit(row_key(t))), F.lit("")))))
+        flat = flat.withColumn("nkey", F.when(F.col("kind") == "row", key))
+        order = Window.partitionBy(*DOC, "inv_idx", "kind").orderBy(F.col("a_pos").isNull(), "a_pos", "r_pos")
+        lines = rank_align(flat, [*DOC, "inv_idx", "kind"], carry).withColumn("row_idx", F.row_number().over(order))
+        lone_rows = F.sum(((F.col("kind") == "row") & F.col("a_pos").isNull()).cast("int")).over(Window.partitionBy(*DOC, "inv_idx"))
+        self.lines = lines.withColumn("extra", F.when(F.col("kind") == "invoice", lone_rows).otherwise(0))
+        matched = "kind = 'row' and a_inv is not null and r_inv is not null and a_pos is not null"
+        self.rows = self.lines.filter(matched).withColumnsRenamed({"a_pos": "a_row", "r_pos": "r_row"})
+
+    def judged(self) -> DataFrame:
+        """lines once for each field of their scope, with expected, actual and equal; field is null, once, for what has no
+        answer or no field. at numbers a line's fields from 0; lone names what is missing or extra as a whole."""
+        listed = lambda scope: F.array_sort(F.collect_list(F.when(F.col("scope") == scope, F.struct("pos", "field_key", "field_class", "label"))))
+        fields = F.broadcast(self.fields.groupBy(F.col("template_id").alias("fields_from")).agg(listed("header").alias("header"), listed("sublist").alias("sublist")))
+        kind = F.col("kind")
+        scope = F.when(kind == "invoice", F.col("header")).when(kind == "row", F.col("sublist"))
+        some = F.when(F.col("a_pos").isNotNull() & (F.size(scope) > 0), scope)
+        paired = F.col("a_inv").isNotNull() & F.col("r_inv").isNotNull()
+        lone = (
+            F.when((kind == "invoice") & F.col("r_pos").isNull(), "missing_invoice").when((kind == "invoice") & F.col("a_pos").isNull(), "extra_invoice")
+            .when((kind == "row") & paired & F.col("r_pos").isNull(), "missing_row")
+        )
+        out = self.lines.join(fields, "fields_from").withColumn("lone", lone).select("*", F.posexplode_outer(some).alias("at", "field")).drop("header", "sublist").withColumn("at", F.coalesce("at", F.lit(0)))
+        value = lambda m: F.when(F.col("field").isNotNull(), F.coalesce(F.try_element_at(m, F.col("field.field_key")), F.lit("")))
+        out = out.withColumns({"expected": value("a_body"), "actual": value("r_body")})
+        return out.withColumn("equal", F.when(F.col("field").isNotNull(), F.col("r_pos").isNotNull() & field_equal(F.col("field.field_class"), F.col("expected"), F.col("actual"))))
+
+    def _cells(self, kind: str) -> DataFrame:
+        cols = ["template_id", *DOC, "inv_idx", "row_idx", F.lit("header" if kind == "invoice" else "sublist").alias("scope"), F.col("field.pos").alias("field_pos"), "field.field_key", "field.label", "expected", "actual", "equal"]
+        return self.judged().filter((F.col("kind") == kind) & F.col("field").isNotNull()).select(*cols)
 
     def header_cells(self) -> DataFrame:
         """Each header field of each answer invoice; of a missing invoice all are wrong."""
-        cols = ["template_id", *DOC, "inv_idx", "scope", "field_pos", "field_key", "label", "expected", "actual", "equal"]
-        return self._cells(self.invoices.filter("a_inv is not null"), "header", "r_inv is null", F.col("a_header"), F.col("r_header")).select(*cols)
+        return self._cells("invoice").drop("row_idx")
 
     def sublist_cells(self) -> DataFrame:
         """Each column of each answer row; of a missing row or invoice all are wrong."""
-        cols = ["template_id", *DOC, "inv_idx", "row_idx", "scope", "field_pos", "field_key", "label", "expected", "actual", "equal"]
-        return self._cells(self.all_rows.filter("a_row is not null"), "sublist", "r_row is null", F.col("a_cells"), F.col("r_cells")).select(*cols)
+        return self._cells("row")
 
     def field_stats(self, cells: DataFrame) -> DataFrame:
         return cells.groupBy("template_id", "scope", "field_pos", "field_key").agg(F.count(F.lit(1)).alias("total"), F.count_if("equal").alias("correct")).filter("total > 0")
 
-    def _row_counts(self, by: list[str]) -> DataFrame:
-        n = lambda cond: F.count_if(F.expr(cond))
-        return self.all_rows.groupBy(*by).agg(
-            n("a_row is not null").alias("answer_rows"), n("a_row is not null and r_row is not null").alias("matched_rows"), n("r_row is null").alias("missing_rows"), n("a_row is null").alias("extra_rows")
-        )
+    def _counts(self, once: Column) -> list[Column]:
+        """Answer, matched, missing and extra rows of a group of lines, each line counted where ``once`` holds."""
+        a, r = F.col("a_pos").isNotNull(), F.col("r_pos").isNotNull()
+        tests = (a, a & r, ~r, ~a)
+        return [F.count_if(once & (F.col("kind") == "row") & test).alias(name) for name, test in zip(COUNTS, tests, strict=True)]
 
     def invoice_rows(self) -> DataFrame:
         """Per aligned invoice: answer, matched, missing and extra rows."""
-        inv = [*DOC, "inv_idx"]
-        out = self.invoices.select(*inv, "template_id", "a_inv", "r_inv").join(self._row_counts(inv), inv, "left")
-        return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS})
-
-    def _expected(self, df: DataFrame, scope: str, lone: Column, a: Column, r: Column) -> DataFrame:
-        """Rows of df once for each field, or, where lone names an error of the whole row, once with
-        that as kind; of the others those stay whose values differ."""
-        listed = F.array_sort(F.collect_list(F.struct("pos", "field_key", "field_class", "label")))
-        fields = F.broadcast(self.fields.filter(F.col("scope") == scope).groupBy(F.col("template_id").alias("fields_from")).agg(listed.alias("fields")))
-        none = F.array(F.struct(F.lit(0).alias("pos"), *[F.lit("").alias(c) for c in ("field_key", "field_class", "label")]))
-        value = lambda m: F.coalesce(F.try_element_at(m, F.col("field.field_key")), F.lit(""))
-        out = df.join(fields, "fields_from").withColumn("lone", lone).withColumn("field", F.explode(F.when(F.col("lone").isNull(), F.col("fields")).otherwise(none)))
-        out = out.withColumns({"expected": value(a), "actual": value(r)})
-        return out.filter(F.col("lone").isNotNull() | ~field_equal(F.col("field.field_class"), F.col("expected"), F.col("actual")))
+        return self.lines.filter("kind <> 'doc'").groupBy(*DOC, "inv_idx", "template_id", "a_inv", "r_inv").agg(*self._counts(F.lit(True)))
 
     def errors(self) -> DataFrame:
         """(template_id, match_key, a_doc, inv_idx, row_idx, kind, field_key, label, expected, actual). What
         is missing or extra as a whole is named by its invoice number or the key column of its row."""
-        cols = ["template_id", *DOC, "inv_idx", "row_idx", "kind", "field_key", "label", "expected", "actual"]
-        kind = F.coalesce("lone", F.lit("field_mismatch")).alias("kind")
         no_key = by_template(F.col("fields_from"), lambda t: F.lit(invoice_no_key(t)))
         line_key = by_template(F.col("fields_from"), lambda t: F.lit(row_key(t)))
         cell = lambda m, key: F.coalesce(F.try_element_at(F.col(m), key), F.lit(""))
-        single = F.col("lone").isNull()
-        own = lambda key, label: (F.when(single, F.col("field.field_key")).otherwise(key).alias("field_key"), F.when(single, F.col("field.label")).otherwise(F.lit(label)).alias("label"))
-        side = lambda c, other: F.when(single, F.col(c)).otherwise(other).alias(c)
-        invoice = F.when(F.col("r_inv").isNull(), "missing_invoice").when(F.col("a_inv").isNull(), "extra_invoice")
-        head = self._expected(self.invoices, "header", invoice, F.col("a_header"), F.col("r_header"))
-        line = self._expected(self.rows, "sublist", F.when(F.col("r_row").isNull(), "missing_row"), F.col("a_cells"), F.col("r_cells"))
-        extra = self._row_counts([*DOC, "inv_idx", "template_id", "fields_from", "a_inv", "r_inv"]).filter("a_inv is not null and r_inv is not null and extra_rows > 0")
-        none, no_row = F.lit(""), F.lit(None).cast("int").alias("row_idx")
-        parts = [
-            head.select("template_id", *DOC, "inv_idx", no_row, kind, *own(no_key, "发票"), side("expected", cell("a_header", no_key)), side("actual", cell("r_header", no_key))),
-            line.select("template_id", *DOC, "inv_idx", "row_idx", kind, *own(line_key, "明细行"), side("expected", cell("a_cells", line_key)), side("actual", none)),
-            extra.select("template_id", *DOC, "inv_idx", no_row, F.lit("extra_row").alias("kind"), line_key.alias("field_key"), F.lit("明细行").alias("label"), none.alias("expected"), F.concat(F.lit("多出 "), F.col("extra_rows").cast("string"), F.lit(" 行")).alias("actual")),
-        ]
-        return parts[0].union(parts[1]).union(parts[2]).select(*cols)
+        head, none = F.col("kind") == "invoice", F.lit("")
+        said = lambda kind, key, label, expected, actual: F.struct(kind.alias("error"), key.alias("key"), label.alias("name"), expected.alias("want"), actual.alias("got"))
+        key = F.when(head, no_key).otherwise(line_key)
+        whole = said(F.col("lone"), key, F.when(head, "发票").otherwise("明细行"), cell("a_body", key), F.when(head, cell("r_body", key)).otherwise(none))
+        field = said(F.lit("field_mismatch"), F.col("field.field_key"), F.col("field.label"), F.col("expected"), F.col("actual"))
+        more = said(F.lit("extra_row"), line_key, F.lit("明细行"), none, F.concat(F.lit("多出 "), F.col("extra").cast("string"), F.lit(" 行")))
+        first, paired = F.col("at") == 0, F.col("a_inv").isNotNull() & F.col("r_inv").isNotNull()
+        own = F.when(F.col("lone").isNotNull(), F.when(first, whole)).when(paired & ~F.col("equal"), field)
+        found = F.array_compact(F.array(own, F.when(first & paired & (F.col("extra") > 0), more)))
+        row_idx = F.when((F.col("kind") == "row"), F.col("row_idx")).alias("row_idx")
+        out = self.judged().select("template_id", *DOC, "inv_idx", row_idx, F.explode(found).alias("e"))
+        return out.select("template_id", *DOC, "inv_idx", "row_idx", F.col("e.error").alias("kind"), F.col("e.key").alias("field_key"), F.col("e.name").alias("label"), F.col("e.want").alias("expected"), F.col("e.got").alias("actual"))
 
     def template_stats(self) -> DataFrame:
-        wrong = self.errors().select(*DOC).distinct().withColumn("wrong", F.lit(1))
-        docs = self.pairs.select("template_id", *DOC).join(self._row_counts(DOC), DOC, "left").join(wrong, DOC, "left")
-        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
-        return docs.groupBy("template_id").agg(F.count(F.lit(1)).alias("doc_total"), F.count_if(F.col("wrong").isNull()).alias("all_correct"), *sums)
+        """Documents, those without any error, and row counts by template: one sum by document, one over these."""
+        first, paired = F.col("at") == 0, F.col("a_inv").isNotNull() & F.col("r_inv").isNotNull()
+        wrong = F.col("lone").isNotNull() | (paired & (~F.coalesce("equal", F.lit(True)) | (F.col("extra") > 0)))
+        docs = self.judged().groupBy(*DOC, "template_id").agg(F.max(wrong).alias("wrong"), *self._counts(first))
+        sums = [F.sum(c).alias(c) for c in COUNTS]
+        return docs.groupBy("template_id").agg(F.count(F.lit(1)).alias("doc_total"), F.count_if(~F.col("wrong")).alias("all_correct"), *sums)

@@ -1,8 +1,9 @@
 """Greedy alignment of two ordered lists as a rank alignment.
 
 The k-th answer with a key pairs with the k-th result with that key; what is left pairs by
-position. Both sides travel in one union with their contents, so each input is read once and
-the work is two windows and two aggregations by the parent, without a join.
+position. Both sides are one table with their contents, so each input is read once and
+the work is two windows and two aggregations by the parent, without a join. Where the table is partitioned
+by columns of the parent already, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -10,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def rank_align(answers: DataFrame, results: DataFrame, parent: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Both sides (parent..., nkey, pos, body) -> (parent..., carry..., a_pos, r_pos, a_body, r_body).
+def rank_align(both: DataFrame, parent: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """both(parent..., carry..., is_a, nkey, pos, body) -> (parent..., carry..., a_pos, r_pos, a_body, r_body).
 
     What has no partner has nulls on the other side. An empty or null nkey never matches by key.
     carry: columns that depend on the parent alone."""
-    cols = [*parent, *carry, "nkey", "pos", "body"]
-    both = answers.select(*cols, F.lit(True).alias("is_a")).unionByName(results.select(*cols, F.lit(False).alias("is_a")))
+    both = both.select(*parent, *carry, "is_a", "nkey", "pos", "body")
     keyed = F.coalesce(F.col("nkey") != "", F.lit(False))
     k = F.row_number().over(Window.partitionBy(*parent, "nkey", "is_a").orderBy("pos"))
     both = both.withColumn("k", k).withColumn("lone", F.when(~keyed, F.struct("is_a", "pos")))

@@ -74,14 +74,18 @@ def side(spark: SparkSession, sf_dir: str, result: bool) -> Side:
     docs = c.select(F.col("c_custkey").alias("doc_pos"), F.expr(doc["file_name"]).alias("file_name"), F.lit("freight_invoice" if result else None).cast("string").alias("template_id"))
     docs = docs.withColumn("match_key", match_key(F.col("file_name")))
     key = docs.select("doc_pos", "match_key")
-    invoices = o.select(F.col("o_custkey").alias("doc_pos"), F.col("o_orderkey").alias("inv_pos"), _map(inv).alias("header")).join(key, "doc_pos")
-    if result:  # some invoices come twice, under another number
-        again = invoices.filter("inv_pos % 29 = 0").withColumn("header", F.map_concat(F.map_filter("header", lambda k, _: k != "invoice_no"), F.create_map(F.lit("invoice_no"), F.lit("ADDED000001"))))
-        invoices = invoices.unionByName(again.withColumn("inv_pos", F.col("inv_pos") + 1_000_000_000))
     order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER.split(", ")))
-    rows = li.withColumn("row_pos", order).select(F.col("l_orderkey").alias("inv_pos"), "row_pos", _map(line).alias("cells"))
-    rows = rows.join(o.select(F.col("o_orderkey").alias("inv_pos"), F.col("o_custkey").alias("doc_pos")), "inv_pos").join(key, "doc_pos")
-    return Side(docs, invoices, rows)
+    rows = li.withColumn("row_pos", order).select("l_orderkey", F.struct("row_pos", _map(line).alias("cells")).alias("x"))
+    rows = rows.groupBy(F.col("l_orderkey").alias("inv_pos")).agg(F.collect_list("x").alias("sublist"))
+    invoices = o.select(F.col("o_custkey").alias("doc_pos"), F.col("o_orderkey").alias("inv_pos"), _map(inv).alias("header")).join(rows, "inv_pos", "left").join(key, "doc_pos")
+    if result:  # some invoices come twice, under another number and without rows
+        other = F.map_concat(F.map_filter("header", lambda k, _: k != "invoice_no"), F.create_map(F.lit("invoice_no"), F.lit("ADDED000001")))
+        one = lambda pos, header, sublist: F.struct(pos.alias("inv_pos"), header.alias("header"), sublist.alias("sublist"))
+        itself = one(F.col("inv_pos"), F.col("header"), F.col("sublist"))
+        again = one(F.col("inv_pos") + 1_000_000_000, other, F.lit(None).cast(invoices.schema["sublist"].dataType))
+        copies = F.when(F.col("inv_pos") % 29 == 0, F.array(itself, again)).otherwise(F.array(itself))
+        invoices = invoices.select("match_key", "doc_pos", F.explode(copies).alias("x")).select("match_key", "doc_pos", "x.*")
+    return Side(docs, invoices.select("match_key", "doc_pos", "inv_pos", "header", "sublist"))
 
 
 def report(spark: SparkSession, sf_dir: str) -> Report:

@@ -15,8 +15,8 @@ def side(spark, exports):
     docs, _ = read_exports(spark.createDataFrame([(k, json.dumps(v)) for k, v in exports.items()], "path string, text string"))
     docs = docs.withColumn("match_key", match_key(F.col("file_name"))).withColumn("doc_pos", F.col("doc_pos").cast("long"))
     inv = docs.select("match_key", "doc_pos", F.posexplode("invoices").alias("inv_pos", "i"))
-    rows = inv.select("match_key", "doc_pos", "inv_pos", F.posexplode("i.sublist").alias("row_pos", "cells"))
-    return Side(docs.select("doc_pos", "file_name", "match_key", "template_id"), inv.select("match_key", "doc_pos", "inv_pos", F.col("i.header").alias("header")), rows)
+    rows = F.transform("i.sublist", lambda cells, k: F.struct(k.alias("row_pos"), cells.alias("cells")))
+    return Side(docs.select("doc_pos", "file_name", "match_key", "template_id"), inv.select("match_key", "doc_pos", "inv_pos", F.col("i.header").alias("header"), rows.alias("sublist")))
 
 
 def report(spark, answers, results):
