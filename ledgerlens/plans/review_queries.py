@@ -1,11 +1,11 @@
-"""Queries of typed replies, the review view, structure switches and prompts (q66 to q70)."""
+"""Queries of typed replies, the review view, structure switches, prompts, edits and examples (q66 to q72)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents as dc, prompts as pr, review as rv
+from ledgerlens.operators import documents as dc, edits as ed, prompts as pr, review as rv
 from ledgerlens.operators.templates import FIELDS
 from . import bridge as b, oracle as o
 from .document_queries import fields
@@ -193,3 +193,68 @@ def q69_apply_prompts(spark: SparkSession, d: str) -> DataFrame:
     v = F.try_parse_json("body")
     at = lambda path: F.when(changed, F.try_variant_get(v, path, "string"))
     return out.select("conv_id", changed.alias("changed"), F.coalesce(at("$.messages[0].content"), "old_s").alias("system"), at("$.messages[1].content").alias("user"))
+
+
+@query(
+    f"""WITH {_LINES}, x AS (SELECT *, l_returnflag = 'R' AS gone, l_linestatus = 'O' AS more, l_returnflag || l_partkey AS said FROM lines),
+    own AS (SELECT l_orderkey, coalesce(string_agg(pos || '=' || said, ',' ORDER BY pos) FILTER (NOT gone), '') AS a, coalesce(string_agg((100 + pos) || '=', ',' ORDER BY pos) FILTER (more), '') AS b, max(said) FILTER (pos = 1) AS head FROM x GROUP BY 1)
+    SELECT l_orderkey AS o_orderkey, concat_ws(',', nullif(a, ''), nullif(b, '')) AS rows, head AS field, nullif(b, '') AS entry_rows FROM own"""
+)
+def q70_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Each line edits its order's document: its row is set twice and removed if it was returned; open lines add rows to the
+    document and to its entry, the first line sets the entry's field and another entry is added and removed."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*b.LINE_ORDER.split(", "))).cast("long")
+    line = b.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), place.alias("pos"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("said"), "l_returnflag", "l_linestatus")
+    cells = dc.empty(dc.CELLS)
+    row = F.struct(F.col("pos").alias("id"), cells.alias("cells"))
+    entry = F.array(F.struct(F.lit(1).cast("long").alias("id"), cells.alias("header"), F.array().cast(f"array<{ed.ROW}>").alias("rows")))
+    docs = line.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("pos")).alias("ids")).select("o_orderkey", F.transform("ids", lambda i: F.struct(i.alias("id"), cells.alias("cells"))).alias("rows"), entry.alias("entries"))
+    no = F.lit(None).cast("long")
+
+    def edit(seq: Column, op: str, entry: Column, row: Column, field: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.struct(seq.cast("long").alias("seq"), F.lit(op).alias("op"), entry.cast("long").alias("entry"), row.cast("long").alias("row"), F.lit(field).alias("field"), value.alias("value")))
+
+    pos, said, always = F.col("pos"), F.col("said"), F.lit(True)
+    at = lambda k: pos * 10 + k
+    returned, open_ = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
+    made = F.array(
+        edit(at(0), "set_cell", no, pos, "fc1", F.lit("old"), always), edit(at(1), "set_cell", no, pos, "fc1", said, always), edit(at(2), "remove_row", no, pos, "", said, returned),
+        edit(at(3), "add_row", no, pos + 100, "", said, open_), edit(at(4), "add_row", F.lit(1), pos + 100, "", said, open_), edit(at(5), "set_field", F.lit(1), no, "fh1", said, pos == 1),
+        edit(at(6), "add_entry", F.lit(2), no, "", said, pos == 1), edit(at(7), "remove_entry", F.lit(2), no, "", said, pos == 1), edit(at(8), "set_cell", F.lit(9), pos, "fc1", said, always),
+    )
+    edits = line.select("o_orderkey", F.explode(F.array_compact(made)).alias("e")).select("o_orderkey", "e.*")
+    out = ed.apply_edits(docs, edits, "o_orderkey")
+    shown = lambda rows: F.array_join(F.transform(rows, lambda r: F.concat(r["id"].cast("string"), F.lit("="), F.coalesce(F.try_element_at(r["cells"], F.lit("fc1")), F.lit("")))), ",")
+    first = F.get("entries", F.lit(0))
+    return out.select("o_orderkey", shown(F.col("rows")).alias("rows"), F.when(F.size("entries") == 1, first["header"]["fh1"]).alias("field"), F.nullif(shown(first["rows"]), F.lit("")).alias("entry_rows"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN source = 'src7' THEN 'layout' WHEN toxic IS NULL THEN 'category' WHEN quality = 0 AND n_chars % 2 = 0 THEN 'syntax' WHEN quality = 0 THEN 'not_object' WHEN toxic = 1 AND n_chars % 3 = 0 THEN 'no_answer'
+    WHEN n_chars > 9000 THEN 'too_large' WHEN n_chars % 5 = 0 THEN 'type' END AS problem FROM documents LEFT JOIN labels USING (doc_id)"""
+)
+def q71_example_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as examples: their source is the layout, their text the answer; a size of 3 kB a character."""
+    rows = b.read(spark, d, "documents").join(b.read(spark, d, "labels"), "doc_id", "left")
+    layout = F.when(F.col("source") == "src7", "src 7").otherwise(F.col("source"))
+    category = F.when(F.col("toxic") == 1, "target").when(F.col("toxic") == 0, "non_target")
+    text = F.to_json(F.struct("text"))
+    answer = F.when((F.col("quality") == 0) & (F.col("n_chars") % 2 == 0), F.substring(text, F.lit(1), F.length(text) - 1)).when(F.col("quality") == 0, F.concat(F.lit("["), text, F.lit("]"))).when((F.col("toxic") == 1) & (F.col("n_chars") % 3 == 0), "{}").otherwise(text)
+    name = F.when(F.col("n_chars") % 5 == 0, "a.txt").otherwise("a.PDF")
+    return rows.select("doc_id", ed.example_problem(layout, category, name, answer, F.col("text").cast("binary"), F.col("n_chars") * 2913).alias("problem"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, quality, toxic, n_chars / 10000 AS part FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT doc_id, CASE WHEN quality IS NULL THEN true ELSE toxic = 1 END AS is_target, CASE WHEN quality IS NULL THEN 0 WHEN quality = 0 THEN 0.5 ELSE least(1, part) END::DOUBLE AS confidence,
+    CASE WHEN quality IS NULL THEN '预判结果无法解析，已安全回退到高清抽取' WHEN toxic = 1 THEN '模型未提供判定理由' ELSE text END AS reason FROM c JOIN documents USING (doc_id)"""
+)
+def q72_classification(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as a classifier's replies that carry whole texts; documents without labels have replies that are cut off."""
+    rows = b.read(spark, d, "documents").join(b.read(spark, d, "labels"), "doc_id", "left")
+    confidence = F.when(F.col("quality") == 0, F.lit('"high"')).otherwise((F.col("n_chars") / 10000).cast("string"))
+    target = F.when(F.col("toxic") == 1, '"true"').otherwise("false")
+    reason = F.when(F.col("toxic") == 1, "7").otherwise(F.get(F.split(F.to_json(F.struct(F.col("text").alias("x"))), r'^\{"x":|\}$'), F.lit(1)))
+    whole = F.concat(F.lit('Answer: {"is_target": '), target, F.lit(', "confidence": '), confidence, F.lit(', "reason": '), reason, F.lit("} ok"))
+    reply = F.when(F.col("quality").isNotNull(), whole).otherwise(F.concat(F.lit('{"is_target": '), F.col("text")))
+    return rows.select("doc_id", ed.classification(reply).alias("x")).select("doc_id", "x.*")
