@@ -116,14 +116,14 @@ def estimate(patterns: dict[str, int], rounds: int = 300) -> tuple[dict[str, flo
 def train(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on soft labels, classes weighted alike."""
     w, b = np.zeros(x.shape[1]), 0.0
-    x, turned = np.ascontiguousarray(x, np.float32), np.ascontiguousarray(x.T, np.float32)
+    x = np.ascontiguousarray(x, np.float32)  # not copied where it is so already
     share = np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98)
     weight = y * 0.5 / share + (1 - y) * 0.5 / (1 - share)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1 if len(y) else 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30)))
         d = weight * (p - y) / len(y)
-        g = np.append(turned @ d.astype(np.float32) + 1e-4 * w, d.sum())
+        g = np.append(d.astype(np.float32) @ x + 1e-4 * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -152,12 +152,16 @@ def score_quality(docs: DataFrame, columns: tuple[str, ...] = (), sample: int =
     votes = scratch.save(rows.select("doc_id", "text").mapInArrow(_votes, "doc_id long, pattern string"), "votes")
     posterior, _ = estimate({r["pattern"]: r["count"] for r in votes.groupBy("pattern").count().collect()})
     ids = [r[0] for r in votes.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    picked = rows.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).select("text").collect() if ids else []
-    texts = [Text(r[0]) for r in picked]
+    picked = rows.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
     key = lambda t: "".join("-0+"[v + 1] for v in t.votes())
-    x = np.array([t.features() for t in texts], np.float32).reshape(-1, 2 * BUCKETS)
-    y = np.array([posterior.get(key(t), 0.5) for t in texts])
-    model = spark.sparkContext.broadcast((*train(x, y), posterior))
+    x, y = np.zeros((len(ids), 2 * BUCKETS), np.float32), np.zeros(len(ids))
+    n = 0
+    for r in picked.toLocalIterator() if ids else ():  # one row of features at a time; the texts are not kept
+        text = Text(r[0])
+        x[n], y[n] = text.features(), posterior.get(key(text), 0.5)
+        n += 1
+    model = spark.sparkContext.broadcast((*train(x[:n], y[:n]), posterior))
+    del x
     schema = StructType(list(rows.schema.fields))
     for name, kind in (("pattern", "string"), ("posterior", "double"), ("score", "double"), ("keep", "boolean")):
         schema = schema.add(name, kind)
