@@ -130,6 +130,14 @@ SQL: dict[str, str] = {
                doc_id = first_value(doc_id) OVER w AS kept,
                sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""",
+    "op5_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM d WHERE len(words) >= 20),
+        x AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) AS place FROM w),
+        gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM x, range(0, 20) AS r(k) WHERE place > 1),
+        p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d)
+        SELECT d.doc_id, len(any_value(words))::BIGINT AS n_words, count(gone.pos) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p.pos) FILTER (gone.pos IS NULL), '')) AS kept_sha256
+        FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.pos = p.pos GROUP BY d.doc_id""",
     "op12_source_divergence": rf"""
         WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid, regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
         w AS (SELECT lang, source, rid, unnest(terms) AS term FROM d),
