@@ -94,15 +94,20 @@ def q30_freight_valid(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "orders").select("o_orderkey", ok.alias("valid"))
 
 
-_DIM = ", ".join(f"({k}, '{x[0]}', '{x[1]}', '{x[2]}', '{x[3]}')" for k, x in enumerate(FIELDS))
+#: Every brand as a template whose fields are its parts; a field's key is an amount's by the part's size, else its name.
+_AMOUNT_KEY = "case p_size % 9 when 0 then 'grand_total' when 1 then 'fee' when 2 then 'total' when 3 then 'charges' when 4 then 'amount' else p_name end"
+_AMOUNT_LABEL = "concat(p_type, case p_size % 9 when 5 then ' Total' when 6 then ' charges DESCRIPTION' else '' end)"
 
 
 @query(
-    f"""WITH f AS (SELECT *, CASE scope WHEN 'header' THEN list_position(['total_hkd', 'total', 'grand_total'], field_key) ELSE list_position(['charges_in_hkd', 'total', 'charges', 'amount', 'fee'], field_key) END AS rank FROM (VALUES {_DIM}) AS f(pos, template_id, scope, field_id, field_key))
-    SELECT template_id, scope, field_id FROM f WHERE rank > 0 QUALIFY row_number() OVER (PARTITION BY template_id, scope ORDER BY rank, pos) = 1"""
+    f"""WITH f AS (SELECT p_brand AS template_id, CASE WHEN p_retailprice < 1000 THEN 'header' ELSE 'sublist' END AS scope, p_partkey AS pos, concat('f', p_partkey) AS field_id, {_AMOUNT_KEY} AS field_key, {_AMOUNT_LABEL} AS label FROM part),
+    r AS (SELECT *, CASE scope WHEN 'header' THEN list_position(['total_hkd', 'total', 'grand_total'], field_key) ELSE list_position(['charges_in_hkd', 'total', 'charges', 'amount', 'fee'], field_key) END AS rank FROM f UNION ALL SELECT *, 99 FROM f WHERE regexp_matches(label, 'total', 'i'))
+    SELECT template_id, scope, field_id FROM r WHERE rank > 0 QUALIFY row_number() OVER (PARTITION BY template_id, scope ORDER BY rank, pos) = 1"""
 )
 def q34_amount_column(spark: SparkSession, d: str) -> DataFrame:
-    return lb.amount_fields(template_fields(spark))
+    scope = F.when(F.col("p_retailprice") < 1000, "header").otherwise("sublist")
+    parts = b.read(spark, d, "part").select(F.col("p_brand").alias("template_id"), scope.alias("scope"), F.col("p_partkey").alias("pos"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("field_id"), F.expr(_AMOUNT_KEY).alias("field_key"), F.expr(_AMOUNT_LABEL).alias("label"))
+    return lb.amount_fields(parts)
 
 
 @query(

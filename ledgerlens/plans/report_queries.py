@@ -91,13 +91,17 @@ def q07_field_equal(spark: SparkSession, d: str) -> DataFrame:
 _FIELD_ROWS = ", ".join(f"('{t}', '{s}', '{i}', '{k}')" for t, s, i, k, _ in FIELDS)
 
 
+#: Field keys made of a part's type and, by its size, of what gives a field its class.
+KEY = "lower(concat(case p_size % 8 when 0 then 'gross_weight_' when 1 then 'vol_' when 2 then 'netweight_' else '' end, replace(p_type, ' ', '_'), case p_size % 8 when 3 then '_Date' when 4 then '_total' else '' end))"
+KEYS = f"case p_size % 8 when 5 then 'total' when 6 then 'weight' else {KEY} end"
+
+
 @query(
-    f"""SELECT template_id, scope, field_id, CASE WHEN field_key IN ('total', 'charges_in_hkd', 'total_hkd') THEN 'amount'
-    WHEN field_key IN ('weight', 'volume') THEN 'measure' WHEN field_key ILIKE '%date%' THEN 'date' ELSE 'text' END AS field_class
-    FROM (VALUES {_FIELD_ROWS}) AS f(template_id, scope, field_id, field_key)"""
+    f"""SELECT p_partkey, {KEYS} AS field_key, CASE WHEN {KEYS} IN ('total', 'charges_in_hkd', 'total_hkd') THEN 'amount'
+    WHEN {KEYS} IN ('weight', 'volume') OR regexp_matches({KEYS}, '^(gross_|net_|chargeable_)?(weight|volume|wt|vol)(_|$)', 'i') THEN 'measure' WHEN {KEYS} ILIKE '%date%' THEN 'date' ELSE 'text' END AS field_class FROM part"""
 )
 def q08_field_class(spark: SparkSession, d: str) -> DataFrame:
-    return template_fields(spark).select("template_id", "scope", "field_id", "field_class")
+    return b.read(spark, d, "part").select("p_partkey", F.expr(KEYS).alias("field_key")).withColumn("field_class", v.field_class(F.col("field_key")))
 
 
 @query(f"WITH {o.DOCS} SELECT match_key, a_doc, r_doc FROM pairs")
