@@ -111,6 +111,21 @@ def public_examples(examples: DataFrame) -> DataFrame:
     return examples.drop("pdf_path").withColumns({"media_type": media, "pdf_url": F.concat(F.lit("/api/label/examples/"), F.col("id").cast("string"), F.lit("/pdf"))})
 
 
+def public_jobs(jobs: DataFrame, docs: DataFrame, job: str) -> DataFrame:
+    """jobs(job, status, cancel_requested, ...) with their documents as they are shown: docs(job, pos, ..., done, total,
+    page_outcomes, note, result_path) in order, without the path but whether there is a result, and with empty values
+    for what is not known yet. A job without documents has an empty list."""
+    progress = F.struct(F.coalesce("done", F.lit(0)).alias("done"), F.coalesce("total", F.lit(0)).alias("total")).alias("progress")
+    outcomes = F.coalesce("page_outcomes", F.array().cast("array<string>")).alias("page_outcomes")
+    told = [c for c in docs.columns if c not in (job, "pos", "done", "total", "page_outcomes", "note", "result_path")]
+    has = (F.coalesce("result_path", F.lit("")) != "").alias("has_result")
+    shown = F.struct("pos", *told, progress, outcomes, has, F.coalesce("note", F.lit("")).alias("note"))
+    kind = docs.select(shown.alias("x")).schema["x"].dataType.simpleString()
+    listed = docs.groupBy(job).agg(F.array_sort(F.collect_list(shown)).alias("documents"))
+    out = jobs.withColumn("cancel_requested", F.coalesce("cancel_requested", F.lit(False))).join(listed, job, "left")
+    return out.withColumn("documents", F.coalesce("documents", F.array().cast(f"array<{kind}>")))
+
+
 def classification(reply: Column) -> Column:
     """A classifier's reply -> struct(is_target, confidence, reason): confidence within 0 and 1, 0.5 where it is no number. A
     reply that cannot be read is a target with confidence 0, so that no page is lost."""

@@ -87,6 +87,17 @@ def q61d_result_store(spark: SparkSession, d: str) -> DataFrame:
     return store.read().select("user_id", "at.event_id", "event_type")
 
 
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, (ts, event_id)) <> 'error'")
+def q61e_user_batches(spark: SparkSession, d: str) -> DataFrame:
+    """One labelling batch a user: every event but an error saves it, an error deletes it; batches as they are after all that."""
+    schema = "user_id long, at struct<ts: timestamp, event_id: long>, value double, gone boolean"
+    store = ResultStore(spark, _folder(spark, "batches"), schema, "user_id", "at", "gone")
+    rows = b.read(spark, d, "events").select("user_id", F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("at"), "value", (F.col("event_type") == "error").alias("gone"))
+    for k in range(3):
+        store.write(rows.filter(F.pmod(F.xxhash64("at.event_id"), F.lit(3)) == k), k)
+    return store.read().select("user_id", "at.event_id", "value")
+
+
 #: What a turn of a conversation sends: an assistant's text is content, and one whose length divides by 3 is the object that
 #: ends the reply; a user's text is reasoning; a system text is a line that cannot be read.
 LINE = """case role when 'assistant' then to_json(named_struct('message', named_struct('content', case when length(text) % 3 = 0 then concat('{"is_target": true, "n": ', cast(length(text) as string), '}') else text end)))

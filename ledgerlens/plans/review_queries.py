@@ -258,3 +258,19 @@ def q72_classification(spark: SparkSession, d: str) -> DataFrame:
     whole = F.concat(F.lit('Answer: {"is_target": '), target, F.lit(', "confidence": '), confidence, F.lit(', "reason": '), reason, F.lit("} ok"))
     reply = F.when(F.col("quality").isNotNull(), whole).otherwise(F.concat(F.lit('{"is_target": '), F.col("text")))
     return rows.select("doc_id", ed.classification(reply).alias("x")).select("doc_id", "x.*")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_custkey % 2 = 0 ELSE false END AS cancel_requested, coalesce(shown, '') AS documents FROM orders LEFT JOIN
+    (SELECT l_orderkey, string_agg(concat(l_linenumber, ':', l_returnflag, ':', CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE 0 END, ':', CASE WHEN l_returnflag = 'N' THEN 'false' ELSE 'true' END), ',' ORDER BY l_linenumber, l_returnflag, CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE 0 END) AS shown FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+)
+def q73_public_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as jobs and their lines as documents, as the server shows them."""
+    jobs = b.read(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") % 2 == 0).alias("cancel_requested"))
+    path = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("results/"), F.col("l_partkey").cast("string")))
+    docs = b.read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("status"), F.when(F.col("l_linestatus") == "F", F.col("l_suppkey")).alias("done"),
+        F.lit(None).cast("long").alias("total"), F.lit(None).cast("array<string>").alias("page_outcomes"), F.lit(None).cast("string").alias("note"), path.alias("result_path"),
+    )
+    one = lambda x: F.concat_ws(":", x["pos"].cast("string"), x["status"], x["progress"]["done"].cast("string"), x["has_result"].cast("string"))
+    return ed.public_jobs(jobs, docs, "o_orderkey").select("o_orderkey", "cancel_requested", F.array_join(F.transform("documents", one), ",").alias("documents"))

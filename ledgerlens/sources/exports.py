@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlens.functions.values import trim_ws
 
@@ -37,6 +37,17 @@ def _invoice(header: Column, rows: Column) -> Column:
     return F.struct(header.alias("header"), rows.alias("sublist"))
 
 
+def write_exports(docs: DataFrame, path: str) -> None:
+    """docs(job, file_name, text) as one file for each document, found by its job and name: path/job=J/file_name=N/. Names
+    are distinct within a job. A job's documents go to several tasks; what is written again replaces what was there."""
+    docs.select("job", "file_name", "text").repartition("job", "file_name").write.partitionBy("job", "file_name").option("lineSep", "\x00").mode("overwrite").text(path)
+
+
+def written_exports(spark: SparkSession, path: str) -> DataFrame:
+    """(job, file_name, text) of the files of write_exports, texts whole."""
+    return spark.read.schema("text string, job string, file_name string").text(path, wholetext=True).select("job", "file_name", F.regexp_replace("text", "\\x00$", "").alias("text"))
+
+
 def read_exports(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts(path, text) -> (documents, errors). A text is one document or has several under
     ``documents``, where what is not an object does not count. documents: path, doc_pos, file_name (the path where it is blank or no text), template_id (only

@@ -15,10 +15,11 @@ COMMIT = "rows long, keys long, digest long"
 
 
 class ResultStore:
-    """Results by key, the latest of which counts: greatest version, then greatest batch."""
+    """Results by key, the latest of which counts: greatest version, then greatest batch. gone names a boolean column; a key
+    whose latest row has it true is deleted until it is written again."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, version: str):
-        self.spark, self.path, self.schema, self.key, self.version = spark, path.rstrip("/"), schema, key, version
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, version: str, gone: str | None = None):
+        self.spark, self.path, self.schema, self.key, self.version, self.gone = spark, path.rstrip("/"), schema, key, version, gone
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """Rows of one batch, then their record: how many rows and keys, and a digest of the keys.
@@ -52,7 +53,9 @@ class ResultStore:
         return self.spark.read.schema(f"{self.schema}, batch long").option("basePath", f"{self.path}/data").parquet(*paths)
 
     def read(self) -> DataFrame:
-        return latest(self.rows(), self.key, F.struct(self.version, "batch")).drop("batch")
+        """The rows that count now; a reader that asks for one key gets it by a filter on it."""
+        rows = latest(self.rows(), self.key, F.struct(self.version, "batch")).drop("batch")
+        return rows.filter(~F.coalesce(self.gone, F.lit(False))).drop(self.gone) if self.gone else rows
 
 
 def latest(rows: DataFrame, key: str, order) -> DataFrame:

@@ -3,7 +3,7 @@
 import json
 import zipfile
 
-from ledgerlens.sources.exports import read_exports
+from ledgerlens.sources.exports import read_exports, write_exports, written_exports
 from ledgerlens.sources.zip_json import read_zip_json
 
 
@@ -37,3 +37,11 @@ def test_zip_members(spark, tmp_path):
     (tmp_path / "bad.zip").write_bytes(b"no archive")
     got = {(r.archive.rsplit("/", 1)[1], r.path): r.text for r in read_zip_json(spark, str(tmp_path)).collect()}
     assert got == {("one.zip", "a/b.json"): '{"é": 1}', ("one.zip", "d.JSON"): "{}", ("bad.zip", None): None}
+
+
+def test_exports_as_files(spark, tmp_path):
+    made = [("1", "a b.json", '{"x":\n 1}'), ("1", "c=d/e.json", "{}"), ("2", "a b.json", "é\n\n")]
+    docs = spark.createDataFrame(made, "job string, file_name string, text string")
+    for _ in range(2):
+        write_exports(docs, str(tmp_path / "out"))
+    assert sorted(map(tuple, written_exports(spark, str(tmp_path / "out")).collect())) == sorted(made)
