@@ -134,16 +134,16 @@ def q14_field_cells(spark: SparkSession, d: str) -> DataFrame:
     return b.report(spark, d).header_cells().select("a_doc", "inv_idx", "field_key", "expected", "actual", "equal")
 
 
-@query(f"WITH {o.INVOICES} SELECT field_key, field_pos::INT AS field_pos, count(*) AS total, count(*) FILTER (equal) AS correct FROM hcells GROUP BY ALL")
+@query(f"WITH {o.INVOICES} SELECT template_id, field_key, field_pos::INT AS field_pos, count(*) AS total, count(*) FILTER (equal) AS correct FROM hcells GROUP BY ALL")
 def q15_header_stats(spark: SparkSession, d: str) -> DataFrame:
     r = b.report(spark, d)
-    return r.field_stats(r.header_cells()).select("field_key", "field_pos", "total", "correct")
+    return r.field_stats(r.header_cells()).select("template_id", "field_key", "field_pos", "total", "correct")
 
 
-@query(f"WITH {o.ROWS} SELECT field_key, field_pos::INT AS field_pos, count(*) AS total, count(*) FILTER (equal) AS correct FROM scells GROUP BY ALL")
+@query(f"WITH {o.ROWS} SELECT template_id, field_key, field_pos::INT AS field_pos, count(*) AS total, count(*) FILTER (equal) AS correct FROM scells GROUP BY ALL")
 def q16_sublist_stats(spark: SparkSession, d: str) -> DataFrame:
     r = b.report(spark, d)
-    return r.field_stats(r.sublist_cells()).select("field_key", "field_pos", "total", "correct")
+    return r.field_stats(r.sublist_cells()).select("template_id", "field_key", "field_pos", "total", "correct")
 
 
 @query(f"WITH {o.ROWS} SELECT a_doc, inv_idx::INT AS inv_idx, row_idx::INT AS row_idx, kind, field_key, expected, actual FROM errors")
@@ -155,8 +155,9 @@ _SUMS = "sum(answer_rows)::BIGINT AS answer_rows, sum(matched_rows)::BIGINT AS m
 
 
 @query(
-    f"""WITH {o.ROWS} SELECT 'freight_invoice' AS template_id, (SELECT count(*) FROM pairs) AS doc_total,
-    (SELECT count(*) FROM pairs WHERE a_doc NOT IN (SELECT a_doc FROM errors)) AS all_correct, {_SUMS} FROM invrows"""
+    f"""WITH {o.ROWS}, n AS (SELECT a_doc, {_SUMS} FROM invrows GROUP BY 1), bad AS (SELECT DISTINCT a_doc AS bad FROM errors)
+    SELECT template_id, count(*) AS doc_total, count(*) FILTER (bad IS NULL) AS all_correct, {", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in ("answer_rows", "matched_rows", "missing_rows", "extra_rows"))}
+    FROM pairs LEFT JOIN n ON n.a_doc = pairs.a_doc LEFT JOIN bad ON bad = pairs.a_doc GROUP BY 1"""
 )
 def q18_template_stats(spark: SparkSession, d: str) -> DataFrame:
     return b.report(spark, d).template_stats()
