@@ -334,6 +334,10 @@ class Pieces:
         return b"".join(map(text.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode("utf-8", "surrogatepass")
 
 
+#: Bytes of text whose units are held at once; lists of them take many times as much.
+HELD = 1 << 21
+
+
 @functools.cache
 def pieces_of(path: str, dropout: float, seed: int) -> Pieces:
     """One for each Python worker, so that what it remembers outlives a task."""
@@ -361,7 +365,7 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, dropout, seed)
         for whole in batches:
-            for b in slices(whole, at + 1):
+            for b in slices(whole, at + 1, HELD):
                 ids = pieces.encode_batch(b.column(at + 1).to_pylist(), [d or 0 for d in b.column(at).to_pylist()], b.column(width).to_pylist() if turns else None)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
@@ -375,7 +379,7 @@ def piece_digests(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, dropout, seed)
-        for b in (some for whole in batches for some in slices(whole, 1)):
+        for b in (some for whole in batches for some in slices(whole, 1, HELD)):
             n, crc, sha, same = [], [], [], []
             texts = b.column(1).to_pylist()
             for text, ids in zip(texts, pieces.encode_batch(texts, [d or 0 for d in b.column(0).to_pylist()]), strict=True):
