@@ -97,7 +97,8 @@ def side(spark: SparkSession, sf_dir: str, result: bool) -> Side:
 
 
 def report(spark: SparkSession, sf_dir: str) -> Report:
-    """The report of both sides. A side's invoices are read for their templates and for their contents, so they are written once."""
+    """The report of both sides. A side's invoices are read for their templates and for their contents, so they are
+    written once, and so are the pairs with their templates, one narrow row for each document."""
     a, r = (Side(s.docs, cut(s.invoices)) for s in (side(spark, sf_dir, False), side(spark, sf_dir, True)))
     fields = template_fields(spark)
-    return Report(with_templates(pair_documents(a.docs, r.docs), a, r, fields), a, r, fields)
+    return Report(cut(with_templates(pair_documents(a.docs, r.docs), a, r, fields)), a, r, fields)
