@@ -42,7 +42,7 @@ def fingerprints_with_edit(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "prints")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = with_ghosts(base, scratch)
+    placed, used = with_ghosts(base, scratch)
     w = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     rows = (
@@ -58,6 +58,8 @@ def fingerprints_with_edit(docs: DataFrame) -> DataFrame:
         (F.col("c") == F.col("e")).cast("double").alias("near_edited"), (F.col("c") == F.col("a")).cast("double").alias("near_next"),
     )
     hashed = scratch.save(hashed, "hashed")
+    for t in used:
+        scratch.free(t)
     mixed = clashes(base, hashed.select("h"), scratch)
     if mixed.isEmpty():
         return hashed.select("doc_id", "n_chars", "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), "near_edited", "near_next")

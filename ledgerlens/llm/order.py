@@ -9,8 +9,8 @@ from .common import Scratch, partitions
 PREFIX = 64  # characters of the text that part rows of one doc_id into ranges
 
 
-def with_ghosts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs(doc_id, text) with columns bucket and ghost. A bucket is a range of the order by doc_id descending,
+def with_ghosts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """docs(doc_id, text) with columns bucket and ghost, and the written tables that it reads, to be freed after use. A bucket is a range of the order by doc_id descending,
     null last, then text. Each also gets a copy, marked as ghost, of the first row of the bucket after it, so
     that lead() within a bucket sees the next row of the whole order; the last bucket's ghost is the very first row.
 
@@ -26,4 +26,4 @@ def with_ghosts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     least = numbers.agg(F.min("bucket").alias("least"))
     own = numbers.select(F.col("bucket").alias("own"), after.alias("after")).crossJoin(F.broadcast(least)).select("own", F.coalesce("after", "least").alias("bucket"))  # one row
     ghosts = heads.join(own, "bucket").select("doc_id", "text", F.col("own").alias("bucket"), F.lit(1).alias("ghost"))
-    return placed.union(ghosts)
+    return placed.union(ghosts), [placed, heads]
