@@ -335,7 +335,7 @@ class Pieces:
 
 
 #: Bytes of text whose units are held at once; lists of them take many times as much.
-HELD = 1 << 21
+HELD = 1 << 22
 
 
 @functools.cache
