@@ -169,10 +169,11 @@ def _runs(same: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
     return ((int(s), int(t)) for s, t in zip(turn[::2], turn[1::2], strict=True) if t - s >= least)
 
 
-def _matched(ids: np.ndarray, pos: np.ndarray, e: np.ndarray, epos: np.ndarray, earlier: dict[int, np.ndarray]) -> np.ndarray:
-    """Words of a document in a maximal match with an earlier place. Anchors at pos are linked to epos
-    in document e, whose words are earlier[e], -1 where not fetched. Links on one diagonal are extended at once."""
-    gone = np.zeros(len(ids), bool)
+def _matched(ids: np.ndarray, pos: np.ndarray, e: np.ndarray, epos: np.ndarray, earlier: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a document in a maximal match with an earlier place, and which windows lie whole in one such match.
+    Anchors at pos are linked to epos in document e, whose words are earlier[e], -1 where not fetched. Links on one
+    diagonal are extended at once."""
+    gone, inside = np.zeros(len(ids), bool), np.zeros(len(ids) - LENGTH + 1, bool)
     shift = pos - epos
     order = np.lexsort((pos, shift, e))
     pos, e, shift = pos[order], e[order], shift[order]
@@ -182,7 +183,8 @@ def _matched(ids: np.ndarray, pos: np.ndarray, e: np.ndarray, epos: np.ndarray,
         lo, hi = max(0, by, int(pos[j]) - BLOCK), min(len(ids), len(other) + by, int(pos[k - 1]) + GRAM + BLOCK)
         for s, t in _runs(ids[lo:hi] == other[lo - by : hi - by], LENGTH):
             gone[lo + s : lo + t] = True
-    return gone
+            inside[lo + s : lo + t - LENGTH + 1] = True
+    return gone, inside
 
 
 SPANS = "array<struct<start: long, end: long>>"
@@ -261,9 +263,8 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for j in got:
                             part = [number.get(w, -1) for w in bw[j].as_py().split()]
                             earlier[be[j]][bk[j] * BLOCK : bk[j] * BLOCK + len(part)] = part
-                        gone = _matched(ids, *links, earlier)
-                        inside = np.cumsum(np.append(0, gone))
-                        rest = np.flatnonzero((inside[LENGTH:] - inside[:-LENGTH] < LENGTH) & ~new)
+                        gone, inside = _matched(ids, *links, earlier)
+                        rest = np.flatnonzero(~inside & ~new)  # a window over two matches is gone, but its words may start here first
                         if len(rest):
                             a, c = found.keys(i, rest)
                             once, again = _repeated(ids, rest, a, c)

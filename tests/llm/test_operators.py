@@ -176,6 +176,25 @@ def test_substring_dedup_where_contexts_differ(spark):
     assert sum(w[1] > 0 for w in want.values()) > 40
 
 
+def test_substring_dedup_of_windows_over_two_matches(spark):
+    """Passages shorter than a window are chained: a window that two matches cover together still starts first where it stands."""
+    rng = random.Random(0)
+    vocab = [f"w{i}" for i in range(500)]
+    pool = [[rng.choice(vocab) for _ in range(rng.randint(6, 14))] for _ in range(6)]
+    made = [sum((rng.choice(pool) for _ in range(rng.randint(1, 6))), [])[rng.randint(0, 8) :] for _ in range(300)]
+    seen, want = set(), {}
+    for i, w in enumerate(made):
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            key = tuple(w[s : s + 20])
+            if key in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(key)
+        want[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()} == want
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
