@@ -237,7 +237,7 @@ def _repeated(ids: np.ndarray, at: np.ndarray, k1: np.ndarray, k2: np.ndarray) -
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, doc_id, text, links, blocks) -> rid, doc_id, n_words, n_removed, kept_sha256, spans, and
-    where windows are left over, these (starts and keys) and the text."""
+    where windows are left over, these (starts and keys), and the text if any word of these is kept so far."""
     for whole in batches:
         for b, words in _chunks(whole, 2):
             found = Anchors(words)
@@ -249,7 +249,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "spans", "at", "k1", "k2", "rest")}
             for i, here in enumerate(rids):
                 own, (la, lz) = words.list(i), own_links[i : i + 2]
-                gone, at, k1, k2 = np.zeros(len(own), bool), [], [], []
+                gone, at, k1, k2, open_ = np.zeros(len(own), bool), [], [], [], False
                 if len(own) >= LENGTH:
                     pick, links, new = _pairs(found, i, here, pos[la:lz], e[la:lz], epos[la:lz])
                     if len(links[0]):
@@ -271,8 +271,10 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             for s in rest[again].tolist():
                                 gone[s : s + LENGTH] = True
                             at, k1, k2 = rest[once].tolist(), a[once].tolist(), c[once].tolist()
+                            before = np.cumsum(np.append(0, gone))
+                            open_ = bool((before[rest[once] + LENGTH] - before[rest[once]] < LENGTH).any())
                 out["n_words"].append(len(own)), out["n_removed"].append(int(gone.sum())), out["spans"].append(_spans(gone))
-                out["kept_sha256"].append(None if at else _sha(own, gone)), out["rest"].append(b.column(2)[i].as_py() if at else None)
+                out["kept_sha256"].append(None if open_ else _sha(own, gone)), out["rest"].append(b.column(2)[i].as_py() if open_ else None)
                 out["at"].append(at), out["k1"].append(k1), out["k2"].append(k2)
             kinds = [pa.int64(), pa.int64(), pa.string(), PA_SPANS, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], ["rid", "doc_id", *out])
@@ -334,7 +336,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     for used in (base, links, near):
         scratch.free(used)
 
-    left = done.filter("rest is not null").select("rid", F.explode(F.arrays_zip("at", "k1", "k2")).alias("x")).select("rid", "x.at", "x.k1", "x.k2")
+    left = done.select("rid", F.explode(F.arrays_zip("at", "k1", "k2")).alias("x")).select("rid", "x.at", "x.k1", "x.k2")
     again = scratch.save(left.groupBy("k1", "k2").agg(F.min("rid").alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "again")
     later = left.join(again.hint("merge"), ["k1", "k2"]).filter("rid <> e").groupBy("rid").agg(F.collect_list("at").alias("later"))
     cut = done.filter("rest is not null").join(later.hint("merge"), "rid", "left").select("doc_id", F.col("rest").alias("text"), "spans", "later")
