@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .text import json_part, lenient_json
-from .values import trim_ws
+from .values import let, trim_ws
 
 # Fixed values that results depend on: floor, ceiling, value without one, and defaults by profile.
 PREDICT = {"extract": (1024, None, 4096), "classify": (256, None, 256), "optimize": (256, 768, 512)}
@@ -23,13 +23,13 @@ def part(v: Column, path: str) -> Column:
 
 def kind(v: Column) -> Column:
     """object, array, number, string, boolean or void; null for what is not there."""
-    name = F.schema_of_variant(v)
-    return (
+    named = lambda name: (
         F.when(name.startswith("OBJECT"), "object")
         .when(name.startswith("ARRAY"), "array")
         .when(name.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "number")
         .otherwise(F.lower(name))
     )
+    return let(F.schema_of_variant(v), named)
 
 
 def is_kind(v: Column, path: str, want: str) -> Column:
@@ -80,16 +80,18 @@ def request_options(body: Column, profile: str) -> Column:
 
 def complete_reply(text: Column, profile: str) -> Column:
     """Whether a streamed reply already holds the whole JSON object that the profile asks for."""
-    found = json_part(trim_ws(text))
-    v = F.try_parse_json(found)
-    there = part(v, "$.is_target").isNotNull()
-    string = lambda p: is_kind(v, p, "string")
-    ok = {
-        "extract": there | is_kind(v, "$.invoices", "array"),
-        "classify": there & is_kind(v, "$.confidence", "number"),
-        "optimize": is_kind(v, "$.classification_hints", "array") | string("$.classification_system_prompt") | (string("$.system_prompt") & string("$.user_prompt")),
-    }[profile]
-    return F.coalesce(F.startswith(found, F.lit("{")) & v.isNotNull() & ok, F.lit(False))
+
+    def ok(v: Column) -> Column:
+        there = part(v, "$.is_target").isNotNull()
+        string = lambda p: is_kind(v, p, "string")
+        return v.isNotNull() & {
+            "extract": lambda: there | is_kind(v, "$.invoices", "array"),
+            "classify": lambda: there & is_kind(v, "$.confidence", "number"),
+            "optimize": lambda: is_kind(v, "$.classification_hints", "array") | string("$.classification_system_prompt") | (string("$.system_prompt") & string("$.user_prompt")),
+        }[profile]()
+
+    whole = lambda found: F.when(F.startswith(found, F.lit("{")), let(F.try_parse_json(found), ok))
+    return F.coalesce(let(json_part(trim_ws(text)), whole), F.lit(False))
 
 
 def ocr_results(text: Column) -> Column:

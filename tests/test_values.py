@@ -1,5 +1,9 @@
 """The tolerant equality table and the parsers, value by value."""
 
+import datetime
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +38,36 @@ def test_field_equal(spark):
 )
 def test_one_value(spark, make, value, want):
     assert spark.createDataFrame([(value,)], "x string").select(make(F.col("x"))).first()[0] == want
+
+
+def test_normal_text_and_dates_by_plain_rules(spark):
+    """Blanks of all kinds, visible ASCII kept as it is, and every day number of each month."""
+    def norm(x):
+        for c in "－—–─":
+            x = x.replace(c, "-")
+        x = "".join(" " if c in v.BLANKS else c for c in x.replace("，", ","))
+        return re.sub(" +", " ", re.sub(" *([-/]) *", r"\1", x)).strip(" ")
+
+    rng = random.Random(3)
+    made = ["".join(rng.choice("aZ0,./- \t\n\x0b\x85\xa0\u2003\u3000\ufeff－—，年é") for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["INV-001", "part/1"]
+    got = spark.createDataFrame([(x,) for x in made], "x string").select("x", v.norm_text(F.col("x")).alias("n")).collect()
+    assert [r.n for r in got] == [norm(x) for x in made]
+    days = [(y, m, d) for y in (99, 100, 1900, 1999, 2000, 2024) for m in range(14) for d in range(33)]
+    dates = spark.createDataFrame(days, "y int, m int, d int").select("y", "m", "d", v.iso_date(F.col("y"), F.col("m"), F.col("d")).alias("iso")).collect()
+
+    def iso(y, m, d):
+        try:
+            return datetime.date(y, m, d).isoformat() if y >= 100 else None
+        except ValueError:
+            return None
+
+    assert [r.iso for r in dates] == [iso(*x) for x in days]
+
+
+def test_a_reply_is_parsed_once_a_profile(spark):
+    """A reply was parsed again for each member that the profile asks for."""
+    from ledgerlens.functions.requests import complete_reply
+
+    out = spark.range(1).select(*[complete_reply(F.col("id").cast("string"), p).alias(p) for p in ("extract", "classify", "optimize")])
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("parse_json") <= 3
