@@ -64,3 +64,14 @@ def test_amount_columns_by_key(spark):
     made = [("t", "header", k, f"h{k}", key, "x") for k, key in enumerate(["invoice_no", "grand_total"])] + [("t", "sublist", k, f"c{k}", key, "x") for k, key in enumerate(["fee", "name", "amount"])]
     out = amount_fields(spark.createDataFrame(made, "template_id string, scope string, pos int, field_id string, field_key string, label string"))
     assert {(r.scope, r.field_id) for r in out.collect()} == {("header", "h1"), ("sublist", "c2")}
+
+
+def test_queries_of_pairs_and_headers_carry_no_rows(spark):
+    """Pairs read the documents' own table only; reports of headers take no sublist from the written sides."""
+    from ledgerlens.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    scans = lambda name: [x for x in catalogue.QUERIES[name](spark, d)._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan" in x]
+    pairs, headers = scans("q09_pair_docs"), scans("q12_align_invoices")
+    assert pairs and not [x for x in pairs if "l_orderkey" in x or "o_orderkey" in x or "header" in x or "template_id" in x]
+    assert headers and not [x for x in headers if "sublist#" in x]
