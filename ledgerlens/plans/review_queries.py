@@ -234,14 +234,14 @@ def q70_edits(spark: SparkSession, d: str) -> DataFrame:
     WHEN n_chars > 9000 THEN 'too_large' WHEN n_chars % 5 = 0 THEN 'type' END AS problem FROM documents LEFT JOIN labels USING (doc_id)"""
 )
 def q71_example_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled documents as examples: their source is the layout, their text the answer; a size of 3 kB a character."""
+    """Labelled documents as examples: their source is the layout, their text the answer; a size of 2912.5 bytes a character, so that 9000 of them are just within 25 MB."""
     rows = b.read(spark, d, "documents").join(b.read(spark, d, "labels"), "doc_id", "left")
     layout = F.when(F.col("source") == "src7", "src 7").otherwise(F.col("source"))
     category = F.when(F.col("toxic") == 1, "target").when(F.col("toxic") == 0, "non_target")
     text = F.to_json(F.struct("text"))
     answer = F.when((F.col("quality") == 0) & (F.col("n_chars") % 2 == 0), F.substring(text, F.lit(1), F.length(text) - 1)).when(F.col("quality") == 0, F.concat(F.lit("["), text, F.lit("]"))).when((F.col("toxic") == 1) & (F.col("n_chars") % 3 == 0), "{}").otherwise(text)
     name = F.when(F.col("n_chars") % 5 == 0, "a.txt").otherwise("a.PDF")
-    return rows.select("doc_id", ed.example_problem(layout, category, name, answer, F.col("text").cast("binary"), F.col("n_chars") * 2913).alias("problem"))
+    return rows.select("doc_id", ed.example_problem(layout, category, name, answer, F.col("text").cast("binary"), (F.col("n_chars") * 5825 / 2).cast("long")).alias("problem"))
 
 
 @query(

@@ -140,3 +140,13 @@ def test_optimiser_replies_and_template_text(spark):
     assert shown == {"t": {"id": "t", "headerFields": [{"key": "a", "label": 'A"'}, {"key": "b", "label": "B"}], "sublistColumns": []}, "u": {"id": "u", "headerFields": [], "sublistColumns": [{"key": "c", "label": "C"}]}}
     text = {x["template_id"]: x["prompt"] for x in pr.page_prompts(made).collect()}
     assert '- a：A"\n- b：B' in text["t"] and "sublist，一行" not in text["t"] and "- c：C" in text["u"]
+
+
+def test_example_sizes_at_their_limit(spark, tmp_path):
+    """q71: of 9000 characters an example is taken, of 9001 it is too large, as its SQL has it."""
+    from ledgerlens.plans import catalogue
+
+    spark.createDataFrame([(i, "x", "en", "src1", n) for i, n in enumerate((8999, 9000, 9001, 9004))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.problem for r in catalogue.QUERIES["q71_example_checks"](spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: "type", 2: "too_large", 3: "too_large"}
