@@ -7,11 +7,10 @@ nearest to a tie, which is where edits flip bits). Votes of few shingles are too
 sets of up to SMALL / similarity shingles also give the prefix of their sorted hashes that two
 similar sets must share. Documents that share a key are compared by all bits, with a limit loose
 enough for chance; each edge that is left is confirmed by the true Jaccard similarity. First each
-document is confirmed against the smallest doc_id of its keys, so that most of a group is one part
-already; what follows only seeks edges between parts that are not linked yet. A key
-shared by very many is compared in bounded blocks; each block gives back only edges that link its
-parts, the closest first, not all pairs. The smallest doc_id of a block is its root and blocks
-halve by one hash, so the blocks of a group's many shared keys mostly give the same edges.
+document is confirmed against those that come first in its keys, so that most of a group is one part
+already; what follows only seeks edges between parts that are not linked yet. Keys of a few members
+give their pairs, others are compared in bounded blocks, and every pair in reach is confirmed: one by
+one, or within the block, which then brings its sets of shingles, where a block has very many.
 """
 
 from __future__ import annotations
@@ -29,18 +28,19 @@ from .components import components, contract
 from .simhash import LOWER
 
 BITS, SEGMENTS, FLIPS, BLOCK, SMALL = 1024, 32, 7, 512, 64
-SPARE = 3  # borderline edges of a block's member besides those that link
+TINY = 6  # members up to which a key gives its pairs
+ORDERS = 4  # in which keys name their first member
+FEW = 6  # pairs for each member of a block, up to which they are confirmed one by one
 WORDS = BITS // 64
 with np.errstate(over="ignore"):
     MIX = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def limits(similarity: float) -> tuple[int, int]:
-    """Differing bits up to which sets are surely that similar, and beyond which they surely are
-    not, by 3.3 deviations. Sets of few shingles differ in up to a quarter more bits."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    wide = 1.25 * p
-    return math.floor(BITS * p - 3.3 * math.sqrt(BITS * p * (1 - p))), math.ceil(BITS * wide + 3.3 * math.sqrt(BITS * wide * (1 - wide)))
+def limit(similarity: float) -> int:
+    """Differing bits beyond which sets surely are not that similar, by 3.3 deviations. Sets of few
+    shingles differ in up to a quarter more bits."""
+    wide = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(BITS * wide + 3.3 * math.sqrt(BITS * wide * (1 - wide)))
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -68,7 +68,7 @@ def wide_fingerprint(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _prints(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, weak, prefix = [], [], []
+            fps, weak, prefix, parity, size = [], [], [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py(), shingle)
                 n = len(h)
@@ -77,7 +77,10 @@ def _prints(shingle: int, similarity: float):
                 weak.append(np.argsort(sure.reshape(SEGMENTS, 32), axis=1, kind="stable")[:, :FLIPS].astype(np.uint8).tobytes() if n >= SMALL else b"")
                 first = n - math.ceil(similarity * n - 1e-9) + 1
                 prefix.append(h[:first].tobytes() if 0 < n <= SMALL / similarity + 1 else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.binary()) for x in (fps, weak, prefix)]], ["doc_id", "fp", "weak", "prefix"])
+                parity.append(np.packbits(np.bincount((h % np.uint64(BITS)).view(np.int64), minlength=BITS) & 1, bitorder="little").tobytes())
+                size.append(n)
+            made = [pa.array(x, pa.binary()) for x in (fps, weak, prefix, parity)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made, pa.array(size, pa.int64())], ["doc_id", "fp", "weak", "prefix", "parity", "n"])
 
     return run
 
@@ -99,92 +102,113 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([keys, small]).view(np.int64))], ["doc_id", "key"])
 
 
-def _link(ids: np.ndarray, f: np.ndarray, label: np.ndarray, clear: int, loose: int) -> list[tuple[int, int]]:
-    """Edges of one block between members whose labels differ; equal labels are linked already. They
-    link what is clearly similar, and between such parts the closest loose ones follow, which link too,
-    and up to SPARE more for each member, as some of these will not be confirmed."""
-    left, part, edges, parts = np.arange(len(ids)), np.zeros(len(ids), np.int64), [], 0
-    while len(left):
-        same = label[left] == label[left[0]]
-        front, left = left[same], left[~same]
-        part[front] = parts
-        while len(front) and len(left):
-            best, who = np.full(len(left), BITS + 1), np.zeros(len(left), np.int64)
-            for at in range(0, len(front), 64):
-                d = np.bitwise_count(f[front[at : at + 64]][:, None, :] ^ f[left][None, :, :]).sum(2, dtype=np.int64)
-                k = d.argmin(0)
-                near = d[k, np.arange(len(left))]
-                who, best = np.where(near < best, front[at + k], who), np.minimum(near, best)
-            hit = np.flatnonzero(best <= clear)
-            seen: dict[int, int] = {}
-            for h in hit[np.argsort(best[hit], kind="stable")].tolist():
-                x = int(label[left[h]])
-                seen[x] = seen.get(x, 0) + 1
-                if seen[x] <= 1 + SPARE:
-                    edges.append((int(ids[who[h]]), int(ids[left[h]])))
-            reached = np.isin(label[left], list(seen))
-            front, left = left[reached], left[~reached]
-            part[front] = parts
-        parts += 1
-    if parts == 1:
-        return edges
-    rest = np.flatnonzero(part != np.bincount(part).argmax())
-    d = np.stack([np.bitwise_count(f ^ f[x]).sum(1, dtype=np.int64) for x in rest])
-    alone = np.ones(len(ids), bool)
-    alone[rest] = False
-    once = alone[None, :] | (np.arange(len(ids))[None, :] > rest[:, None])
-    a, b = np.nonzero((d <= loose) & (part[rest][:, None] != part[None, :]) & once)
-    far = d[a, b]
-    a = rest[a]
-    up, spare = list(range(parts)), [0] * len(ids)
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    order = np.argsort(far, kind="stable")
-    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
-        x, y = top(part[i]), top(part[j])
-        if x != y or max(spare[i], spare[j]) < SPARE:
-            up[x] = y
-            spare[i], spare[j] = spare[i] + 1, spare[j] + 1
-            edges.append((int(ids[i]), int(ids[j])))
-    return edges
-
-
-def _blocks(clear: int, loose: int):
+def _can(parity: np.ndarray, total: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes in all can be that similar by the parities that differ. A shingle that only one of two sets
+    holds changes one parity, so the sets share at most half of what is left of their sizes; this loses nothing."""
+    both = (total - np.bitwise_count(parity).sum(1, dtype=np.int64)) // 2
+    return both >= similarity * (total - both) - 1e-9
+
+
+def _pairs(loose: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep: list[np.ndarray] | None = None
         for b in batches:
-            cols = [b.column(j).to_numpy() for j in range(5)]  # key, one, two, doc_id, label
-            cols.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(-1, WORDS))
-            if keep is not None:
-                cols = [np.concatenate(x) for x in zip(keep, cols, strict=True)]
-            turn = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
-            last = turn[-1] if len(turn) else 0
-            yield _edges([c[:last] for c in cols], turn[:-1] if len(turn) else turn, clear, loose)
-            keep = [c[last:] for c in cols]
-        if keep is not None:
-            yield _edges(keep, np.zeros(0, np.int64), clear, loose)
+            na, nb = (b.column(j).to_numpy() for j in (2, 3))
+            fa, fb, x, y = (np.frombuffer(b"".join(b.column(j).to_pylist()), np.uint64).reshape(-1, WORDS) for j in range(4, 8))
+            can = (np.bitwise_count(fa ^ fb).sum(1, dtype=np.int64) <= loose) & _can(x ^ y, na + nb, similarity)
+            yield b.select([0, 1]).filter(pa.array(can))
+
+    return run
+
+
+def _near(f: np.ndarray, parity: np.ndarray, n: np.ndarray, label: np.ndarray, loose: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a block's members with different labels that can be that similar: few bits differ, and so do few parities."""
+    found = []
+    for at in range(0, len(f), 64):
+        d = np.bitwise_count(f[at : at + 64, None, :] ^ f[None, :, :]).sum(2, dtype=np.int64)
+        i, j = np.nonzero((d <= loose) & (label[at : at + 64, None] != label[None, :]))
+        i += at
+        i, j = i[i < j], j[i < j]
+        can = _can(parity[i] ^ parity[j], n[i] + n[j], similarity)
+        found.append((i[can], j[can]))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Rows sorted by their first three columns as batches of whole groups, with the places where groups begin and the end."""
+    keep = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if keep is None else pa.Table.from_batches([keep, b]).combine_chunks().to_batches()[0]
+        keys = [b.column(j).to_numpy() for j in range(3)]
+        turn = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        last = int(turn[-1]) if len(turn) else 0
+        if last:
+            yield b.slice(0, last), [0, *turn.tolist()]
+        keep = b.slice(last)
+    if keep is not None:
+        yield keep, [0, keep.num_rows]
+
+
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    """doc_id, label, n, fingerprints and parities of a batch of blocks."""
+    words = [np.frombuffer(b"".join(b.column(j).to_pylist()), np.uint64).reshape(-1, WORDS) for j in (6, 7)]
+    return [b.column(j).to_numpy() for j in (3, 4, 5)] + words
+
+
+def _blocks(loose: int, similarity: float):
+    """Pairs (a, b) to confirm, all of a block's; a block that has more than FEW for each member is named by its key instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, bounds in _groups(batches):
+            ids, label, n, f, parity = _columns(b)
+            pairs, dense = [], []
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                i, j = _near(f[s:e], parity[s:e], n[s:e], label[s:e], loose, similarity)
+                if len(i) > FEW * (e - s):
+                    dense.append(s)
+                else:
+                    pairs.append(np.stack([ids[s:e][i], ids[s:e][j]], 1))
+            pairs = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
+            k, none = len(dense), pa.nulls(len(pairs), pa.int64())
+            ends = [pa.concat_arrays([pa.array(x), pa.nulls(k, pa.int64())]) for x in (pairs.min(1, initial=1 << 62), pairs.max(1, initial=-1))]
+            named = [pa.concat_arrays([none.cast(b.column(c).type), b.column(c).take(pa.array(dense, pa.int64()))]) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*ends, *named], ["a", "b", "key", "one", "two"])
 
     return run
 
 
-def _edges(cols: list[np.ndarray], turn: np.ndarray, clear: int, loose: int) -> pa.RecordBatch:
-    starts, ends = np.concatenate([[0], turn]).astype(np.int64), np.concatenate([turn, [len(cols[0])]]).astype(np.int64)
-    ids, label, f = cols[3], cols[4], cols[5]
-    if len(ids):
-        open_ = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        starts, ends = starts[open_], ends[open_]
-    two = starts[ends - starts == 2]
-    two = two[np.bitwise_count(f[two] ^ f[two + 1]).sum(1, dtype=np.int64) <= loose]
-    found = set(zip(ids[two].tolist(), ids[two + 1].tolist(), strict=True))
-    more = ends - starts > 2
-    for s, e in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
-        found.update(_link(ids[s:e], f[s:e], label[s:e], clear, loose))
-    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
+def _dense(loose: int, similarity: float):
+    """Edges of blocks with many pairs, whose rows bring their sets of shingles: each pair is confirmed here by the true
+    similarity, unless edges link the two already. So no more edges than members come out, and none that links is missed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, bounds in _groups(batches):
+            ids, label, n, f, parity = _columns(b)
+            sets, edges = b.column(8), []
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                own = [sets[k].values.to_numpy() for k in range(s, e)]
+                up: dict[int, int] = {}
+
+                def top(x: int, up=up) -> int:
+                    while up.setdefault(x, x) != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                i, j = _near(f[s:e], parity[s:e], n[s:e], label[s:e], loose, similarity)
+                order = np.argsort(np.bitwise_count(f[s:e][i] ^ f[s:e][j]).sum(1, dtype=np.int64), kind="stable")
+                parts = label[s:e].tolist()
+                for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    left, right = top(parts[x]), top(parts[y])
+                    if left != right:
+                        both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                        if both >= similarity * (len(own[x]) + len(own[y]) - both) - 1e-9:
+                            up[left] = right
+                            edges.append((int(ids[s + x]), int(ids[s + y])))
+            pairs = np.array(sorted(set(edges)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1, initial=1 << 62)), pa.array(pairs.max(1, initial=-1))], ["a", "b"])
+
+    return run
 
 
 def _sets(shingle: int):
@@ -218,36 +242,63 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     spark = docs.sparkSession
     scratch = Scratch(spark, "simwide")
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = scratch.save(rows.mapInArrow(_prints(shingle, similarity), "doc_id long, fp binary, weak binary, prefix binary"), "prints")
+    prints = scratch.save(rows.mapInArrow(_prints(shingle, similarity), "doc_id long, fp binary, weak binary, prefix binary, parity binary, n long"), "prints")
     same = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")), "same")
     alike = prints.join(same.filter("c > 1").hint("merge"), "fp").select("a", F.col("doc_id").alias("b")).filter("a <> b")
     ones = scratch.save(prints.join(same.select(F.col("a").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ones")
-    probes = ones.mapInArrow(_keys, "doc_id long, key long")
+    probes = ones.select("doc_id", "fp", "weak", "prefix").mapInArrow(_keys, "doc_id long, key long")
     shared = scratch.save(probes.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("least")).filter("count > 1"), "shared")
     hits = scratch.save(probes.join(shared.hint("merge"), "key"), "hits")
-    stars = hits.groupBy("doc_id").agg(F.array(F.mode("least", True), F.min("least"), F.max("least")).alias("x")).select(F.explode("x").alias("a"), F.col("doc_id").alias("b"))
+    # Whom a document meets most often, as the member that comes first in its keys by one order or another, is close to it.
+    first = lambda k: F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias(f"first{k}")
+    firsts = hits.groupBy("key").agg(*map(first, range(ORDERS)))
+    met = hits.join(firsts.hint("merge"), "key").groupBy("doc_id").agg(F.array(F.mode("least", True), F.min("least"), F.max("least"), *[F.mode(f"first{k}", True) for k in range(ORDERS)]).alias("x"))
+    stars = met.select(F.explode("x").alias("a"), F.col("doc_id").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     sure = confirmed(scratch.save(stars.filter("a <> b").union(alike).distinct(), "stars"), rows, similarity, shingle, scratch)
     sure = contract(sure, scratch)
-    known = ones.select("doc_id", "fp", F.col("doc_id").alias("label"))
+    roots = spark.createDataFrame([], "doc_id long, root long")
     if not sure.isEmpty():
         roots = components(sure, scratch).select(F.col("node").alias("doc_id"), "root")
-        known = scratch.save(ones.join(roots.hint("merge"), "doc_id", "left").select("doc_id", "fp", F.coalesce("root", "doc_id").alias("label")), "known")
-    dealt = scratch.save(hits.join(known.select("doc_id", "label").hint("merge"), "doc_id").select("key", "count", "doc_id", "label"), "dealt")
+    label = F.coalesce("root", "doc_id").alias("label")
+    known = scratch.save(ones.join(roots.hint("merge"), "doc_id", "left").select("doc_id", "fp", "parity", "n", label), "known")
+    dealt = scratch.save(hits.join(roots.hint("merge"), "doc_id", "left").select("key", "count", "doc_id", label), "dealt")
     scratch.free(hits)
-    parts = dealt.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("main")).filter("low < high")
-    # Keys whose members are one part already have no edge to give. In others the largest part is not compared with itself.
-    odd = dealt.join(parts.select("key", "main").hint("merge"), "key").withColumn("odd", F.col("label") != F.col("main"))
-    chunks = F.when(F.col("count") > BLOCK, F.pow(F.lit(2), F.ceil(F.log2(F.col("count") / (BLOCK // 2))))).otherwise(1).cast("int")
-    dealt = odd.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    homes = scratch.save(dealt.filter("odd and chunks > 1").select("key", "mine").distinct().groupBy("key").agg(F.collect_set("mine").alias("odd_chunks")), "odd")
-    dealt = dealt.join(homes.hint("merge"), "key", "left")
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).when(F.array_contains("odd_chunks", F.col("mine")), every).otherwise(F.col("odd_chunks"))
+    mark = lambda k: F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"mark{k}")
+    tiny = F.sort_array(F.collect_list(F.when(F.col("count") <= TINY, F.struct("doc_id", "label")))).alias("tiny")
+    parts = dealt.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label", True).alias("main"), F.count(F.lit(1)).alias("c"), mark(0), mark(1), tiny)
+    # Keys whose members are one part already have no edge to give, and of keys with the same members one is enough.
+    # Keys of a few members give their pairs, each once. In others the largest part is not compared with itself.
+    parts = scratch.save(parts.filter("low < high").groupBy("c", "mark0", "mark1", "main").agg(F.min("key").alias("key"), F.first("tiny").alias("tiny")), "parts")
+    after = lambda x, i: F.transform(F.filter(F.slice("tiny", i + 2, TINY), lambda y: y["label"] != x["label"]), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))
+    pairs = parts.filter(F.size("tiny") > 0).select(F.inline(F.flatten(F.transform("tiny", after)))).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "fp", "parity")]).hint("merge"), end)
+    loose = limit(similarity)
+    alone = pairs.select("a", "b", "n_a", "n_b", "fp_a", "fp_b", "parity_a", "parity_b").mapInArrow(_pairs(loose, similarity), "a long, b long")
+    open_ = dealt.join(parts.filter(F.size("tiny") == 0).select("key", "main").hint("merge"), "key").withColumn("odd", F.col("label") != F.col("main"))
+    open_ = scratch.save(open_.select("key", "count", "doc_id", "label", "odd"), "open")
+    scratch.free(dealt)
+    small = open_.filter(F.col("count") <= BLOCK).select("key", F.lit(0).alias("one"), F.lit(0).alias("two"), "doc_id", "label")
+    chunks = F.pow(F.lit(2), F.ceil(F.log2(F.col("count") / (BLOCK // 2)))).cast("int")
+    large = open_.filter(F.col("count") > BLOCK).withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    homes = scratch.save(large.filter("odd").groupBy("key").agg(F.collect_set("mine").alias("odd_chunks")), "odd")
+    others = F.when(F.array_contains("odd_chunks", F.col("mine")), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.col("odd_chunks"))
     pair = F.transform(others, lambda o: F.struct(F.least("mine", o).alias("one"), F.greatest("mine", o).alias("two")))
+    large = large.join(homes.hint("merge"), "key").select("key", F.explode(pair).alias("x"), "doc_id", "label").select("key", "x.one", "x.two", "doc_id", "label")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = dealt.select("key", F.explode(pair).alias("x"), "doc_id", "label").join(known.select("doc_id", "fp").hint("merge"), "doc_id").select("key", "x.one", "x.two", "doc_id", "label", "fp")
-    blocks = blocks.repartition(n, "key", "one", "two").sortWithinPartitions("key", "one", "two", "doc_id")
-    links = scratch.save(blocks.mapInArrow(_blocks(*limits(similarity)), "a long, b long").distinct(), "links")
+    whole = small.union(large).join(known.select("doc_id", "n", "fp", "parity").hint("merge"), "doc_id")
+    whole = scratch.save(whole.select("key", "one", "two", "doc_id", "label", "n", "fp", "parity"), "blocks")
+    block = ["key", "one", "two"]
+    sort = lambda df: df.repartition(n, *block).sortWithinPartitions(*block, "doc_id")
+    found = scratch.save(sort(whole).mapInArrow(_blocks(loose, similarity), "a long, b long, key long, one int, two int"), "found")
+    links = scratch.save(found.filter("a is not null").select("a", "b").union(alone).distinct(), "links")
+    dense = found.filter("a is null").select(*block)
+    if not dense.isEmpty():
+        many = scratch.save(whole.join(dense.hint("merge"), block), "dense")
+        texts = rows.join(many.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = scratch.save(texts.mapInArrow(_sets(shingle), "doc_id long, hashes array<long>"), "sets")
+        held = many.join(sets.hint("merge"), "doc_id").select(*block, "doc_id", "label", "n", "fp", "parity", "hashes")
+        sure = sure.union(scratch.save(sort(held).mapInArrow(_dense(loose, similarity), "a long, b long"), "dense_edges"))
     edges = contract(confirmed(links, rows, similarity, shingle, scratch).union(sure), scratch)
     if edges.isEmpty():
         return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))

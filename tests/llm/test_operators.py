@@ -518,3 +518,19 @@ def test_null_ids_and_repeats(spark):
         assert out.count() == 5
     assert fingerprint.fingerprints_with_edit(df).count() == 5
     assert mixing.mix(df, df.select("text", F.lit("en").alias("domain")), {"en": 1.0}).count() == 3
+
+
+def test_near_dedup_confirms_every_pair_that_keys_bring_together(spark):
+    """Of 500 texts with the same 256 words and a tail each, all pairs are near 0.8; 60 pairs of them pass it, which a limit
+    on the pairs that a text may try loses among the others."""
+    rng = random.Random(8)
+    core = [f"c{rng.randrange(10**9)}" for _ in range(256)]
+    tails = [[f"t{k}_{j}" for j in range(35)] for k in range(500)]
+    for k in range(0, 120, 2):
+        tails[k + 1][:5] = tails[k][:5]
+    order = rng.sample(range(500), 500)
+    made = [(order[k], " ".join(core + tail)) for k, tail in enumerate(tails)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_wide.similar_groups(docs).collect()}
+    pairs = [(order[k], order[k + 1]) for k in range(0, 120, 2)]
+    assert got == {x: min(p) for p in pairs for x in p}
