@@ -45,6 +45,15 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 23, rows: int =
         at = stop
 
 
+def joined(parts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts lie one after the other in an array, with these sizes. (Those named by which in that order, where each of them ends)."""
+    long = sizes[which]
+    ends = np.cumsum(long, dtype=np.int64)
+    at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[which] - ends + long).astype(np.int32), long)
+    at += np.arange(len(at), dtype=np.int32)
+    return parts[at], ends
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; free() deletes one that is used up."""
 
@@ -88,8 +97,11 @@ class Recent:
 
     def many(self, keys: list) -> list:
         """What get() gives for each of the keys."""
-        got = list(map(self.young.get, keys))
-        return [self.get(k) if g is None else g for k, g in zip(keys, got, strict=True)]
+        got, old = list(map(self.young.get, keys)), self.old
+        for i, k in enumerate(keys):
+            if got[i] is None and k in old:
+                got[i] = self.get(k)
+        return got
 
     def put(self, key, value) -> None:
         if len(self.young) >= self.size:

@@ -7,8 +7,8 @@ in an agenda ordered by score, then place; a candidate that comes up is skipped,
 of its own at the dropout rate. The draws of a unit are the bits of one number, a bit for each
 candidate in the order in which they come up; the numbers are hashes keyed by seed, document and
 the copy's turn, and the unit's place in the text. So every occurrence is varied by itself and stays
-reproducible. What is remembered is free of seeds: the ids of a unit without skips, and its ids by
-the bits that its agenda can use. With dropout 0 the ids are those of the library.
+reproducible. What is remembered is free of seeds: the ids of a unit without skips. With dropout 0 the
+ids are those of the library.
 
 Short units that are new in a batch go through their agendas side by side, one candidate of each
 unit a step, in arrays with a row for each unit; long or unusual ones take the agenda alone.
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .common import Recent, slices
+from .common import Recent, joined, slices
 
 SPACE = "▁"
-CACHE = 100_000
+CACHE = 200_000
 LETTER, OTHER = "[^\\W\\d_²³¹]", f"(?:[\\W\\d_²³¹](?<!{SPACE}))"
 #: Runs of letters and of others apart, and whole words for models whose pieces mix them.
 APART = re.compile(f"{SPACE}*{LETTER}+|{SPACE}*{OTHER}+|{SPACE}+")
@@ -101,6 +101,8 @@ class Pieces:
         self.scores = {sp.id_to_piece(i): -sp.get_score(i) for i in plain}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        by_id = [self.text.get(i, b"") for i in range(n)]
+        self.raw, self.raw_sizes = np.frombuffer(b"".join(by_id), np.uint8), np.fromiter(map(len, by_id), np.int64, n)
         self.units = WHOLE if any(map(MIXED.search, self.ids)) else APART
         self.limit, self.seed = min(round(dropout * (1 << DRAW_BITS)), (1 << DRAW_BITS) - 1), seed
         self.pairs, self.pair_scores, self.pair_ids = self._pairs()
@@ -108,7 +110,7 @@ class Pieces:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.chars[ord(piece)] = i
-        self.plain, self.varied = Recent(CACHE), Recent(CACHE)
+        self.plain = Recent(CACHE)
 
     def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted codes of all pairs of pieces that merge, with the score and id of what they give."""
@@ -155,22 +157,26 @@ class Pieces:
         kept = ends > 0
         return sym[kept].astype("<u4"), kept.sum(1), drawn
 
-    def _new(self, units: dict[tuple[str, int], tuple[bytes, int] | None]) -> None:
-        """Fills in (ids, how many draws were used) of all (unit, draws)."""
-        by_length: dict[int, list[tuple[str, int]]] = {}
-        for key in units:
-            by_length.setdefault(len(key[0]), []).append(key)
-        for n, same in by_length.items():
-            if n > SHORT or len(same) < 8:
-                units.update((key, self._alone(*key)) for key in same)
-                continue
-            sym = self.chars[np.frombuffer("".join([u for u, _ in same]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)]
-            plain = (sym >= 0).all(1)
-            units.update((same[k], self._alone(*same[k])) for k in np.flatnonzero(~plain).tolist())
-            same = [same[k] for k in np.flatnonzero(plain).tolist()]
-            flat, sizes, drawn = self._side_by_side(sym[plain], np.array([v for _, v in same], np.uint64))
-            raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
-            units.update((key, (raw[s:e], d)) for key, s, e, d in zip(same, [0, *ends[:-1]], ends, drawn.tolist(), strict=False))
+    def _new(self, units: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids in order, how many each unit has, how many draws it used) of units with their draws."""
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(length, kind="stable")
+        where, flat, sizes, drawn = [], [], [], []
+        for same in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            n, alone = int(length[same[0]]) if len(same) else 0, same
+            if n <= SHORT and len(same) >= 8:
+                sym = self.chars[np.frombuffer("".join([units[k] for k in same.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)]
+                plain = (sym >= 0).all(1)
+                made = self._side_by_side(sym[plain], skips[same[plain]])
+                for kept, x in zip((where, flat, sizes, drawn), (same[plain], *made), strict=True):
+                    kept.append(x)
+                alone = same[~plain]
+            made = [self._alone(units[k], int(skips[k])) for k in alone.tolist()]
+            where.append(alone), flat.append(np.frombuffer(b"".join([ids for ids, _ in made]), "<u4"))
+            sizes.append(np.array([len(ids) // 4 for ids, _ in made], np.int64)), drawn.append(np.array([d for _, d in made], np.int64))
+        back = np.argsort(np.concatenate(where))
+        sizes = np.concatenate(sizes)
+        return joined(np.concatenate(flat), sizes, back)[0], sizes[back], np.concatenate(drawn)[back]
 
     def segment(self, unit: str, skips: int) -> tuple[list[str], int]:
         """Symbols of one unit after the agenda is empty, and how many draws were used."""
@@ -251,10 +257,12 @@ class Pieces:
     def _plain(self, units: list[str]) -> list[tuple[bytes, int, int]]:
         """By unit: ids without skips, the draws that these need to be 0, and all that its agenda can use."""
         have = self.plain.many(units)
-        new: dict[tuple[str, int], tuple[bytes, int] | None] = {(u, 0): None for u, got in zip(units, have, strict=True) if got is None}
-        self._new(new)
-        made = {u: (ids, (1 << drawn) - 1, (1 << 3 * (len(u) - 1)) - 1) for (u, _), (ids, drawn) in new.items()}
-        for u, got in made.items():
+        new = [u for u, got in zip(units, have, strict=True) if got is None]
+        flat, sizes, drawn = self._new(new, np.zeros(len(new), np.uint64))
+        raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        made = {}
+        for u, s, e, d in zip(new, [0, *ends[:-1]], ends, drawn.tolist(), strict=False):
+            made[u] = got = (raw[s:e], (1 << d) - 1, (1 << 3 * (len(u) - 1)) - 1)
             self.plain.put(u, got)
         return [made[u] if got is None else got for u, got in zip(units, have, strict=True)]
 
@@ -286,13 +294,13 @@ class Pieces:
         """Ids of each text; turns tell copies of a document apart.
 
         A unit whose draws spare all that its agenda without skips uses has the ids without skips. The
-        ids of others are looked up, or made, once for each distinct unit and draws in the batch.
+        ids of others are made once for each distinct unit and draws in the batch.
         """
         turns = turns or [0] * len(texts)
         units, which, count = self._parted(["" if SPACE in t else t for t in texts])
         have = self._plain(units)
-        flat = [h[0] for h in have]
-        parts = list(map(flat.__getitem__, which.tolist()))
+        parts, use = [h[0] for h in have], which.astype(np.int64)  # ids of distinct units, and which of them stand where
+        flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ends = np.cumsum(count)
         if self.limit and len(which):
             keys = self._keys(docs, turns)
@@ -308,27 +316,29 @@ class Pieces:
             kind = np.empty(len(at), np.int64)
             kind[order] = np.cumsum(fresh) - 1
             head = order[fresh]
-            wanted = list(zip([units[k] for k in owner[head].tolist()], draws[head].tolist(), strict=True))
-            got = self.varied.many(wanted)
-            new: dict[tuple[str, int], tuple[bytes, int] | None] = {w: None for w, g in zip(wanted, got, strict=True) if g is None}
-            self._new(new)
-            for w, (ids, _) in new.items():
-                self.varied.put(w, ids)
-            got = [new[w][0] if g is None else g for w, g in zip(wanted, got, strict=True)]
-            for k, j in zip(at.tolist(), kind.tolist(), strict=True):
-                parts[k] = got[j]
+            varied, long, _ = self._new([units[k] for k in owner[head].tolist()], draws[head])
+            use[at] = len(sizes) + kind
+            flat, sizes, alone = np.concatenate([flat, varied]), np.concatenate([sizes, long]), []
             text_of = np.repeat(np.arange(len(texts)), count)
             for k in np.flatnonzero(~short).tolist():
                 i = int(text_of[k])
                 unit = units[which[k]]
-                parts[k] = self._unit(unit, self._long(unit, int(keys[i]), k - int(ends[i] - count[i])))
-        bounds = [0, *ends.tolist()]
-        raw = [b"".join(parts[a:z]) for a, z in zip(bounds, bounds[1:], strict=False)]
-        return [np.frombuffer(self._marked(t, d, n) if SPACE in t else r, "<u4") for t, d, n, r in zip(texts, docs, turns, raw, strict=True)]
+                use[k] = len(sizes) + len(alone)
+                alone.append(np.frombuffer(self._unit(unit, self._long(unit, int(keys[i]), k - int(ends[i] - count[i]))), "<u4"))
+            flat, sizes = np.concatenate([flat, *alone]), np.append(sizes, list(map(len, alone))).astype(np.int64)
+        flat, stops = joined(flat, sizes, use)
+        bounds = np.append(0, stops)[np.append(0, ends)].tolist()
+        return [np.frombuffer(self._marked(t, d, n), "<u4") if SPACE in t else flat[a:z] for t, d, n, a, z in zip(texts, docs, turns, bounds, bounds[1:], strict=False)]
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
         return self.encode_batch([text], [doc])[0]
 
+    def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of ids that decode() gives, of many documents at once."""
+        flat, ends = joined(self.raw, self.raw_sizes, np.concatenate([*ids, np.zeros(0, np.uint32)]))
+        bounds, data = np.append(0, ends)[np.append(0, np.cumsum(list(map(len, ids)), dtype=np.int64))].tolist(), flat.tobytes()
+        return [data[a + 1 : z].decode("utf-8", "surrogatepass") if z > a else "" for a, z in zip(bounds, bounds[1:], strict=False)]
+
     def decode(self, ids) -> str:
         text = self.text
         return b"".join(map(text.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:].decode("utf-8", "surrogatepass")
@@ -369,7 +379,7 @@ def encode_pieces(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
                 ids = pieces.encode_batch(b.column(at + 1).to_pylist(), [d or 0 for d in b.column(at).to_pylist()], b.column(width).to_pylist() if turns else None)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([pieces.decode(x) for x in ids], pa.string())], names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(pieces.decode_batch(ids), pa.string())], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -382,8 +392,8 @@ def piece_digests(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
         for b in (some for whole in batches for some in slices(whole, 1, HELD)):
             n, crc, sha, same = [], [], [], []
             texts = b.column(1).to_pylist()
-            for text, ids in zip(texts, pieces.encode_batch(texts, [d or 0 for d in b.column(0).to_pylist()]), strict=True):
-                back = pieces.decode(ids)
+            coded = pieces.encode_batch(texts, [d or 0 for d in b.column(0).to_pylist()])
+            for text, ids, back in zip(texts, coded, pieces.decode_batch(coded), strict=True):
                 n.append(len(ids)), crc.append(zlib.crc32(ids.tobytes())), sha.append(hashlib.sha256(back.encode()).hexdigest()), same.append(back == text)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"]

@@ -534,3 +534,26 @@ def test_near_dedup_confirms_every_pair_that_keys_bring_together(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash_wide.similar_groups(docs).collect()}
     pairs = [(order[k], order[k + 1]) for k in range(0, 120, 2)]
     assert got == {x: min(p) for p in pairs for x in p}
+
+
+def test_pieces_decoded_together_are_those_decoded_alone():
+    """Texts of one batch, with units that repeat, a literal mark and none at all, against the agenda of each unit alone."""
+    p = sentencepieces.Pieces(queries.tokenizer_file("piece_bpe_32k.model"), 0.3, 5)
+    texts = ["", "one two one two " * 40, "marks ▁ here", "ÄÖ  x" + "y" * 60, "日本 one"]
+    ids = p.encode_batch(texts, list(range(5)))
+    assert p.decode_batch(ids) == texts == [p.decode(x) if len(x) else "" for x in ids]
+    assert p.decode_batch([]) == []
+    for k in (1, 3, 4):
+        units, skips = p._cut(texts[k], k)
+        assert ids[k].tobytes() == b"".join(p._unit(u, v) for u, v in zip(units, skips, strict=True))
+
+
+def test_repair_leaves_no_pair_that_occurs_often():
+    rng = np.random.default_rng(4)
+    ids = np.append(np.minimum(rng.zipf(1.4, 60_000), 400), 1).astype(np.uint32)
+    seq, rules, lens = token_files.repair(ids, 500, 1)
+    assert np.array_equal(token_files.expand(seq, rules, lens, 500), ids)
+    ends = seq == 1
+    ends |= np.isin(seq, 500 + np.flatnonzero([token_files.expand(np.array([500 + k], np.uint32), rules, lens, 500)[-1] == 1 for k in range(len(rules))]))
+    pair = (seq[:-1].astype(np.int64) << 32 | seq[1:])[~ends[:-1]]
+    assert np.unique(pair, return_counts=True)[1].max() < token_files.LEAST
