@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Recent, partitions, slices
+from .common import Recent, joined, partitions, slices
 
 SHARD = 1 << 20
 LEAST = 8
@@ -38,26 +38,26 @@ def repair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.nda
     """(symbols, rules[k] = the two symbols that first + k stands for, expansion length of each rule)."""
     seq = ids.astype(np.uint32)
     rules, lens, closed = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64), np.arange(first) == end_id
-    while len(seq) > 1:
-        bits = len(seq).bit_length()
-        cell_of = lambda pairs, shift=np.uint64(64 - bits): ((pairs * SPREAD) >> shift).view(np.int64)
-        pair = seq[:-1].astype(np.uint64)
+    hot = np.flatnonzero(~closed[seq[:-1]])  # where a pair can be frequent: counts only fall, but for pairs with a new symbol
+    while len(hot):
+        cell_of = lambda pairs, bits: ((pairs * SPREAD) >> np.uint64(64 - bits)).view(np.int64)
+        pair = seq[hot].astype(np.uint64)
         pair <<= np.uint64(32)
-        pair |= seq[1:]
-        cell = cell_of(pair)
-        cell[closed[seq[:-1]]] = 1 << bits
-        busy = np.bincount(cell, minlength=(1 << bits) + 1) >= LEAST  # only in these can a pair be frequent
-        busy[1 << bits] = False
-        at = np.flatnonzero(busy[cell])
-        some, cell = pair[at], cell[at]
+        pair |= seq[hot + 1]
+        cell = cell_of(pair, len(hot).bit_length())
+        busy = (np.bincount(cell) >= LEAST)[cell]  # only in these can a pair be frequent
+        at, some = hot[busy], pair[busy]
+        mark = np.zeros(len(seq), bool)
+        mark[at] = True
         kinds, times = np.unique(some, return_counts=True)
         kinds, times = kinds[times >= LEAST], times[times >= LEAST].astype(np.int32)
         if not len(kinds):
             break
+        bits = len(seq).bit_length()
         kind_of = np.zeros(1 << bits, np.int32)
         rise = np.argsort(times, kind="stable")
-        kind_of[cell_of(kinds[rise])] = rise  # of kinds that share a cell, the most frequent goes first
-        which = kind_of[cell]
+        kind_of[cell_of(kinds[rise], bits)] = rise  # of kinds that share a cell, the most frequent goes first
+        which = kind_of[cell_of(some, bits)]
         hit = kinds[which] == some
         at, which = at[hit], which[hit]
         weight = np.zeros(len(seq) + 1, np.int32)
@@ -81,7 +81,9 @@ def repair(ids: np.ndarray, first: int, end_id: int) -> tuple[np.ndarray, np.nda
         seq[at] = name[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        mark[at] = mark[np.maximum(at - 1, 0)] = True
+        seq, mark = seq[keep], mark[keep]
+        hot = np.flatnonzero(mark[:-1] & ~closed[seq[:-1]])
     return seq, rules, lens
 
 
@@ -195,9 +197,7 @@ class UnitEncoder:
         for w, ids in fresh.items():
             self.known.put(w, ids)
         got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        which = coded.indices.to_numpy()
-        ids = np.frombuffer(b"".join(map(got.__getitem__, which.tolist())), "<u4")
-        ends = np.cumsum((np.fromiter(map(len, got), np.int32, len(got)) // 4)[which])
+        ids, ends = joined(np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4, coded.indices.to_numpy())
         sizes = np.diff(np.append(0, ends)[np.append(0, np.cumsum(count))])
         if special:
             parts = np.split(ids, np.cumsum(sizes)[:-1])
