@@ -68,7 +68,7 @@ class Scratch:
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

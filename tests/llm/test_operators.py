@@ -557,3 +557,13 @@ def test_repair_leaves_no_pair_that_occurs_often():
     ends |= np.isin(seq, 500 + np.flatnonzero([token_files.expand(np.array([500 + k], np.uint32), rules, lens, 500)[-1] == 1 for k in range(len(rules))]))
     pair = (seq[:-1].astype(np.int64) << 32 | seq[1:])[~ends[:-1]]
     assert np.unique(pair, return_counts=True)[1].max() < token_files.LEAST
+
+
+def test_scratch_tables_are_packed_tightly(spark):
+    from pathlib import Path
+
+    from ledgerlens.llm.common import Scratch
+
+    saved = Scratch(spark, "packed").save(spark.range(5).select(F.col("id").alias("doc_id")))
+    files = [p.name for p in Path(saved._scratch_path.removeprefix("file://").removeprefix("file:")).glob("part-*")]
+    assert files and all(".zstd." in f for f in files)
