@@ -75,3 +75,43 @@ def test_queries_of_pairs_and_headers_carry_no_rows(spark):
     pairs, headers = scans("q09_pair_docs"), scans("q12_align_invoices")
     assert pairs and not [x for x in pairs if "l_orderkey" in x or "o_orderkey" in x or "header" in x or "template_id" in x]
     assert headers and not [x for x in headers if "sublist#" in x]
+
+
+def test_report_reads_the_tables_and_writes_nothing(spark, tmp_path):
+    """Templates come from the documents' own rows, so no side is written and read again, and rows align without windows."""
+    from ledgerlens.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    df = catalogue.QUERIES["q18_template_stats"](spark, d)
+    assert all(f.startswith(f"file://{d}/") for f in df.inputFiles())
+    plan = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert len([x for x in plan if " Window " in f" {x.strip(' :+-')} "]) <= 1  # the first result of a key
+
+
+def test_alignment_equals_matching_one_by_one():
+    import random
+
+    import pyarrow as pa
+
+    from ledgerlens.operators.align import align_batch
+
+    def one_by_one(a_key, a_pos, r_key, r_pos):
+        a, r = (sorted(range(len(p)), key=p.__getitem__) for p in (a_pos, r_pos))
+        pairs, left = [], []
+        for i in a:
+            j = next((j for j in r if a_key[i] and r_key[j] == a_key[i]), None)
+            if j is None:
+                left.append(i)
+            else:
+                r.remove(j)
+                pairs.append((i, j))
+        pairs += [(left[k] if k < len(left) else None, r[k] if k < len(r) else None) for k in range(max(len(left), len(r)))]
+        return sorted(pairs, key=lambda p: (p[0] is None, a_pos[p[0]] if p[0] is not None else r_pos[p[1]]))
+
+    rng = random.Random(3)
+    lists = lambda n: ([rng.choice(["a", "b", "c", "", None]) for _ in range(n)], rng.sample(range(50), n))
+    for _ in range(100):
+        batch = [lists(rng.randint(0, 7)) + lists(rng.randint(0, 7)) for _ in range(rng.randint(0, 8))]
+        cols = [pa.array([b[k] for b in batch], pa.list_((pa.string(), pa.int64())[k % 2])) for k in range(4)]
+        got = [[(x["a_at"], x["r_at"]) for x in line] for line in align_batch(*cols).to_pylist()]
+        assert got == [one_by_one(*b) for b in batch]
