@@ -26,9 +26,10 @@ def both_keys() -> tuple[Column, Column]:
 def orders_with_lines(spark: SparkSession, d: str) -> DataFrame:
     """Each order with its header and lines as maps by field key, lines in order."""
     line = b.read(spark, d, "lineitem")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*b.LINE_ORDER.split(", ")))
-    rows = line.select(F.col("l_orderkey").alias("o_orderkey"), place.alias("pos"), b._map(b.ANSWER_LINE).alias("cells")).groupBy("o_orderkey")
-    lines = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("cells").alias("e")))), lambda x: F.map_from_entries(x["e"])).alias("rows"))
+    texts = [F.expr(e).alias(k) for k, e in b.ANSWER_LINE.items()]
+    rows = line.select(F.col("l_orderkey").alias("o_orderkey"), F.struct(*b.LINE_ORDER.split(", "), *texts).alias("x")).groupBy("o_orderkey")
+    cells = lambda x: F.create_map(*[y for k in b.ANSWER_LINE for y in (F.lit(k), x[k])])
+    lines = rows.agg(F.sort_array(F.collect_list("x")).alias("x")).select("o_orderkey", F.transform("x", cells).alias("rows"))
     head = b.read(spark, d, "orders").select("o_orderkey", "o_custkey", b._map(b.ANSWER_INV).alias("header"))
     return head.join(lines, "o_orderkey", "left").withColumn("rows", F.coalesce("rows", dc.empty(f"array<{dc.CELLS}>")))
 

@@ -115,3 +115,11 @@ def test_alignment_equals_matching_one_by_one():
         cols = [pa.array([b[k] for b in batch], pa.list_((pa.string(), pa.int64())[k % 2])) for k in range(4)]
         got = [[(x["a_at"], x["r_at"]) for x in line] for line in align_batch(*cols).to_pylist()]
         assert got == [one_by_one(*b) for b in batch]
+
+
+def test_orders_with_lines_group_without_windows(spark):
+    """Lines get their order where they are grouped, so the table is sorted once, and cells are made after the shuffle."""
+    from ledgerlens.plans import catalogue
+
+    plan = catalogue.QUERIES["q67b_structure_switch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "map_entries" not in plan
