@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .tasks import dealt
+
 RUNNABLE = ("queued", "running")
 STOPPED = "已中断"  # fixed value: the error of a document that was cancelled
 
@@ -45,9 +47,10 @@ def cancel(jobs: DataFrame, docs: DataFrame, asked: DataFrame, job: str) -> tupl
     A queued job is cancelled at once with its queued documents. Any other only carries the request, which a
     running one obeys at its next document. A job asked for twice counts once, one not in jobs not at all.
     """
-    named = jobs.join(asked.select(job).distinct().withColumn("asked", F.lit(True)), job, "left")
+    jobs, docs, asked = dealt(job, jobs, docs, asked.select(job))
+    named = jobs.join(asked.distinct().withColumn("asked", F.lit(True)), job, "left")
     at_once = F.coalesce("asked", F.lit(False)) & (F.col("status") == "queued")
-    ended = jobs.filter(F.col("status") == "queued").join(asked.select(job), job, "left_semi").select(job).distinct().withColumn("ended", F.lit(True))
+    ended = named.filter(at_once).select(job).distinct().withColumn("ended", F.lit(True))
     wanted = F.coalesce("asked", "cancel_requested", F.lit(False))
     now = named.withColumns({"cancel_requested": wanted, "status": F.when(at_once, "cancelled").otherwise(F.col("status"))}).drop("asked")
     hit = F.coalesce("ended", F.lit(False)) & (F.col("status") == "queued")
@@ -61,6 +64,7 @@ def recover(jobs: DataFrame, docs: DataFrame, job: str) -> tuple[DataFrame, Data
     Running jobs that nobody cancelled queue again, and so do their running documents, from their first page.
     Documents that ended stay as they are, so that no work is done twice.
     """
+    jobs, docs = dealt(job, jobs, docs)
     again = (F.col("status") == "running") & ~F.coalesce("cancel_requested", F.lit(False))
     broken = jobs.filter(again).select(job).distinct().withColumn("broken", F.lit(True))
     hit = F.coalesce("broken", F.lit(False)) & (F.col("status") == "running")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as t
-from ledgerlens.operators import jobs as j, templates
+from ledgerlens.operators import jobs as j, pages, templates
 
 JOBS = "job int, status string, cancel_requested boolean"
 DOCS = "job int, doc int, status string, error string, done int, total int"
@@ -48,3 +48,19 @@ def test_shown_texts(spark):
 def test_templates_in_order(spark):
     pairs = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "a"), (1, 4, None), (1, 0, "c")], "g int, pos int, template_id string")
     assert templates.templates_in_order(pairs, "g", "pos").first()["template_ids"] == ["c", "a", "b", None]
+
+
+def test_cancel_bounds_the_rows_of_a_task(spark):
+    n = 2_200_000
+    docs = spark.range(n).selectExpr("id % 1000000 AS job", "'queued' AS status", "'' AS error")
+    jobs = spark.range(1_000_000).selectExpr("id AS job", "'queued' AS status", "false AS cancel_requested")
+    now, left = j.cancel(jobs, docs, jobs.filter("job % 2 = 0").select("job"), "job")
+    assert left.rdd.getNumPartitions() >= 3_700_000 // 250_000
+    assert left.filter("status = 'cancelled'").count() == n // 2 and now.count() == 1_000_000
+
+
+def test_pages_fold_in_two_orders(spark):
+    entries = spark.createDataFrame([(1, 1, "", False, True), (1, 2, "", False, True), (1, 3, "A", True, True), (1, 4, "", False, True), (1, 5, "a ", True, True), (1, 6, "", True, False)], "doc int, pos int, no string, has_header boolean, has_lines boolean")
+    out = pages.fold_pages(entries, "doc")
+    assert plain(out, "pos", "created", "inv_id") == [(1, True, 1), (2, False, 1), (3, True, 3), (4, False, 3), (5, False, 3), (6, True, 6)]
+    assert out._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("+- Sort [") <= 2
