@@ -17,9 +17,10 @@ def fold_pages(entries: DataFrame, doc: str) -> DataFrame:
     out = out.withColumn("base", F.when(F.col("nkey") != "", F.col("pos") == F.col("first_pos")).otherwise(F.col("has_header")))
     before = F.coalesce(F.max("base").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     out = out.withColumn("loose", (F.col("nkey") == "") & ~F.col("has_header") & F.col("has_lines") & ~before)
-    anon = F.col("loose") & (F.row_number().over(Window.partitionBy(doc, "loose").orderBy("pos")) == 1)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one order serves all windows but a number's first place
+    anon = F.col("loose") & (F.count_if("loose").over(upto) == 1)
     out = out.withColumn("created", F.col("base") | anon)
-    last = F.last(F.when(F.col("created"), F.col("pos")), ignorenulls=True).over(ordered)
+    last = F.last(F.when(F.col("created"), F.col("pos")), ignorenulls=True).over(upto)
     return out.withColumn("inv_id", F.when(F.col("nkey") != "", F.col("first_pos")).otherwise(last)).drop("first_pos", "base", "loose")
 
 

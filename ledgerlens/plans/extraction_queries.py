@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ledgerlens.functions import text as t, values as v
 from ledgerlens.operators import jobs as j, pages as p
 from ledgerlens.operators.documents import annotated
+from ledgerlens.operators.tasks import dealt
 from . import bridge as b, oracle as o
 from .report_queries import PATHS, query
 
@@ -17,7 +18,7 @@ ENTRIES = f"e AS (SELECT l_orderkey, {POS} AS pos, upper(replace({o.duck(NUMBER)
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*b.LINE_ORDER.split(", ")))
-    li = b.read(spark, d, "lineitem")
+    (li,) = dealt("l_orderkey", b.read(spark, d, "lineitem"))
     return li.select("l_orderkey", pos.alias("pos"), F.expr(NUMBER).alias("no"), (F.col("l_quantity") > 25).alias("has_header"), (F.col("l_linenumber") % 2 == 1).alias("has_lines"), (F.col("l_partkey") % 3).alias("weight"))
 
 
