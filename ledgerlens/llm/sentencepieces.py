@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from .common import Recent, joined, slices
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 50_000  # a worker outlives its tasks and holds twice as many units, with those of the batch
 LETTER, OTHER = "[^\\W\\d_²³¹]", f"(?:[\\W\\d_²³¹](?<!{SPACE}))"
 #: Runs of letters and of others apart, and whole words for models whose pieces mix them.
 APART = re.compile(f"{SPACE}*{LETTER}+|{SPACE}*{OTHER}+|{SPACE}+")
@@ -40,6 +40,7 @@ WHOLE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MIXED = re.compile(f"{LETTER}{OTHER}|{OTHER}{LETTER}")
 SHORT = 22  # an agenda of n characters draws at most 3 (n - 1) bits, so 64 do
 MASK = (1 << 64) - 1
+LOW = np.array([(1 << k) - 1 for k in range(65)], np.uint64)  # by how many of the lowest bits are set
 DRAW_BITS = 12  # the dropout rate is rounded to 1/4096
 
 
@@ -254,15 +255,15 @@ class Pieces:
         literal = next(c for c in map(chr, itertools.chain(range(0xE000, 0xF8FF), range(0xF0000, 0x10FFFE), range(0x4E00, 0xD800))) if c not in text and c not in self.ids)
         return b"".join([self._unit(u, v, literal) for u, v in zip(*self._cut(text.replace(SPACE, literal), doc, turn), strict=True)])
 
-    def _plain(self, units: list[str]) -> list[tuple[bytes, int, int]]:
-        """By unit: ids without skips, the draws that these need to be 0, and all that its agenda can use."""
+    def _plain(self, units: list[str]) -> list[tuple[bytes, int]]:
+        """By unit: ids without skips, and how many draws these need to be 0."""
         have = self.plain.many(units)
         new = [u for u, got in zip(units, have, strict=True) if got is None]
         flat, sizes, drawn = self._new(new, np.zeros(len(new), np.uint64))
         raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
         made = {}
         for u, s, e, d in zip(new, [0, *ends[:-1]], ends, drawn.tolist(), strict=False):
-            made[u] = got = (raw[s:e], (1 << d) - 1, (1 << 3 * (len(u) - 1)) - 1)
+            made[u] = got = (raw[s:e], d)
             self.plain.put(u, got)
         return [made[u] if got is None else got for u, got in zip(units, have, strict=True)]
 
@@ -306,8 +307,8 @@ class Pieces:
             keys = self._keys(docs, turns)
             skips = _skips(_places(keys, count), self.limit)
             size = np.array([len(u) for u in units])
-            needed = np.array([min(h[1], MASK) for h in have], np.uint64)
-            able = np.array([min(h[2], MASK) for h in have], np.uint64)
+            needed = LOW[np.minimum(np.array([h[1] for h in have]), 64)]
+            able = LOW[np.minimum(3 * (size - 1), 64)]  # all that a unit's agenda can use
             short = size[which] <= SHORT
             at = np.flatnonzero(short & ((skips & needed[which]) != 0))
             owner, draws = which[at], (skips & able[which])[at]
@@ -345,7 +346,7 @@ class Pieces:
 
 
 #: Bytes of text whose units are held at once; lists of them take many times as much.
-HELD = 1 << 22
+HELD = 1 << 20
 
 
 @functools.cache

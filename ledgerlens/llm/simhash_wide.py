@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 from .components import components, contract
 from .simhash import LOWER
 
@@ -102,6 +102,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([keys, small]).view(np.int64))], ["doc_id", "key"])
 
 
+def probed(ones: DataFrame, each: int = 8192) -> DataFrame:
+    """(doc_id, key) of ones(doc_id, fp, weak, prefix, ...). A document has up to SEGMENTS * (FLIPS + 1) keys, which a task sorts
+    for their shuffle; so documents are dealt out, and a task makes the keys of about ``each``, however few files hold them."""
+    dealt = ones.select("doc_id", "fp", "weak", "prefix").repartition(partitions(ones, each), "doc_id")
+    return dealt.mapInArrow(_keys, "doc_id long, key long")
+
+
 def _can(parity: np.ndarray, total: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of these sizes in all can be that similar by the parities that differ. A shingle that only one of two sets
     holds changes one parity, so the sets share at most half of what is left of their sizes; this loses nothing."""
@@ -246,7 +253,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     same = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("c")), "same")
     alike = prints.join(same.filter("c > 1").hint("merge"), "fp").select("a", F.col("doc_id").alias("b")).filter("a <> b")
     ones = scratch.save(prints.join(same.select(F.col("a").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ones")
-    probes = ones.select("doc_id", "fp", "weak", "prefix").mapInArrow(_keys, "doc_id long, key long")
+    probes = probed(ones)
     shared = scratch.save(probes.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("least")).filter("count > 1"), "shared")
     hits = scratch.save(probes.join(shared.hint("merge"), "key"), "hits")
     # Whom a document meets most often, as the member that comes first in its keys by one order or another, is close to it.

@@ -567,3 +567,19 @@ def test_scratch_tables_are_packed_tightly(spark):
     saved = Scratch(spark, "packed").save(spark.range(5).select(F.col("id").alias("doc_id")))
     files = [p.name for p in Path(saved._scratch_path.removeprefix("file://").removeprefix("file:")).glob("part-*")]
     assert files and all(".zstd." in f for f in files)
+
+
+def test_pieces_remember_a_bounded_number_of_units():
+    pieces = sentencepieces.Pieces(queries.tokenizer_file("piece_bpe_32k.model"), 0.1, 42)
+    units = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(150_000)]
+    have = pieces._plain(units)
+    assert len(have) == len(units) and len(pieces.plain.young) + len(pieces.plain.old) <= 100_000
+    assert pieces._plain(units[:9]) == have[:9]
+
+
+def test_keys_of_near_dedup_are_made_in_bounded_tasks(spark):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 90), k -> concat('w', id * 7 % 501, '_', k))) AS text")
+    prints = docs.mapInArrow(simhash_wide._prints(5, 0.8), "doc_id long, fp binary, weak binary, prefix binary, parity binary, n long").cache()
+    keys = simhash_wide.probed(prints, 100)
+    assert keys.rdd.getNumPartitions() >= 30
+    assert keys.count() == prints.select("doc_id", "fp", "weak", "prefix").mapInArrow(simhash_wide._keys, "doc_id long, key long").count() > 3000 * 32
