@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.functions.values import trim_ws
+from ledgerlens.functions.values import let, trim_ws
 
 from .templates import TEMPLATES
 
@@ -48,22 +48,35 @@ def annotated(category: Column, structure: Column, fields: Column, header: Colum
 def rename(cells: Column, fields: Column, source: str, target: str) -> Column:
     """A map by one name of the fields (field_id or field_key) -> by the other: every field listed, '' where
     it has no value, the last one where two share a name."""
-    value = lambda name: F.coalesce(F.try_element_at(cells, F.element_at(F.filter(fields, lambda f: f[target] == name), -1)[source]), F.lit(""))
-    names = F.array_distinct(F.transform(fields, lambda f: f[target]))
-    return F.map_from_entries(F.transform(names, lambda name: F.struct(name, value(name))))
+    return let(_named(fields, target), lambda named: _renamed(cells, named, source, target))
+
+
+def rename_rows(rows: Column, fields: Column, source: str, target: str) -> Column:
+    """rename for each map of an array; the fields' names are told apart once for all of them."""
+    return let(_named(fields, target), lambda named: F.transform(rows, lambda m: _renamed(m, named, source, target)))
+
+
+def _named(fields: Column, target: str) -> Column:
+    """The fields without those whose name under target a later one has; nothing is to be done where all names differ."""
+    names = F.array_distinct(fields[target])
+    last = F.transform(names, lambda name: F.element_at(F.filter(fields, lambda f: f[target] == name), -1))
+    return F.when(F.size(names) == F.size(fields), fields).otherwise(last)
+
+
+def _renamed(cells: Column, named: Column, source: str, target: str) -> Column:
+    return F.map_from_arrays(named[target], F.transform(named, lambda f: F.coalesce(F.try_element_at(cells, f[source]), F.lit(""))))
 
 
 def export_json(header_fields: Column, columns: Column) -> Column:
     """JSON of a document as its structure asks, values under field keys, nulls of the document itself kept."""
     head = lambda m: rename(m, header_fields, "field_id", "field_key")
-    row = lambda m: rename(m, columns, "field_id", "field_key")
-    listed = lambda rows: F.transform(F.coalesce(rows, empty(f"array<{CELLS}>")), row)
+    listed = lambda rows: rename_rows(F.coalesce(rows, empty(f"array<{CELLS}>")), columns, "field_id", "field_key")
     entry = lambda e: F.struct(head(e["header"]).alias("invoice"), listed(e["rows"]).alias("sublist"))
     base = [F.col(c).alias(name) for c, name in zip(BASE, EXPORT_NAMES)]
     text = lambda *parts: F.to_json(F.struct(*base, *parts), {"ignoreNullFields": "false"})
     kind = F.col("structure_type")
     return (
-        F.when(kind == "multi_invoice", text(F.transform("invoice_entries", lambda e: head(e["header"])).alias("invoices")))
+        F.when(kind == "multi_invoice", text(rename_rows(F.transform("invoice_entries", lambda e: e["header"]), header_fields, "field_id", "field_key").alias("invoices")))
         .when(kind == "multi_invoice_with_sublist", text(F.transform("invoice_entries", entry).alias("invoicesWithSublist")))
         .when(kind == "invoice_with_sublist", text(head(F.col("invoice_header")).alias("invoice"), listed(F.col("sublist_rows")).alias("sublist")))
         .otherwise(text(head(F.col("field_values")).alias("fields")))

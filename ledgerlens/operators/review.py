@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.requests import is_kind, kind, part
-from ledgerlens.functions.values import trim_ws
-from ledgerlens.sources.exports import items, record, scalar_text
+from ledgerlens.functions.values import let, trim_ws
+from ledgerlens.sources.exports import items, record, records, scalar_text
 
-from .documents import CELLS, empty, has_values, rename
+from .documents import CELLS, empty, has_values, rename, rename_rows
 
 INVOICES = f"array<struct<header:{CELLS},sublist:array<{CELLS}>>>"
 
@@ -50,42 +50,43 @@ def typed_replies(replies: DataFrame, v: str, header_keys: Column, column_keys:
 def saved_invoices(v: Column) -> Column:
     """A saved export, a variant -> struct(structure_type, invoices); null where it has none of the four shapes. The first
     that it has decides, a list of invoices is single when it has at most one."""
-    rows = lambda x, path: F.coalesce(F.transform(items(x, path), lambda y: record(y)), empty(f"array<{CELLS}>"))
+    rows = lambda x, path: F.coalesce(records(x, path), empty(f"array<{CELLS}>"))
     one = lambda header, lines: F.struct(header.alias("header"), lines.alias("sublist"))
     out = lambda name, invoices: F.struct(name.alias("structure_type"), invoices.cast(INVOICES).alias("invoices"))
     has = lambda p: part(v, p).isNotNull()
     bare = empty(f"array<{CELLS}>")
-    return (
-        F.when(items(v, "$.invoicesWithSublist").isNotNull(), out(F.lit("multi_invoice_with_sublist"), F.transform(items(v, "$.invoicesWithSublist"), lambda x: one(record(x, "$.invoice"), rows(x, "$.sublist")))))
+    found = F.struct(items(v, "$.invoicesWithSublist").alias("with_rows"), items(v, "$.invoices").alias("plain"))
+    return let(found, lambda p: (
+        F.when(p["with_rows"].isNotNull(), out(F.lit("multi_invoice_with_sublist"), F.transform(p["with_rows"], lambda x: one(record(x, "$.invoice"), rows(x, "$.sublist")))))
         .when(has("$.invoice") | has("$.sublist"), out(F.lit("invoice_with_sublist"), F.array(one(record(v, "$.invoice"), rows(v, "$.sublist")))))
-        .when(items(v, "$.invoices").isNotNull(), out(F.when(F.size(items(v, "$.invoices")) > 1, "multi_invoice").otherwise("single"), F.transform(items(v, "$.invoices"), lambda x: one(record(x), bare))))
+        .when(p["plain"].isNotNull(), out(F.when(F.size(p["plain"]) > 1, "multi_invoice").otherwise("single"), F.transform(records(v, "$.invoices"), lambda h: one(h, bare))))
         .when(has("$.fields"), out(F.lit("single"), F.array(one(record(v, "$.fields"), bare))))
-    )
+    ))
 
 
 def review_view(docs: DataFrame, invoices: str, header_fields: Column, columns: Column) -> DataFrame:
     """docs with an array of (header, sublist) by field key -> field_values, invoice_header, sublist_rows and
     invoice_entries by field id, so that every structure can be shown. Each field is there, '' where it has no value;
     where there is no row an empty one stands, and an empty entry without rows where there is no invoice."""
-    ids = lambda m, fields: rename(m, fields, "field_key", "field_id")
-    lines = lambda rows: F.transform(rows, lambda m: ids(m, columns))
     one_row = F.array(empty(CELLS))
-    shown = lambda rows: F.when(F.size(rows) > 0, lines(rows)).otherwise(one_row)
-    first = F.get(invoices, F.lit(0))
-    header = F.when(first.isNotNull(), ids(first["header"], header_fields)).otherwise(empty(CELLS))
-    entries = F.transform(invoices, lambda x: F.struct(ids(x["header"], header_fields).alias("header"), shown(x["sublist"]).alias("rows")))
+    shown = lambda rows: F.when(F.size(rows) > 0, rename_rows(rows, columns, "field_key", "field_id")).otherwise(one_row)
+    entries = F.transform(invoices, lambda x: F.struct(rename(x["header"], header_fields, "field_key", "field_id").alias("header"), shown(x["sublist"]).alias("rows")))
     blank = F.array(F.struct(empty(CELLS).alias("header"), F.lit(None).cast(f"array<{CELLS}>").alias("rows")))
     some = F.size(F.coalesce(F.col(invoices), F.array().cast(INVOICES))) > 0
-    return docs.withColumns({
-        "field_values": header, "invoice_header": header, "sublist_rows": F.when(first.isNotNull(), shown(first["sublist"])).otherwise(one_row),
-        "invoice_entries": F.when(some, entries).otherwise(blank),
-    })
+    there = F.get(invoices, F.lit(0)).isNotNull()
+
+    def parts(e: Column) -> Column:
+        header, rows = F.when(there, e[0]["header"]).otherwise(empty(CELLS)), F.when(there, e[0]["rows"]).otherwise(one_row)
+        return F.struct(header.alias("field_values"), header.alias("invoice_header"), rows.alias("sublist_rows"), e.alias("invoice_entries"))
+
+    kept = [c for c in docs.columns if c not in ("field_values", "invoice_header", "sublist_rows", "invoice_entries")]
+    return docs.select(*kept, F.inline(F.array(let(F.when(some, entries).otherwise(blank), parts))))
 
 
 def review_of_exports(saved: DataFrame, v: str, header_fields: Column, columns: Column) -> DataFrame:
-    """Saved exports, variants in column v -> their review data with structure_type; those without a known shape go."""
-    found = saved.withColumn("found", saved_invoices(F.col(v))).filter("found is not null")
-    opened = found.select(*saved.columns, "found.structure_type", "found.invoices")
+    """Saved exports, variants in column v -> their review data with structure_type; those without a known shape go. A
+    text is read once: a filter of what is found would have it read again for each of its conditions."""
+    opened = saved.select(*saved.columns, F.inline(F.filter(F.array(saved_invoices(F.col(v))), lambda x: x.isNotNull())))
     return review_view(opened, "invoices", header_fields, columns).drop("invoices")
 
 

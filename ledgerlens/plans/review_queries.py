@@ -82,9 +82,10 @@ def stored_documents(spark: SparkSession, d: str) -> DataFrame:
     """Orders as stored documents, each in one of the four structures; two invoices where the customer's number is odd."""
     base = orders_with_lines(spark, d)
     structure = F.element_at(F.array(*map(F.lit, STRUCTURES)), (F.col("o_orderkey") % 4).cast("int") + 1)
-    ids = lambda m, f: dc.rename(m, f, "field_key", "field_id")
     header, columns = both_fields()
-    head, rows = ids(F.col("header"), header), F.transform("rows", lambda m: ids(m, columns))
+    rows = dc.rename_rows(F.col("rows"), columns, "field_key", "field_id")
+    base = base.select("o_orderkey", "o_custkey", dc.rename(F.col("header"), header, "field_key", "field_id").alias("head"), rows.alias("rows"))
+    head, rows = F.col("head"), F.col("rows")
     entry = lambda h, r: F.struct(h.alias("header"), r.alias("rows"))
     second = F.transform_values(head, lambda k, v: F.when(k == "fh1", F.concat(v, F.lit("B"))).otherwise(v))
     entries = F.when(F.col("o_custkey") % 2 == 1, F.array(entry(head, rows), entry(second, F.slice(rows, 1, 1)))).otherwise(F.array(entry(head, rows)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerlens.functions.values import trim_ws
+from ledgerlens.functions.values import let, trim_ws
 
 
 def number_text(d: Column) -> Column:
@@ -18,14 +18,39 @@ def number_text(d: Column) -> Column:
 
 def scalar_text(v: Column) -> Column:
     """Text of a JSON scalar; objects, arrays and null give the empty text."""
-    kind = F.schema_of_variant(v)
-    text = F.when(kind == "DOUBLE", number_text(F.try_variant_get(v, "$", "double"))).otherwise(F.try_variant_get(v, "$", "string"))
-    return F.when(kind.rlike("^(OBJECT|ARRAY|VOID)"), "").otherwise(F.coalesce(text, F.lit("")))
+    text = F.try_variant_get(v, "$", "string")
+
+    def of_kind(kind: Column) -> Column:
+        number = F.when(kind == "DOUBLE", number_text(F.try_variant_get(v, "$", "double"))).otherwise(text)
+        return F.when(kind == "STRING", text).when(kind.rlike("^(OBJECT|ARRAY|VOID)"), "").otherwise(F.coalesce(number, F.lit("")))
+
+    return let(F.schema_of_variant(v), of_kind)
 
 
 def record(v: Column, path: str = "$") -> Column:
     """An object as map of texts; anything else as the empty map."""
-    return F.coalesce(F.transform_values(F.try_variant_get(v, path, "map<string,variant>"), lambda _, x: scalar_text(x)), F.expr("cast(map() as map<string,string>)"))
+    none = F.expr("cast(map() as map<string,string>)")
+    each = F.coalesce(F.transform_values(F.try_variant_get(v, path, "map<string,variant>"), lambda _, x: scalar_text(x)), none)
+    texts = lambda: F.coalesce(_filled(F.try_variant_get(v, path, "map<string,string>")), none)
+    return F.when(_plain(F.try_variant_get(v, path, "variant"), "OBJECT<"), texts()).otherwise(each)
+
+
+def records(v: Column, path: str) -> Column:
+    """The members of an array, each as record gives it; null where there is no array."""
+    none = F.expr("cast(map() as map<string,string>)")
+    texts = F.transform(F.try_variant_get(v, path, "array<map<string,string>>"), lambda m: F.coalesce(_filled(m), none))
+    return F.when(_plain(F.try_variant_get(v, path, "variant"), "ARRAY<OBJECT<"), texts).otherwise(F.transform(items(v, path), lambda y: record(y)))
+
+
+def _filled(texts: Column) -> Column:
+    return F.transform_values(texts, lambda _, x: F.coalesce(x, F.lit("")))
+
+
+def _plain(v: Column, start: str) -> Column:
+    """Whether all members are read as scalar_text reads them by a cast to texts: none is a double, an object or an array,
+    nor of several kinds."""
+    other = lambda kind: F.contains(kind, F.lit(": DOUBLE")) | F.contains(kind, F.lit(": OBJECT")) | F.contains(kind, F.lit(": ARRAY")) | F.contains(kind, F.lit(": VARIANT"))
+    return let(F.schema_of_variant(v), lambda kind: F.coalesce(F.startswith(kind, F.lit(start)) & ~other(kind), F.lit(False)))
 
 
 def items(v: Column, path: str) -> Column:

@@ -150,3 +150,17 @@ def test_example_sizes_at_their_limit(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id: r.problem for r in catalogue.QUERIES["q71_example_checks"](spark, str(tmp_path)).collect()}
     assert got == {0: None, 1: "type", 2: "too_large", 3: "too_large"}
+
+
+def test_saved_exports_are_read_once_and_by_their_kinds(spark):
+    texts = ['{"fields": {"no": 1.50, "day": null, "x": {"a": 1}}}', '{"invoice": {"no": true, "day": [1]}, "sublist": [{"item": 2.0}, null, {"item": "a"}, {"item": null}]}', '{"invoices": [{"no": "a"}, {"no": 1e21}, 3]}', '{"invoices": [{"no": "a"}, null]}', '{"invoice": "x", "sublist": {}}', '{"sublist": []}']
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", F.try_parse_json("t").alias("v"))
+    out = rv.review_of_exports(docs, "v", fields(HEADER), fields(COLUMNS + [("c2", "item")]))
+    got = [x for x in out.orderBy("k").collect()]
+    assert [x["field_values"] for x in got] == [{"h1": "1.5", "h2": ""}, {"h1": "true", "h2": ""}, {"h1": "a", "h2": ""}, {"h1": "a", "h2": ""}, {"h1": "", "h2": ""}, {"h1": "", "h2": ""}]
+    assert [[e["header"]["h1"] for e in x["invoice_entries"]] for x in got[2:4]] == [["a", "1e+21", ""], ["a", ""]]
+    assert got[1]["sublist_rows"] == [{"c1": x, "c2": x} for x in ("2", "", "a", "")] == got[1]["invoice_entries"][0]["rows"]
+    twice = spark.range(1).select(dc.rename(F.create_map(F.lit("h1"), F.lit("a"), F.lit("h3"), F.lit("b")), fields([*HEADER, ("h3", "no")]), "field_id", "field_key").alias("m"))
+    assert twice.first()["m"] == {"no": "b", "day": ""} and got[4]["sublist_rows"] == got[5]["sublist_rows"] == [{}]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1  # 11 times before, in a filter of what was found
