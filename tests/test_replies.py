@@ -164,3 +164,13 @@ def test_saved_exports_are_read_once_and_by_their_kinds(spark):
     assert twice.first()["m"] == {"no": "b", "day": ""} and got[4]["sublist_rows"] == got[5]["sublist_rows"] == [{}]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1  # 11 times before, in a filter of what was found
+
+
+def test_sql_equality_reads_dates_only_where_they_are_asked_for(spark):
+    register_functions(spark)
+    pairs = spark.createDataFrame([("invoice_date", "13 Nov 2025", "2025/11/13"), ("weight", "1,0 kg", "10KG")], "k string, a string, b string")
+    out = pairs.selectExpr("field_equal(k, a, b) as e", "parse_date(a) as d")
+    assert [tuple(x) for x in out.collect()] == [(True, "2025-11-13"), (True, None)]
+    plan = pairs.selectExpr("field_equal(k, a, b) as e")._jdf.queryExecution().optimizedPlan()
+    steps = [x for x in plan.toString().split("\n") if "Project" in x]
+    assert not any("regexp_extract" in x for x in steps[1:])  # before, each text was read as a date and a measure in steps of their own
